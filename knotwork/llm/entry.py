@@ -1,10 +1,12 @@
 """Queries of this subpackage, by the name they are registered under."""
 
-from knotwork.llm import exact_dedup
+from knotwork.llm import exact_dedup, near_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_OP1,
+    "op5_near_dedup": near_dedup.ORACLE_OP5,
 }
