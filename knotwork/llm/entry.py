@@ -1,12 +1,15 @@
 """Queries of this subpackage, by the name they are registered under."""
 
-from knotwork.llm import exact_dedup, near_dedup
+from knotwork.llm import exact_dedup, mixing, near_dedup, quality_rules
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_mixing": mixing.op4_mixing,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_OP1,
     "op5_near_dedup": near_dedup.ORACLE_OP5,
+    "op7_quality_rules": quality_rules.ORACLE_OP7,
 }
