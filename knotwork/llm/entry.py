@@ -1,12 +1,14 @@
 """Queries of this subpackage, by the name they are registered under."""
 
-from knotwork.llm import exact_dedup, mixing, near_dedup, quality_rules
+from knotwork.llm import exact_dedup, mixing, near_dedup, pieces, quality_rules, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_token_files": token_files.op8_token_files,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_OP1,

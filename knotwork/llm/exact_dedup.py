@@ -123,3 +123,17 @@ r AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length
              count(*) OVER (PARTITION BY norm) AS group_size, sha256(norm) AS text_sha256 FROM d)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns. Rows that repeat a kept id and its text are one row after this."""
+    done = cut(exact_dedup(df, id_col, text_col).where("kept").select("doc_id", F.col("text_sha256").alias("sha")))
+    same = df[id_col].cast("long").eqNullSafe(done["doc_id"])
+    out = df.join(done.select("doc_id").distinct(), same, "left_semi")
+    repeated = cut(done.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
+    if repeated.isEmpty():
+        return out
+    again = out[id_col].cast("long").eqNullSafe(repeated["again"])
+    one = out.join(repeated, again, "left_semi").withColumn("__sha", F.sha2(strip_white(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    one = one.join(done.withColumnsRenamed({"doc_id": "__id", "sha": "__want"}).distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")), "left_semi")
+    return out.join(repeated, again, "left_anti").union(one.dropDuplicates([id_col, "__sha"]).drop("__sha"))

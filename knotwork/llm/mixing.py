@@ -122,5 +122,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: every row of ``df`` as often as it is taken, with its columns. Rows that repeat an id get equal copies."""
+    taken = mix(df, id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
+    out = df.join(taken, df[id_col].cast("long").eqNullSafe(F.col("__id")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[df[c] for c in df.columns])
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

@@ -275,6 +275,12 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` whose document stays for its group, with all their columns."""
+    kept = near_dedup(df, id_col, text_col, words, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return df.join(kept, df[id_col].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+
+
 def _test(d: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirm pairs on whole texts: one pass moves the texts that occur in a pair, two joins bring them together."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()

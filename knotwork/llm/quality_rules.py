@@ -7,17 +7,21 @@ failed. A policy is a versioned mask of rules that matter, so applying another p
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knotwork.llm.common import digest_input, prepare, slices, table, utf8_buffers
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_bars")
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-WINDOW = 5
+WINDOW, MARK = 5, "__rule_"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
@@ -75,10 +79,11 @@ def _repeats(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc[np.cumsum(step[:-1]) > 0], minlength=n_docs)
 
 
-def _measure(batches):
+def _measure(batches, name: str = "text", kept: tuple[str, ...] = ("doc_id",), mark: str = ""):
+    """Measurements of each row's text beside the columns ``kept``."""
     for whole in batches:
-        for b in slices(whole, "text", 1 << 20):
-            text = b.column(1)
+        for b in slices(whole, name, 1 << 20):
+            text = b.column(b.schema.get_field_index(name)).fill_null("")
             n = b.num_rows
             raw, offs = utf8_buffers(text)
             blank = _BLANK[raw]
@@ -96,7 +101,7 @@ def _measure(batches):
             again[first] = False
             n_dup = np.bincount(line_doc[has_word][again], minlength=n)
             got = (n_words, chars, _per_doc(_SYMBOL[raw], offs), n_dup, _repeats(coded, doc, n), _per_doc(_UPPER[raw], offs), _per_doc(_LETTER[raw], offs), _per_doc(raw == ord("|"), offs))
-            yield pa.record_batch([b.column(0), *(pa.array(x, pa.int64()) for x in got)], names=["doc_id", *MEASURES])
+            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in kept), *(pa.array(x, pa.int64()) for x in got)], names=[*kept, *(mark + m for m in MEASURES)])
 
 
 def _words(raw: np.ndarray, offs: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +131,23 @@ def quality_ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows have a row each. An empty table gives an empty ledger; other columns are ignored.
     """
     prepare(df.sparkSession)
-    m = digest_input(df, id_col, text_col).mapInArrow(_measure, SCHEMA)
+    return digest_input(df, id_col, text_col).mapInArrow(_measure, SCHEMA).withColumn("failed", _bits(""))
+
+
+def _bits(prefix: str):
     bits = F.lit(0).cast("long")
     for k, test in enumerate(RULES.values()):
+        test = re.sub(r"\b(" + "|".join(MEASURES) + r")\b", lambda m: prefix + m[0], test)
         bits = bits.bitwiseOR(F.when(F.expr(test), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return m.withColumn("failed", bits)
+    return bits
+
+
+def filter_documents(df: DataFrame, text_col: str = "text", policy: str | tuple[str, ...] = "v1") -> DataFrame:
+    """The rows of ``df`` that pass the policy, with all their columns, in one pass without a shuffle."""
+    prepare(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(MARK + m, T.LongType()) for m in MEASURES)])
+    m = df.mapInArrow(partial(_measure, name=text_col, kept=tuple(df.columns), mark=MARK), schema)
+    return m.where(_bits(MARK).bitwiseAND(F.lit(mask(policy))) == 0).select(*df.columns)
 
 
 def apply_policy(ledger: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
