@@ -59,11 +59,11 @@ def _rank(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_inverse=True)[1]
 
 
-def _repeats(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Words of each text covered by windows found twice or more in that text. Windows are ranked exactly, by pairs."""
+def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Whether each word is covered by a window found twice or more in its text. Windows are ranked exactly, by pairs."""
     k = len(ids) - WINDOW + 1
     if k < 2:
-        return np.zeros(n_docs, np.int64)
+        return np.zeros(len(ids), bool)
     m = np.int64(ids.max() + 1)
     two = _rank(ids[:-1] * m + ids[1:])
     m2 = np.int64(two.max() + 1)
@@ -76,7 +76,7 @@ def _repeats(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     at = np.flatnonzero(often)
     step[at] += 1
     np.subtract.at(step, at + WINDOW, 1)
-    return np.bincount(doc[np.cumsum(step[:-1]) > 0], minlength=n_docs)
+    return np.cumsum(step[:-1]) > 0
 
 
 def _measure(batches, name: str = "text", kept: tuple[str, ...] = ("doc_id",), mark: str = ""):
@@ -87,7 +87,7 @@ def _measure(batches, name: str = "text", kept: tuple[str, ...] = ("doc_id",), m
             n = b.num_rows
             raw, offs = utf8_buffers(text)
             blank = _BLANK[raw]
-            coded, doc = _words(raw, offs, blank)
+            coded, doc = coded_words(raw, offs, blank)
             n_words = np.bincount(doc, minlength=n)
             lead = (raw & 0xC0) != 0x80
             chars = _per_doc(lead & ~blank, offs)
@@ -100,11 +100,11 @@ def _measure(batches, name: str = "text", kept: tuple[str, ...] = ("doc_id",), m
             again = np.ones(len(pair), bool)
             again[first] = False
             n_dup = np.bincount(line_doc[has_word][again], minlength=n)
-            got = (n_words, chars, _per_doc(_SYMBOL[raw], offs), n_dup, _repeats(coded, doc, n), _per_doc(_UPPER[raw], offs), _per_doc(_LETTER[raw], offs), _per_doc(raw == ord("|"), offs))
+            got = (n_words, chars, _per_doc(_SYMBOL[raw], offs), n_dup, np.bincount(doc[repeated_words(coded, doc, n)], minlength=n), _per_doc(_UPPER[raw], offs), _per_doc(_LETTER[raw], offs), _per_doc(raw == ord("|"), offs))
             yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in kept), *(pa.array(x, pa.int64()) for x in got)], names=[*kept, *(mark + m for m in MEASURES)])
 
 
-def _words(raw: np.ndarray, offs: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def coded_words(raw: np.ndarray, offs: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Dictionary code of each word (exact: equal codes are equal bytes) and its text's index."""
     n = len(raw)
     if not n:
