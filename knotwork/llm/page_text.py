@@ -241,7 +241,7 @@ def levels_of(parent: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
 
 
-def labelled_pages(count: int = 160, seed: int = 5) -> list[str]:
+def labelled_pages(count: int = 240, seed: int = 5) -> list[str]:
     """Pages of many layouts whose elements say by ``data-content`` whether they are main text (inherited downward)."""
     r = random.Random(seed)
     syllables = "an en er in on re st th ti ou ha le de la es be ver ung ción mente aux ment".split()
@@ -260,10 +260,11 @@ def labelled_pages(count: int = 160, seed: int = 5) -> list[str]:
 
     def body():
         out = []
-        for _ in range(r.randint(1, 9)):
+        short, tiny = r.random() < 0.35, r.random() < 0.4
+        for _ in range(r.randint(1, 9) if r.random() < 0.7 else r.randint(10, 60)):
             kind = r.random()
             if kind < 0.68:
-                s = " ".join(sentence() for _ in range(r.choice([1, 1, 2, 4, 8])))
+                s = " ".join((sentence(1, 4) if tiny else sentence()) if short else sentence() for _ in range(1 if short else r.choice([1, 1, 2, 4, 8])))
                 if r.random() < 0.2:
                     s += f' <a href="/x">{words(1, 3)}</a> {words(1, 6)}.'
                 if r.random() < 0.15:
@@ -291,7 +292,7 @@ def labelled_pages(count: int = 160, seed: int = 5) -> list[str]:
         note = r.choice([no("div", 'class="cookie-notice"', f"<p>{sentence(6, 25)}</p><button>{words(1, 2)}</button>"), no("div", 'role="alert" class="notice"', sentence(5, 20)), no("dialog", 'id="consent"', f"<p>{sentence(6, 20)}</p>"), "", ""])
         side = r.choice([no("aside", "", f"<h3>{words(1, 3)}</h3><ul>{links(5)}</ul>"), no("div", 'class="sidebar"', f"<h3>{words(1, 3)}</h3><p>{sentence(5, 25)}</p>"), no("section", 'class="related"', f"<h2>{words(1, 3)}</h2>{sentence(3, 9)}"), no("aside", 'class="widget"', f"<p>{' '.join(sentence() for _ in range(3))}</p>"), ""])
         form = r.choice([no("form", 'action="/search"', f"<label>{words(1, 3)}</label><input name=q><button>{words(1, 1)}</button>"), no("form", "", f"<p>{sentence(3, 9)}</p><select><option>{words(1, 2)}<option>{words(1, 2)}</select>"), ""])
-        talk = r.choice([no("section", r.choice(['class="comments"', 'id="comments"']), f"<h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><p>{" ".join(sentence() for _ in range(r.randint(1, 3)))}</p></div>' for _ in range(r.randint(1, 5)))), no("ol", 'class="comment-list"', "".join(f"<li><article><p>{sentence()}</p></article></li>" for _ in range(3))), "", ""])
+        talk = r.choice([no("section", r.choice(['class="comments"', 'id="comments"']), f"<h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><p>{" ".join(sentence() for _ in range(r.randint(1, 3)))}</p></div>' for _ in range(r.choice([1, 2, 3, 5, 12, 30])))), no("ol", 'class="comment-list"', "".join(f"<li><article><p>{sentence()}</p></article></li>" for _ in range(r.choice([1, 3, 8, 20])))), "", ""])
         foot = r.choice([no("footer", "", f"&copy; {words(1, 2)} &middot; {' '.join(sentence(3, 12) for _ in range(r.randint(1, 2)))}"), no("div", 'class="footer"', f"<p>{sentence(4, 14)}</p><ul>{links(3)}</ul>"), ""])
         inside = r.random() < 0.25
         article_head = f"<h1>{words(2, 9)}</h1>" if r.random() < 0.8 else ""
@@ -310,7 +311,7 @@ def _page_arrays(source: str):
 
 
 @lru_cache(maxsize=1)
-def trained(count: int = 160, seed: int = 5, rounds: int = 120, rate: float = 0.5, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def trained(count: int = 240, seed: int = 5, rounds: int = 200, rate: float = 0.5, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Unary weights and pairwise weights (by parent kind and node kind, 2 x 2) that maximise the labelled pages' likelihood."""
     xs, parents, kinds, ys, base = [], [], [], [], 0
     for source in labelled_pages(count, seed):
@@ -370,8 +371,8 @@ def main_text(source: str, w: np.ndarray, q: np.ndarray) -> str:
     return "\n\n".join(blocks)
 
 
-def _extract(batches):
-    w, q = trained()
+def _extract(batches, model):
+    w, q = model
     for whole in batches:
         for b in slices(whole, "html", 2 << 20):
             text = [main_text(h, w, q) if h else "" for h in b.column(2).to_pylist()]
@@ -388,7 +389,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     prepare(df.sparkSession)
     d = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    return d.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return d.mapInArrow(partial(_extract, model=trained()), "page_id long, url string, text string, n_chars long")
 
 
 def op2_page_text(spark, sf_dir: str) -> DataFrame:
