@@ -388,3 +388,52 @@ def _(spark, d):
     c = load(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
     k = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("n"), "l_partkey"))
     return c.withColumn("k", k).where("k <= 10").drop("k")
+
+
+@query("text_levenshtein", "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS BIGINT) AS d FROM part")
+def _(spark, d):
+    return load(spark, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("d"))
+
+
+@query("text_similarity")
+def _(spark, d):
+    from knotwork.functions.distance import snippet_similarities
+
+    return load(spark, d, "part").select("p_partkey", F.round(snippet_similarities("p_name", "p_type"), 6).alias("similarity"))
+
+
+CLASS_SQL = "WITH s AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'A' ELSE l_returnflag END AS name, sum(l_tax) AS p FROM lineitem GROUP BY ALL) SELECT l_orderkey, name AS best, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(p, 6) DESC, name) AS k FROM s) WHERE k = 1"
+
+
+@query("taxonomy_best_class", CLASS_SQL)
+def _(spark, d):
+    from knotwork.operators.learning import best_class
+
+    flags = load(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.round(F.sum("l_tax"), 6).alias("p"))
+    maps = flags.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "p"))).alias("scores"))
+    mapping = spark.createDataFrame([("R", "A")], "old string, new string")
+    best = best_class(maps, "l_orderkey", mapping)
+    return best.withColumn("p", F.round("p", 6))
+
+
+@query("topics_lda")
+def _(spark, d):
+    from knotwork.operators.learning import topics
+
+    docs = load(spark, d, "documents").where("lang = 'en' and n_chars < 2000")
+    t = topics(docs, "doc_id", k=5, passes=3)
+    return t.select("doc_id", F.round(F.array_max("topics"), 3).alias("strongest"))
+
+
+@query("pair_classifier")
+def _(spark, d):
+    from knotwork.operators.learning import classified_pairs, pair_classifier
+    from knotwork.plans.carriers import vectors as carried
+
+    v = carried(spark, d, "vec_id % 25")
+    a, b = v.select("block", F.col("rid").alias("src")), v.select("block", F.col("rid").alias("dst"))
+    pairs = a.join(b, "block").where("src < dst")
+    truth = load(spark, d, "embeddings").select("vec_id", "label")
+    same = pairs.join(truth.select(F.col("vec_id").alias("src"), F.col("label").alias("x")), "src").join(truth.select(F.col("vec_id").alias("dst"), F.col("label").alias("y")), "dst")
+    model = pair_classifier(same.select("block", "src", "dst", (F.col("x") == F.col("y")).cast("int").alias("label")), v)
+    return classified_pairs(model, pairs, v).withColumn("sim", F.round("sim", 4))
