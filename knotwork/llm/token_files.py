@@ -18,7 +18,7 @@ import re
 import uuid
 import zlib
 from functools import lru_cache, partial
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import cut, digest_input, prepare, shared_dir, slices, table
+from knotwork.llm.common import cut, digest_input, prepare, shared_dir, slices, table, utf8_buffers
 
 MAGIC, BLOCK, END_ID = b"KWDAC1\n\0", 512, 2
 NULL_ID = np.iinfo(np.int64).min
@@ -38,65 +38,96 @@ _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _RISKY = rf"[{_SPACE}] (?:[{_SPACE}]|\z)|<\|"
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,!?;:|$*#%&)\""]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+
+
+def safe_cuts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where texts may be cut without changing a piece, as sorted byte positions with every text's begin.
+
+    The tokenizer's pieces are runs of letters, of digits or of other marks, each with one space before it at most, and
+    runs of white space. So a cut is safe before a space (callers see to runs of white space), between a Latin letter
+    and a plain mark, and around a line feed between non-spaces.
+    """
+    n = len(raw)
+    cut = raw == 32
+    if n > 1:
+        letter = _LETTER[raw]
+        wide = np.zeros(n, bool)
+        wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        cut[1:] |= _MARK[raw[1:]] & (letter | wide)[:-1]
+        solid = ~_BLANK[raw] & (raw < 0x80) | wide
+        alone = np.zeros(n, bool)
+        alone[1:-1] = (raw[1:-1] == 10) & solid[:-2] & (_LETTER[raw[2:]])
+        cut |= alone
+        cut[1:] |= alone[:-1]
+    cut[offs[:-1][offs[:-1] < n]] = True
+    return np.flatnonzero(cut)
+
+
 class WordEncoder:
     """Byte-level BPE of whole texts by the tokenizers library, each distinct word encoded once.
 
-    The library's split never joins what stands before a space to the space, unless the space is inside a run of white
-    space; so texts are cut before their spaces, and texts with such runs (or what looks like a special token) are
-    encoded as a whole.
+    Texts are cut at safe places and the parts encoded; texts with a space inside a run of white space, or with what
+    looks like a special token, are encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, texts: list[str]) -> list[np.ndarray]:
-        new = [w for w in texts if w not in self.cache]
-        if len(self.cache) + len(new) > self.most:  # bounded memory; what is needed again is encoded again
-            self.cache = {}
-            new = texts
-        self.cache.update(zip(new, self._encode(new), strict=True))
-        return [self.cache[w] for w in texts]
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.pool, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, names: list[bytes]) -> np.ndarray:
+        """Slots of these distinct words. What is remembered is bounded; a forgotten word is encoded again."""
+        slot = self.slot
+        new = [w for w in names if w not in slot]
+        if len(slot) + len(new) > self.most:
+            self.forget()
+            slot, new = self.slot, names
+        if new:
+            ids = self._encode([w.decode() for w in new])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))))
+            slot.update(zip(new, range(len(slot), len(slot) + len(new)), strict=True))
+        return np.fromiter(map(slot.__getitem__, names), np.int64, len(names))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each text's first, for an array without nulls."""
         n = len(texts)
         risky = pc.match_substring_regex(texts, _RISKY)
-        plain = pc.if_else(risky, "", texts)
-        split = pc.split_pattern(plain, " ")
-        words, doc = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
-        first = np.ones(len(doc), bool)
-        first[1:] = doc[1:] != doc[:-1]
-        coded = words.dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        size = len(coded.dictionary)
-        code[~first] += size  # words after a space are another word
-        used = np.zeros(2 * size, bool)
-        used[code] = True
-        names = coded.dictionary.to_pylist()
-        at = np.flatnonzero(used)
-        ids = self.words([names[k] if k < size else " " + names[k - size] for k in at.tolist()])
-        whole = np.flatnonzero(risky.to_numpy(zero_copy_only=False))
-        extra = self._encode([texts[int(k)].as_py() for k in whole])
-        lengths = np.array([len(x) for x in ids] + [len(x) for x in extra], np.int64)
-        pool = np.concatenate([*ids, *extra, np.zeros(0, np.uint32)])
-        begin = np.concatenate(([0], np.cumsum(lengths)))
-        slot = np.zeros(2 * size, np.int64)
-        slot[at] = np.arange(len(at))
-        piece = slot[code]
-        piece[np.isin(doc, whole) & first] = len(at) + np.arange(len(whole))
-        k = lengths[piece]
+        raw, offs = utf8_buffers(pc.if_else(risky, "", texts) if pc.any(risky).as_py() else texts)
+        begin = safe_cuts(raw, offs) if len(raw) else np.zeros(0, np.int64)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw)).astype(np.int64)), pa.py_buffer(raw.tobytes())])
+        coded = parts.dictionary_encode()
+        slot = self.words(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        k = self.size[slot]
         total = np.cumsum(k)
-        source = np.repeat(begin[piece] - (total - k), k) + np.arange(total[-1] if len(total) else 0)
-        per_doc = np.bincount(doc, weights=k, minlength=n).astype(np.int64)
-        return pool[source], np.concatenate(([0], np.cumsum(per_doc)))
+        ids = self.pool[np.repeat(self.first[slot] - (total - k), k) + np.arange(total[-1] if len(total) else 0)]
+        at = np.concatenate(([0], total))[np.searchsorted(begin, offs)]
+        whole = np.flatnonzero(risky.to_numpy(zero_copy_only=False))
+        if len(whole):
+            extra = [np.array(x, np.uint32) for x in self._encode([texts[int(d)].as_py() for d in whole])]
+            ids = np.insert(ids, np.repeat(at[whole], [len(x) for x in extra]), np.concatenate(extra))
+            longer = np.zeros(n + 1, np.int64)
+            longer[whole + 1] = [len(x) for x in extra]
+            at = at + np.cumsum(longer)
+        return ids, at
 
 
 @lru_cache(maxsize=2)
