@@ -320,7 +320,8 @@ def _read(batches):
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files, from the files alone."""
     paths = manifest.select("path", "before")
-    return paths.repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given outright is not coalesced: paths are small, files are not
+    return paths.repartition(tasks, "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
