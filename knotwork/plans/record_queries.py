@@ -402,18 +402,17 @@ def _(spark, d):
     return load(spark, d, "part").select("p_partkey", F.round(snippet_similarities("p_name", "p_type"), 6).alias("similarity"))
 
 
-CLASS_SQL = "WITH s AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'A' ELSE l_returnflag END AS name, sum(l_tax) AS p FROM lineitem GROUP BY ALL) SELECT l_orderkey, name AS best, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(p, 6) DESC, name) AS k FROM s) WHERE k = 1"
+CLASS_SQL = "WITH s AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'A' ELSE l_returnflag END AS name, CAST(sum(l_linenumber) AS DOUBLE) AS p FROM lineitem GROUP BY ALL) SELECT l_orderkey, name AS best, p FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, name) AS k FROM s) WHERE k = 1"
 
 
 @query("taxonomy_best_class", CLASS_SQL)
 def _(spark, d):
     from knotwork.operators.learning import best_class
 
-    flags = load(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.round(F.sum("l_tax"), 6).alias("p"))
+    flags = load(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_linenumber").cast("double").alias("p"))
     maps = flags.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "p"))).alias("scores"))
     mapping = spark.createDataFrame([("R", "A")], "old string, new string")
-    best = best_class(maps, "l_orderkey", mapping)
-    return best.withColumn("p", F.round("p", 6))
+    return best_class(maps, "l_orderkey", mapping)
 
 
 @query("topics_lda")
