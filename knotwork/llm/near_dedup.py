@@ -1,16 +1,17 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 Every document becomes its set of word shingles and a row of minwise tokens. Independent trees branch the documents:
-a node picks each token position with probability ``branch / positions`` (a hash of node and position decides, so the
-node needs no state), and a document goes to one child for each picked position, named by its token there. Documents
-that agree in picked tokens share the child. A node of at most ``leaf`` documents is compared exhaustively on the
+the first ``PATH`` steps of a tree are taken at once, by positions drawn for the tree; after that a node picks each
+token position with probability ``branch / positions`` (a hash of node and position decides, so the node needs no
+state), and a document goes to one child for each picked position, named by its token there. Documents that agree in picked tokens share the child. A node of at most ``leaf`` documents is compared exhaustively on the
 tokens; larger nodes branch again. Candidates are confirmed on full shingle sets, and confirmed links give components.
 
-What keeps groups of copies linear: documents with equal sets are one representative; a leaf emits a spanning forest of
-its surely similar pairs plus the doubtful pairs between its parts, and if a sure pair fails its confirmation, the
-leaves that relied on it are compared again without the shortcut; nodes that stay large are compared in blocks of
-``leaf`` documents, each block pair being a task's group of bounded size; and in nodes above ``giant`` documents those
-that are close to the node's pivot are linked with it and leave.
+What keeps groups of copies small: documents with equal sets are one representative; a leaf first emits a spanning
+forest of its candidates, and after their confirmation only the candidates between components that are still apart, so
+no candidate is left untested whose documents are not together already; in larger nodes the documents near the node's pivot
+are compared in pairs of blocks, each a group of bounded size, and only those far from it branch on. Beyond ``GIANT``
+documents in a node, where pairs of blocks would be too many, those surely similar to the pivot are linked with it and
+leave; a document whose only link is to one of those can then be missed in that tree.
 """
 
 from __future__ import annotations
@@ -27,58 +28,61 @@ from knotwork.llm.common import cut, digest_input, prepare, slices
 from knotwork.llm.shingles import U, mix, shingle_sets
 from knotwork.operators.components import connected_components
 
-POSITIONS, TREES, BRANCH, LEAF, DEPTH, GIANT = 128, 16, 1.25, 192, 5, 8192
-#: Of 128 tokens: pairs with at least SURE equal ones are near certain to pass at 0.8, those below DOUBT to fail (4.5 standard deviations).
-SURE, DOUBT = 117, 83
-SKETCH = "doc_id long, n_shingles long, digest string, tokens binary"
+POSITIONS, TREES, PATH, BRANCH, LEAF, DEPTH, GIANT = 128, 20, 3, 1.25, 512, 20, 16384
+SEED = 20240611
+#: Of 128 tokens: pairs with at least SURE equal ones are near certain to pass at 0.8; pairs below DOUBT are three
+#: standard deviations under it and are not candidates.
+SURE, DOUBT = 117, 88
+#: In a node too large for a leaf, documents with at least NEAR tokens of the pivot's are compared in blocks, those with
+#: less than FAR branch on. Similarity at 0.8 means a distance of 0.2 at most, and distances obey the triangle
+#: inequality, so with FAR - NEAR above 0.2 of the tokens a linked pair is together in one of the two.
+NEAR, FAR = 64, 98
+SKETCH = "doc_id long, n_shingles long, digest string, roots array<long>, tokens binary"
 _ODD = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * U(0xA24BAED4963EE407)) | U(1)
 _XOR = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * U(0x9FB21C651E98DF25))
+_CHANCE = U(int(BRANCH / POSITIONS * 2**64))
+#: The first ``PATH`` positions of every tree: all documents stand at its root, so all choose alike.
+_PICKS = np.array([np.random.default_rng([SEED, t]).choice(POSITIONS, PATH, replace=False) for t in range(TREES)])
 
 
 def _sketches(batches, words: int):
+    """Each document's set size and digest, where the first steps of all trees lead (by full minwise values), and a byte of each token."""
     for whole in batches:
         for b in slices(whole, "text"):
             x, at = shingle_sets(b.column(1), words)
             size = np.diff(at)
             some = np.flatnonzero(size)
-            tokens = np.zeros((b.num_rows, POSITIONS), np.uint16)
-            if len(some):
-                for k in range(POSITIONS):
-                    low = np.minimum.reduceat((x ^ _XOR[k]) * _ODD[k], at[:-1][some])
-                    tokens[some, k] = mix(low) >> U(48)
+            low = np.zeros((b.num_rows, POSITIONS), np.uint64)
+            for k in range(POSITIONS) if len(some) else ():
+                low[some, k] = mix(np.minimum.reduceat((x ^ _XOR[k]) * _ODD[k], at[:-1][some]))
+            tokens = (low >> U(56)).astype(np.uint8)
+            roots = np.empty((b.num_rows, TREES), np.uint64)
+            for t in range(TREES):
+                roots[:, t] = U(t + 1)
+                for k in _PICKS[t]:
+                    roots[:, t] = mix(mix(roots[:, t] + _ODD[k]) ^ low[:, k])
             raw = x.tobytes()
             names = [hashlib.blake2b(raw[8 * at[i] : 8 * at[i + 1]], digest_size=16).hexdigest() if size[i] else None for i in range(b.num_rows)]
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(names, pa.string()), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["doc_id", "n_shingles", "digest", "tokens"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TREES), pa.array(roots.reshape(-1).view(np.int64)))
+            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(names, pa.string()), keys, pa.array([t.tobytes() for t in tokens], pa.binary())], names=["doc_id", "n_shingles", "digest", "roots", "tokens"])
 
 
 def _token_rows(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, POSITIONS)
 
 
 def _children(node: np.ndarray, tokens: np.ndarray):
     """(row, child) for every position that a row's node picks."""
-    chance = U(int(BRANCH / POSITIONS * 2**64))
     rows, names = [], []
     step = 1 << 13
     for a in range(0, len(node), step):
         n = node[a : a + step]
-        draw = mix(n[:, None] ^ _XOR[None, :])
-        r, p = np.nonzero(draw < chance)
+        r, p = np.nonzero(mix(n[:, None] ^ _XOR[None, :]) < _CHANCE)
         rows.append(r + a)
         names.append(mix(mix(n[r] + _ODD[p]) ^ (tokens[a + r, p].astype(np.uint64) + U(1))))
     return np.concatenate(rows), np.concatenate(names)
 
 
-def _roots(batches):
-    """Branch every document at the root of every tree."""
-    roots = mix(np.arange(1, TREES + 1, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F))
-    for b in batches:
-        tokens, rep = _token_rows(b.column(1)), b.column(0).to_numpy()
-        for root in roots:
-            r, child = _children(np.full(len(rep), root, np.uint64), tokens)
-            yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(rep[r])], names=["node", "rep"])
-
-
 def _branch(batches):
     for b in batches:
         if b.num_rows:
@@ -86,42 +90,69 @@ def _branch(batches):
             yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(b.column(1).to_numpy()[r])], names=["node", "rep"])
 
 
-def _groups(batches, most: int):
-    """Whole nodes from rows sorted by node, as (node, rep, low bytes of the tokens)."""
+def _groups(batches, labelled: bool):
+    """Whole nodes from rows sorted by node, as (rep, tokens, component or None)."""
     held: list[tuple] = []
+    at = None
+
+    def whole():
+        return tuple(np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True))
+
     for b in batches:
         if not b.num_rows:
             continue
-        node, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
-        sketch = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, POSITIONS)
+        node, rep, tokens = b.column(0).to_numpy(), b.column(1).to_numpy(), _token_rows(b.column(2))
+        label = b.column(3).to_numpy() if labelled else None
         cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
         for a, e in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(node)])), strict=True):
-            if held and held[0][0] != node[a]:
-                yield held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            if held and at != node[a]:
+                yield whole()
                 held = []
-            held.append((node[a], rep[a:e], sketch[a:e]))
+            at = node[a]
+            held.append((rep[a:e], tokens[a:e], label[a:e] if labelled else None))
     if held:
-        yield held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        yield whole()
+
+
+def _equal_bytes(tokens: np.ndarray) -> np.ndarray:
+    """Number of equal tokens of every two rows, eight tokens a step: a byte of x is zero where its high bit stays clear."""
+    n = len(tokens)
+    words = np.ascontiguousarray(tokens).view(np.uint64)
+    low = U(0x7F7F7F7F7F7F7F7F)
+    out = np.empty((n, n), np.uint8)
+    for i in range(0, n, 64):
+        differ = np.zeros((min(64, n - i), n), np.uint8)
+        for w in range(words.shape[1]):
+            x = words[i : i + 64, None, w] ^ words[None, :, w]
+            differ += np.bitwise_count((((x & low) + low) | x) & ~low)
+        out[i : i + 64] = POSITIONS - differ
+    return out
 
 
-def _pairs(batches, shortcut: bool):
-    """Candidate pairs of every leaf: (a < b, equal tokens, node)."""
+def _pairs(batches, labelled: bool):
+    """Candidate pairs of every leaf: (a < b, equal tokens).
+
+    Without labels a spanning forest of the most similar candidates; with each document's component so far, all
+    candidates between different components. A pair that shares several trees' first steps is told in the first of them.
+    """
     out: list[tuple] = []
     n_out = 0
-    for node, rep, sketch in _groups(batches, LEAF):
+    for rep, tokens, label in _groups(batches, labelled):
         rep, first = np.unique(rep, return_index=True)
         n = len(rep)
-        if n < 2:
+        if n < 2 or labelled and (label == label[0]).all():
             continue
-        sketch = sketch[first]
-        same = np.empty((n, n), np.int16)
-        for i in range(0, n, 64):
-            same[i : i + 64] = (sketch[i : i + 64, None, :] == sketch[None, :, :]).sum(2)
-        i, j = np.nonzero(np.triu(same >= DOUBT, 1))
+        tokens = tokens[first]
+        same = _equal_bytes(tokens)
+        hit = same >= DOUBT
+        if labelled:
+            own = label[first]
+            hit &= own[:, None] != own[None, :]
+        i, j = np.nonzero(np.triu(hit, 1))
         if not len(i):
             continue
-        e = same[i, j]
-        if shortcut and len(i) > 1:
+        e = same[i, j].astype(np.int32)
+        if not labelled and len(i) > 1:
             root = list(range(n))
 
             def find(x, root=root):
@@ -130,25 +161,34 @@ def _pairs(batches, shortcut: bool):
                     x = root[x]
                 return x
 
-            keep = np.zeros(len(i), bool)
+            keep, left = np.zeros(len(i), bool), n - 1
             for k in np.argsort(-e, kind="stable").tolist():
                 x, y = find(int(i[k])), find(int(j[k]))
-                keep[k] = x != y
-                if x != y and e[k] >= SURE:
+                if x != y:
                     root[max(x, y)] = min(x, y)
+                    keep[k] = True
+                    left -= 1
+                    if not left:
+                        break
             i, j, e = i[keep], j[keep], e[keep]
-        out.append((rep[i], rep[j], e, np.full(len(i), node)))
+        # The node's tree is the first one whose steps all its documents share; a pair belongs to its own first tree.
+        steps = tokens[:, _PICKS]
+        tree = int(np.argmax((steps == steps[:1]).all((0, 2))))
+        if tree:
+            mine = np.concatenate([~(steps[i[a : a + 50_000], :tree] == steps[j[a : a + 50_000], :tree]).all(2).any(1) for a in range(0, len(i), 50_000)])
+            i, j, e = i[mine], j[mine], e[mine]
+        out.append((rep[i], rep[j], e))
         n_out += len(i)
         if n_out > 20_000:
             yield _pair_batch(out)
             out, n_out = [], 0
-    if out:
+    if n_out:
         yield _pair_batch(out)
 
 
 def _pair_batch(out):
-    a, b, e, node = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.record_batch([pa.array(a), pa.array(b), pa.array(e.astype(np.int32)), pa.array(node)], names=["a", "b", "same", "node"])
+    a, b, e = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(e)], names=["a", "b", "same"])
 
 
 def _confirm(batches, words: int, percent: int):
@@ -174,59 +214,51 @@ def _blocks(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        node, rep, sketch = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2)
-        k = -(-b.column(3).to_numpy() // (LEAF // 2))
+        node, rep = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+        k = np.maximum(-(-b.column(3).to_numpy() // LEAF), 2)
         own = (mix(rep.view(np.uint64) ^ U(0x51ED)) % k.astype(np.uint64)).astype(np.int64)
-        r = np.repeat(np.arange(len(rep)), k)
-        other = np.arange(len(r)) - np.repeat(np.concatenate(([0], np.cumsum(k)[:-1])), k)
+        r = np.repeat(np.arange(len(rep)), k - 1)
+        other = np.arange(len(r)) - np.repeat(np.cumsum(k - 1) - (k - 1), k - 1)
+        other += other >= own[r]
         lo, hi = np.minimum(own[r], other), np.maximum(own[r], other)
         name = mix(mix(node[r] ^ U(0xB10C)) + (lo * 1_000_003 + hi).astype(np.uint64))
         for a in range(0, len(r), 20_000):
             part = slice(a, a + 20_000)
-            yield pa.record_batch([pa.array(name[part].view(np.int64)), pa.array(rep[r[part]]), sketch.take(pa.array(r[part]))], names=["node", "rep", "sketch"])
-
-
-def _low(batches):
-    """Rows with only the low byte of every token."""
-    for b in batches:
-        if b.num_rows:
-            t = _token_rows(b.column(2)).astype(np.uint8)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() for x in t], pa.binary()), b.column(3)], names=["node", "rep", "sketch", "n"])
+            yield pa.record_batch([pa.array(name[part].view(np.int64)), pa.array(rep[r[part]]), b.column(2).take(pa.array(r[part]))], names=["node", "rep", "tokens"])
 
 
 def _near_pivot(batches):
     for b in batches:
         if b.num_rows:
-            same = (_token_rows(b.column(2)).astype(np.uint8) == _token_rows(b.column(4)).astype(np.uint8)).sum(1)
+            same = (_token_rows(b.column(2)) == _token_rows(b.column(4))).sum(1)
             yield pa.record_batch([*(b.column(k) for k in range(4)), b.column(5), pa.array(same.astype(np.int32))], names=["node", "rep", "tokens", "n", "pivot", "same"])
 
 
 def _leaves(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """All leaves as (node, rep, sketch), and pivot pairs of giant nodes."""
+    """All leaves as (node, rep, tokens), and pivot pairs of giant nodes."""
     leaves, pivots = [], []
-    rows = reps.select("rep", "tokens").mapInArrow(_roots, "node long, rep long")
-    for depth in range(1, 4 * DEPTH + 1):
+    rows = reps.select(F.explode("roots").alias("node"), "rep")
+    for depth in range(1, DEPTH + 1):
         counts = cut(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
-        shared = rows.join(counts, "node")
-        shared = cut(shared.join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens", "n"))
         top = counts.agg(F.max("n")).first()[0] or 0
-        leaves.append(shared.where(F.col("n") <= LEAF).mapInArrow(_low, "node long, rep long, sketch binary, n long").drop("n"))
+        shared = rows.join(counts, "node").join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens", "n")
         if top <= LEAF:
+            leaves.append(shared.drop("n"))
             break
+        shared = cut(shared)
+        leaves.append(shared.where(F.col("n") <= LEAF).drop("n"))
         big = shared.where(F.col("n") > LEAF)
+        pivot = big.groupBy("node").agg(F.min_by(F.struct("rep", "tokens"), F.struct(F.xxhash64("rep"), "rep")).alias("p"))
+        pivot = cut(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.tokens").alias("pivot_tokens")))
+        near = big.join(pivot, "node").select("node", "rep", "tokens", "n", "pivot_tokens", "pivot")
+        near = cut(near.mapInArrow(_near_pivot, "node long, rep long, tokens binary, n long, pivot long, same int"))
+        giant = F.col("n") > GIANT
         if top > GIANT:
-            pivot = cut(big.where(F.col("n") > GIANT).groupBy("node").agg(F.min_by(F.struct("rep", "tokens"), F.struct(F.xxhash64("rep"), "rep")).alias("p")).select("node", F.col("p.rep").alias("pivot"), F.col("p.tokens").alias("pivot_tokens")))
-            near = big.where(F.col("n") > GIANT).join(pivot, "node").select("node", "rep", "tokens", "n", "pivot_tokens", "pivot")
-            near = cut(near.mapInArrow(_near_pivot, "node long, rep long, tokens binary, n long, pivot long, same int"))
-            pivots.append(near.where((F.col("same") >= DOUBT) & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "same", "node"))
-            big = big.where(F.col("n") <= GIANT).union(near.where(F.col("same") < SURE).select("node", "rep", "tokens", "n"))
-        if depth >= DEPTH:
-            dense = big if depth == 4 * DEPTH else big.where(F.col("n") <= GIANT)
-            leaves.append(dense.mapInArrow(_low, "node long, rep long, sketch binary, n long").mapInArrow(_blocks, "node long, rep long, sketch binary"))
-            if top <= GIANT or depth == 4 * DEPTH:
-                break
-            big = big.where(F.col("n") > GIANT)
-        rows = big.select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
+            pivots.append(near.where(giant & (F.col("same") >= DOUBT) & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "same"))
+        dense = near.where(~giant & (F.col("same") >= NEAR)) if depth < DEPTH else near
+        leaves.append(dense.select("node", "rep", "tokens", "n").mapInArrow(_blocks, "node long, rep long, tokens binary"))
+        on = near.where(F.when(giant, F.col("same") < SURE).otherwise(F.col("same") < FAR))
+        rows = on.select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
     out = leaves[0]
     for x in leaves[1:]:
         out = out.union(x)
@@ -248,29 +280,29 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     d = digest_input(df, id_col, text_col)
     sk = cut(d.mapInArrow(partial(_sketches, words=words), SKETCH))
     linked = sk.where("digest is not null and doc_id is not null")
-    classes = cut(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("tokens").alias("tokens")))
-    reps = cut(classes.groupBy("rep").agg(F.min(F.struct("digest", "tokens")).alias("t")).select("rep", "t.tokens"))
+    classes = cut(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    first = linked.join(classes.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("own")))
+    reps = cut(first.groupBy("rep").agg(F.min(F.struct("digest", "roots", "tokens")).alias("t")).select("rep", "t.roots", "t.tokens"))
     leaves, pivots = _leaves(reps)
     leaves = cut(leaves)
-    pair = "a long, b long, same int, node long"
-    found = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, shortcut=True), pair)
+    pair = "a long, b long, same int"
+    found = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, labelled=False), pair)
     for x in pivots:
         found = found.union(x)
-    found = cut(found)
     unique = cut(found.groupBy("a", "b").agg(F.max("same").alias("same")))
-    tested = _test(d, unique, words, percent)
-    links = tested.where("linked").select("a", "b")
-    failed = tested.where((F.col("same") >= SURE) & ~F.col("linked")).select("a", "b")
-    if not failed.isEmpty():
-        again = found.join(failed, ["a", "b"]).select("node").distinct()
-        redo = leaves.join(again, "node", "left_semi").repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, shortcut=False), pair)
-        more = redo.groupBy("a", "b").agg(F.max("same").alias("same")).join(unique.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(_test(d, cut(more), words, percent).where("linked").select("a", "b"))
+    links = _test(d, unique, words, percent).where("linked").select("a", "b")
+    # What the forests skipped: candidates whose documents the confirmed links have not brought together.
+    parts = cut(connected_components(links))
+    now = leaves.join(parts, leaves["rep"] == parts["node"], "left").select(leaves["node"], "rep", "tokens", F.coalesce("component", "rep").alias("label"))
+    more = now.repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, labelled=True), pair)
+    more = cut(more.groupBy("a", "b").agg(F.max("same").alias("same")).join(unique.select("a", "b"), ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = links.union(_test(d, more, words, percent).where("linked").select("a", "b"))
     parts = cut(connected_components(links))
     # Only classes that a link or a copy ties to another id need a lookup; the others are their own component.
     label = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"), "members")
     label = cut(label.where("members > 1 or component <> rep").select("digest", "component"))
-    out = sk.drop("tokens").join(label, "digest", "left")
+    out = sk.drop("tokens", "roots").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
