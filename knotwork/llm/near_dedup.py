@@ -32,7 +32,7 @@ POSITIONS, TREES, PATH, BRANCH, LEAF, DEPTH, GIANT = 128, 20, 3, 1.25, 512, 20,
 SEED = 20240611
 #: Of 128 tokens: pairs with at least SURE equal ones are near certain to pass at 0.8; pairs below DOUBT are three
 #: standard deviations under it and are not candidates.
-SURE, DOUBT = 117, 88
+SURE, DOUBT, BEST = 117, 88, 8
 #: In a node too large for a leaf, documents with at least NEAR tokens of the pivot's are compared in blocks, those with
 #: less than FAR branch on. Similarity at 0.8 means a distance of 0.2 at most, and distances obey the triangle
 #: inequality, so with FAR - NEAR above 0.2 of the tokens a linked pair is together in one of the two.
@@ -129,11 +129,11 @@ def _equal_bytes(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(batches, labelled: bool):
+def _pairs(batches, labelled: bool, best: int | None = None):
     """Candidate pairs of every leaf: (a < b, equal tokens).
 
     Without labels a spanning forest of the most similar candidates; with each document's component so far, all
-    candidates between different components. A pair that shares several trees' first steps is told in the first of them.
+    candidates between different components, or only the ``best`` ones of each document outside the leaf's main component. A pair that shares several trees' first steps is told in the first of them.
     """
     out: list[tuple] = []
     n_out = 0
@@ -148,6 +148,14 @@ def _pairs(batches, labelled: bool):
         if labelled:
             own = label[first]
             hit &= own[:, None] != own[None, :]
+            if best is not None and n > best:
+                names, sizes = np.unique(own, return_counts=True)
+                score = np.where(hit, same, 0)
+                top = np.argpartition(-score.astype(np.int16), best, axis=1)[:, :best]
+                few = np.zeros_like(hit)
+                few[np.arange(n)[:, None], top] = True
+                few[own == names[np.argmax(sizes)]] = False
+                hit &= few | few.T
         i, j = np.nonzero(np.triu(hit, 1))
         if not len(i):
             continue
@@ -291,13 +299,17 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         found = found.union(x)
     unique = cut(found.groupBy("a", "b").agg(F.max("same").alias("same")))
     links = _test(d, unique, words, percent).where("linked").select("a", "b")
-    # What the forests skipped: candidates whose documents the confirmed links have not brought together.
-    parts = cut(connected_components(links))
-    now = leaves.join(parts, leaves["rep"] == parts["node"], "left").select(leaves["node"], "rep", "tokens", F.coalesce("component", "rep").alias("label"))
-    more = now.repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, labelled=True), pair)
-    more = cut(more.groupBy("a", "b").agg(F.max("same").alias("same")).join(unique.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(_test(d, more, words, percent).where("linked").select("a", "b"))
+    # What the forests skipped: candidates whose documents the confirmed links have not brought together, first the best
+    # few of each document, then all that are left.
+    tested = unique.select("a", "b")
+    for best in (BEST, None):
+        parts = cut(connected_components(links))
+        now = leaves.join(parts, leaves["rep"] == parts["node"], "left").select(leaves["node"], "rep", "tokens", F.coalesce("component", "rep").alias("label"))
+        more = now.repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, labelled=True, best=best), pair)
+        more = cut(more.groupBy("a", "b").agg(F.max("same").alias("same")).join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.union(_test(d, more, words, percent).where("linked").select("a", "b"))
+            tested = tested.union(more.select("a", "b"))
     parts = cut(connected_components(links))
     # Only classes that a link or a copy ties to another id need a lookup; the others are their own component.
     label = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"), "members")
