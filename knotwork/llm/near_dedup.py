@@ -10,8 +10,9 @@ What keeps groups of copies small: documents with equal sets are one representat
 forest of its candidates, and after their confirmation only the candidates between components that are still apart, so
 no candidate is left untested whose documents are not together already; in larger nodes the documents near the node's pivot
 are compared in pairs of blocks, each a group of bounded size, and only those far from it branch on. Beyond ``GIANT``
-documents in a node, where pairs of blocks would be too many, those surely similar to the pivot are linked with it and
-leave; a document whose only link is to one of those can then be missed in that tree.
+documents in a node the pivot's candidates are confirmed first; the confirmed ones are together already and are not
+compared among themselves, but all others near the pivot are compared with them and with each other. So no pair that is
+still apart is left out at any size; the rows grow with (documents apart) x (documents near) of a node.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ from knotwork.operators.components import connected_components
 
 POSITIONS, TREES, PATH, BRANCH, LEAF, DEPTH, GIANT = 128, 20, 3, 1.25, 512, 20, 16384
 SEED = 20240611
-#: Of 128 tokens: pairs with at least SURE equal ones are near certain to pass at 0.8; pairs below DOUBT are three
-#: standard deviations under it and are not candidates.
-SURE, DOUBT, BEST = 117, 88, 8
+#: Of 128 tokens: pairs with less than DOUBT equal ones are three standard deviations under 0.8 and are not candidates.
+DOUBT, BEST = 88, 8
 #: In a node too large for a leaf, documents with at least NEAR tokens of the pivot's are compared in blocks, those with
 #: less than FAR branch on. Similarity at 0.8 means a distance of 0.2 at most, and distances obey the triangle
 #: inequality, so with FAR - NEAR above 0.2 of the tokens a linked pair is together in one of the two.
@@ -218,15 +218,22 @@ def _confirm(batches, words: int, percent: int):
 
 
 def _blocks(batches):
-    """A dense node's documents for each pair of its blocks: the blocks are of bounded size, so no group grows with the node."""
+    """A dense node's documents for each pair of its blocks: the blocks are of bounded size, so no group grows with the node.
+
+    A node has ``apart`` blocks of documents to compare with all others, then ``held`` blocks of documents that are linked
+    with the pivot and only meet the first ones (a document apart meets its own block's others in any of its pairs).
+    """
     for b in batches:
         if not b.num_rows:
             continue
         node, rep = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-        k = np.maximum(-(-b.column(3).to_numpy() // LEAF), 2)
-        own = (mix(rep.view(np.uint64) ^ U(0x51ED)) % k.astype(np.uint64)).astype(np.int64)
-        r = np.repeat(np.arange(len(rep)), k - 1)
-        other = np.arange(len(r)) - np.repeat(np.cumsum(k - 1) - (k - 1), k - 1)
+        apart, held = b.column(3).to_numpy(), b.column(4).to_numpy()
+        linked = b.column(5).to_numpy(zero_copy_only=False)
+        k = np.where(linked, held, apart)
+        own = (mix(rep.view(np.uint64) ^ U(0x51ED)) % k.astype(np.uint64)).astype(np.int64) + np.where(linked, apart, 0)
+        meets = np.where(linked, apart, apart + held - 1)
+        r = np.repeat(np.arange(len(rep)), meets)
+        other = np.arange(len(r)) - np.repeat(np.cumsum(meets) - meets, meets)
         other += other >= own[r]
         lo, hi = np.minimum(own[r], other), np.maximum(own[r], other)
         name = mix(mix(node[r] ^ U(0xB10C)) + (lo * 1_000_003 + hi).astype(np.uint64))
@@ -242,9 +249,10 @@ def _near_pivot(batches):
             yield pa.record_batch([*(b.column(k) for k in range(4)), b.column(5), pa.array(same.astype(np.int32))], names=["node", "rep", "tokens", "n", "pivot", "same"])
 
 
-def _leaves(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """All leaves as (node, rep, tokens), and pivot pairs of giant nodes."""
+def _leaves(reps: DataFrame, d: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """All leaves as (node, rep, tokens), and the tested pivot pairs of giant nodes."""
     leaves, pivots = [], []
+    blocks = lambda n: F.ceil(n / LEAF)
     rows = reps.select(F.explode("roots").alias("node"), "rep")
     for depth in range(1, DEPTH + 1):
         counts = cut(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
@@ -256,16 +264,23 @@ def _leaves(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         shared = cut(shared)
         leaves.append(shared.where(F.col("n") <= LEAF).drop("n"))
         big = shared.where(F.col("n") > LEAF)
-        pivot = big.groupBy("node").agg(F.min_by(F.struct("rep", "tokens"), F.struct(F.xxhash64("rep"), "rep")).alias("p"))
+        pivot = big.groupBy("node").agg(F.min_by(F.struct("rep", "tokens"), F.struct(F.xxhash64("node", "rep"), "rep")).alias("p"))
         pivot = cut(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.tokens").alias("pivot_tokens")))
         near = big.join(pivot, "node").select("node", "rep", "tokens", "n", "pivot_tokens", "pivot")
         near = cut(near.mapInArrow(_near_pivot, "node long, rep long, tokens binary, n long, pivot long, same int"))
         giant = F.col("n") > GIANT
+        dense = near.where(F.col("same") >= NEAR) if depth < DEPTH else near
+        meet = dense.where(~giant).select("node", "rep", "tokens", F.greatest(blocks(F.col("n")), F.lit(2)).alias("apart"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("linked"))
         if top > GIANT:
-            pivots.append(near.where(giant & (F.col("same") >= DOUBT) & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "same"))
-        dense = near.where(~giant & (F.col("same") >= NEAR)) if depth < DEPTH else near
-        leaves.append(dense.select("node", "rep", "tokens", "n").mapInArrow(_blocks, "node long, rep long, tokens binary"))
-        on = near.where(F.when(giant, F.col("same") < SURE).otherwise(F.col("same") < FAR))
+            pair = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
+            pairs = near.where(giant & (F.col("same") >= DOUBT) & (F.col("rep") != F.col("pivot"))).select(*pair, "same")
+            pivots.append(_test(d, pairs.groupBy("a", "b").agg(F.max("same").alias("same")), words, percent))
+            told = dense.where(giant).select("node", "rep", "tokens", "pivot", *pair).join(pivots[-1].where("linked").select("a", "b", "linked"), ["a", "b"], "left")
+            told = cut(told.select("node", "rep", "tokens", F.coalesce("linked", F.col("rep") == F.col("pivot")).alias("linked")))
+            sizes = told.groupBy("node").agg(blocks(F.count_if(~F.col("linked"))).alias("apart"), blocks(F.count_if("linked")).alias("held"))
+            meet = meet.union(told.join(sizes, "node").select("node", "rep", "tokens", "apart", "held", "linked"))
+        leaves.append(meet.mapInArrow(_blocks, "node long, rep long, tokens binary"))
+        on = near.where(F.col("same") < FAR)
         rows = on.select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
     out = leaves[0]
     for x in leaves[1:]:
@@ -291,14 +306,14 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     classes = cut(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
     first = linked.join(classes.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("own")))
     reps = cut(first.groupBy("rep").agg(F.min(F.struct("digest", "roots", "tokens")).alias("t")).select("rep", "t.roots", "t.tokens"))
-    leaves, pivots = _leaves(reps)
+    leaves, pivots = _leaves(reps, d, words, percent)
     leaves = cut(leaves)
     pair = "a long, b long, same int"
     found = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, labelled=False), pair)
-    for x in pivots:
-        found = found.union(x)
     unique = cut(found.groupBy("a", "b").agg(F.max("same").alias("same")))
     links = _test(d, unique, words, percent).where("linked").select("a", "b")
+    for x in pivots:
+        links = links.union(x.where("linked").select("a", "b"))
     # What the forests skipped: candidates whose documents the confirmed links have not brought together, first the best
     # few of each document, then all that are left.
     tested = unique.select("a", "b")

@@ -97,6 +97,29 @@ def test_large_nodes(spark, monkeypatch):
     assert got == brute_near(rows)
 
 
+def test_giant_nodes(spark, monkeypatch):
+    """Documents whose only link is to one that is surely like the pivot, in nodes of more than GIANT documents."""
+    from knotwork.llm import near_dedup as nd
+
+    monkeypatch.setattr(nd, "LEAF", 16)
+    monkeypatch.setattr(nd, "GIANT", 40)
+    r = random.Random(11)
+
+    def edited(words, n):
+        v = list(words)
+        for k in r.sample(range(len(v)), n):
+            v[k] = f"e{r.random()}"
+        return v
+
+    hub = [f"h{k}" for k in range(200)]
+    members = [edited(hub, 2) for _ in range(160)]
+    rows = [(i, " ".join(v)) for i, v in enumerate(members + [edited(v, 8) for v in members[:50]])]
+    want = brute_near(rows)
+    assert len({c for _, c in want.values()}) < 10
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == want
+
+
 def test_mixing(spark):
     from knotwork.llm.mixing import mix, mixed
 
