@@ -419,8 +419,7 @@ def _(spark, d):
 def _(spark, d):
     from knotwork.operators.learning import topics
 
-    docs = load(spark, d, "documents").where("lang = 'en' and n_chars < 2000")
-    t = topics(docs, "doc_id", k=5, passes=3)
+    t = topics(load(spark, d, "documents"), "doc_id")
     return t.select("doc_id", F.round(F.array_max("topics"), 3).alias("strongest"))
 
 
