@@ -140,10 +140,18 @@ u AS (SELECT doc_id, sentence, min(pos) AS pos FROM w WHERE near = 1 GROUP BY do
 SELECT doc_id, md5(string_agg(sentence, ' ' ORDER BY pos)) AS digest FROM u GROUP BY doc_id"""
 
 
+def selected(docs):
+    return text.selected_text(docs.withColumn("name", F.lit("with")), ["doc_id"], "text", "name").select("doc_id", F.md5("selected").alias("digest"))
+
+
 @query("text_selected", SELECTED)
 def _(spark, d):
-    df = load(spark, d, "documents").where("lang = 'en' and n_chars < 3000").withColumn("name", F.lit("with"))
-    return text.selected_text(df, ["doc_id"], "text", "name").select("doc_id", F.md5("selected").alias("digest"))
+    return selected(load(spark, d, "documents").where("lang = 'en' and n_chars < 3000"))
+
+
+@query("text_selected_all")
+def _(spark, d):
+    return selected(load(spark, d, "documents"))
 
 
 @query("text_feature_string", "SELECT p_partkey, array_to_string(list_concat(list_transform(list_sort(string_split(p_name, ' ')), lambda v: 'NAME-' || v), ['BRAND-' || p_brand]), '_-_') AS features FROM part")

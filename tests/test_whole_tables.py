@@ -30,3 +30,19 @@ def test_topics(spark, folder, monkeypatch):
     got = QUERIES["topics_lda"](spark, folder).collect()
     assert sorted(r["doc_id"] for r in got) == [r[0] for r in ROWS] and sizes == [20]
     assert all(1 / 20 <= r["strongest"] <= 1 for r in got)
+
+
+def test_selected(spark, tmp_path):
+    import hashlib
+    import re
+
+    rows = [(1, "No. One with it. Next one! Far off. Farther.", "en"), (2, "Rien. Avec with moi. Fin.", "fr"), (3, "Nothing here.", "en"), (4, "Filler one. " * 400 + "Here with us. End.", "de"), (5, "Same with. Same with. Other.", "es")]
+    spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t, _ in rows:
+        s = [x for x in re.sub(r"([.!?])\s+", "\\1\x01", t.strip()).split("\x01") if x]
+        near = [x for k, x in enumerate(s) if any("with" in y for y in s[max(k - 1, 0) : k + 2])]
+        if near:
+            want[i] = hashlib.md5(" ".join(dict.fromkeys(near)).encode()).hexdigest()
+    assert sorted(want) == [1, 2, 4, 5]
+    assert {r["doc_id"]: r["digest"] for r in QUERIES["text_selected_all"](spark, str(tmp_path)).collect()} == want
