@@ -124,6 +124,11 @@ def _(spark, d):
     return load(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(text.replace_name(F.col("text"), F.lit("the of"), "someone")).alias("digest"))
 
 
+@query("text_replace_name_all")
+def _(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.md5(text.replace_name(F.col("text"), F.lit("the of"), "someone")).alias("digest"))
+
+
 @query("text_remove_names", "SELECT doc_id, md5(replace(replace(replace(text, 'and', ''), 'of', ''), 'the', '')) AS digest FROM documents")
 def _(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(text.remove_names(F.col("text"), F.array(F.lit("the of")), F.lit("and the"))).alias("digest"))
@@ -174,8 +179,8 @@ DOC_TERMS = r"k AS (SELECT source AS block, doc_id AS rid, unnest(regexp_extract
 TFIDF = "tf AS (SELECT block, rid, term, count(*) AS tf FROM k GROUP BY ALL), nd AS (SELECT count(DISTINCT rid) AS n FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT n FROM nd)), x AS (SELECT block, rid, tf.term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM tf JOIN df ON tf.term = df.term, nd), z AS (SELECT block, rid, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY block, rid)) AS w FROM x)"
 
 
-def document_weights(spark, d):
-    docs = load(spark, d, "documents").where("lang = 'en' and source in ('src1', 'src2', 'src3', 'src4')").select(F.col("source").alias("block"), F.col("doc_id").alias("rid"), "text")
+def document_weights(spark, d, where: str = "lang = 'en' and source in ('src1', 'src2', 'src3', 'src4')"):
+    docs = load(spark, d, "documents").where(where).select(F.col("source").alias("block"), F.col("doc_id").alias("rid"), "text")
     return vectors.tfidf(vectors.tokens(docs, pattern=r"[a-zA-Z0-9_]{2,}"), min_df=2, max_df=0.8)
 
 
@@ -189,6 +194,16 @@ def _(spark, d):
     return vectors.sparse_cosine(document_weights(spark, d)).where("sim > 0.2").withColumn("sim", F.round("sim", 5))
 
 
+@query("tfidf_weights_all")
+def _(spark, d):
+    return document_weights(spark, d, "true").withColumn("w", F.round("w", 6))
+
+
+@query("tfidf_cosine_pairs_all")
+def _(spark, d):
+    return vectors.sparse_cosine(document_weights(spark, d, "true")).where("sim > 0.2").withColumn("sim", F.round("sim", 5))
+
+
 @query("name_tokens", "SELECT p_partkey, CASE WHEN len(t) > 0 THEN array_to_string(t, '+') ELSE lower(p_name) END AS tokens FROM (SELECT p_partkey, p_name, list_sort(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 2)) AS t FROM part)")
 def _(spark, d):
     return load(spark, d, "part").select("p_partkey", F.array_join(names.name_tokens(F.col("p_name")), "+").alias("tokens"))
