@@ -197,3 +197,10 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["unique_id"]: r["ClusterID"] for r in spark.table("online").collect()}
     assert got == {k: k % 2 for k in range(6)}
+
+
+def test_many_clusters():
+    """Forty far pairs need more clusters than thirty."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(40, 16)) * 100, 2, axis=0) + rng.normal(size=(80, 16)) * 0.01
+    assert len(set(numeric.best_kmeans(x))) > 30
