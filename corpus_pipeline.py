@@ -37,7 +37,7 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pieces.piece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return pieces.piece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("quality_rules", _rules), ("exact_dedup", _exact), ("near_dedup", _near), ("mixing", _mix), ("sentencepiece", _pieces)]

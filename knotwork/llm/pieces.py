@@ -184,7 +184,7 @@ class Pieces:
         self.known = pa.array([], pa.large_binary())
         self.best, self.loss = np.zeros(0), np.zeros(0)
         self.first, self.sizes, self.unit_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.searched: dict[tuple[int, int], list[float]] = {}
+        self.searched: dict[tuple[int, int], tuple[list[float], list[np.ndarray]]] = {}
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of one unit in order, by backward A-star with forward Viterbi scores."""
@@ -207,8 +207,23 @@ class Pieces:
                 heapq.heappush(agenda, (-(forward[s] + score + behind), own + tail, s, behind + score))
         return found
 
+    def unit_best(self, slot: int, name: pa.Scalar, n: int) -> tuple[list[float], list[np.ndarray]]:
+        """Scores and ids of a known unit's ``n`` best segmentations; the first ids are the ones that Viterbi chose."""
+        top = self.searched.get((slot, n))
+        if top is None:
+            found = self.n_best(name.as_py().decode(), n)
+            chosen = tuple(self.unit_ids[self.first[slot] : self.first[slot] + self.sizes[slot]].tolist())
+            ids = [chosen, *(x for _, x in found if x != chosen)][: len(found)]  # of equal scores the search may find others first
+            top = self.searched[slot, n] = [x for x, _ in found], [np.array(x, np.int32) for x in ids]
+        return top
+
     def encode(self, texts: pa.Array, n: int = N_BEST):
-        """Ids of each text's best segmentation, where each text's begin, and the scores of its ``n`` best (nan: fewer)."""
+        """``n_best_ids`` without the ids of the others than the best."""
+        return self.n_best_ids(texts, n, False)[:3]
+
+    def n_best_ids(self, texts: pa.Array, n: int = N_BEST, others: bool = True):
+        """Ids of each text's best segmentation, where each text's begin, the scores of its ``n`` best (nan: fewer), and for
+        each text the ids of its second best to ``n``-th best."""
         texts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))
         raw, offs = utf8_buffers(texts)
         space = raw == 32
@@ -228,18 +243,26 @@ class Pieces:
         at = np.concatenate(([0], total))[doc]
         scores = np.full((len(texts), n), np.nan)
         scores[:, 0] = np.add.reduceat(best[code], doc[:-1]) if len(texts) else 0
+        more: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+        ends = np.concatenate(([0], total))
         for d in range(len(texts)) if n > 1 else ():
             own = code[doc[d] : doc[d + 1]]
             lost = loss[own]
             few = np.argpartition(lost, n - 2)[: n - 1] if len(own) >= n else np.arange(len(own))
-            merged = [0.0]
-            for u in own[few[np.isfinite(lost[few])]].tolist():
-                top = self.searched.get((int(slot[u]), n))
-                if top is None:
-                    top = self.searched[int(slot[u]), n] = [x for x, _ in self.n_best(names[u].as_py().decode(), n)]
-                merged = heapq.nsmallest(n, (m + top[0] - x for m in merged for x in top))
-            scores[d, : len(merged)] = scores[d, 0] - np.array(merged)
-        return out, at, scores
+            few = np.sort(few[np.isfinite(lost[few])])
+            # What a segmentation loses, and its changes: (unit of the text, which of the unit's best).
+            merged: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+            for i in few.tolist():
+                top = self.unit_best(int(slot[own[i]]), names[int(own[i])], n)[0]
+                merged = heapq.nsmallest(n, ((m + top[0] - x, (*how, (i, j)) if j else how) for m, how in merged for j, x in enumerate(top)), key=lambda c: (c[0], len(c[1])))
+            scores[d, : len(merged)] = scores[d, 0] - np.array([m for m, _ in merged])
+            for _, how in merged[1:] if others else ():
+                parts, a = [], at[d]
+                for i, j in how:
+                    parts += [out[a : ends[doc[d] + i]], self.unit_best(int(slot[own[i]]), names[int(own[i])], n)[1][j]]
+                    a = ends[doc[d] + i + 1]
+                more[d].append(np.concatenate([*parts, out[a : at[d + 1]]]))
+        return out, at, scores, more
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of each text from its ids (the space put before each text is dropped), and where each begins."""
@@ -264,7 +287,7 @@ def _encode(batches, path: str, with_ids: bool):
     p = pieces(path)
     for whole in batches:
         for b in slices(whole, "text", 2 << 20):
-            ids, at, scores = p.encode(b.column(1))
+            ids, at, scores, more = p.n_best_ids(b.column(1), others=with_ids)
             raw, ends = p.decode(ids, at)
             source, bounds = utf8_buffers(b.column(1))
             n = b.num_rows
@@ -277,20 +300,27 @@ def _encode(batches, path: str, with_ids: bool):
             if with_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 names.append("ids")
+                for j in range(N_BEST - 1):
+                    has = [len(x) > j for x in more]
+                    k = np.array([len(x[j]) if h else 0 for x, h in zip(more, has, strict=True)], np.int32)
+                    flat = np.concatenate([np.zeros(0, np.int32), *(x[j] for x, h in zip(more, has, strict=True) if h)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))).astype(np.int32)), pa.array(flat.astype(np.int32)), mask=pa.array([not h for h in has])))
+                    names.append(f"ids_{j + 2}")
             yield pa.record_batch(cols, names=names)
 
 
 def piece_encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per input row: the best segmentation's ``ids``, ``n_pieces`` and ``ids_crc32`` (ids as little-endian unsigned
-    32-bit integers), the scores of the four best segmentations (null where there are fewer), and what decoding gives:
-    ``decoded_sha256`` (of UTF-8) and ``round_trip`` (it equals the text).
+    32-bit integers), the scores of the four best segmentations and the ids of the second to fourth, ``ids_2`` to ``ids_4``
+    (null where there are fewer), and what decoding gives: ``decoded_sha256`` (of UTF-8) and ``round_trip`` (it equals the
+    text). All ids are left out without ``with_ids``.
 
     Null texts count as empty: a single piece for the space that the model puts before each text. Of segmentations with
     equal scores the one with the longer last piece, then the longer one before it, is the best. Null ids stay null,
     repeated rows have a row each, an empty table gives an empty result, other columns are ignored.
     """
     prepare(df.sparkSession)
-    schema = SCHEMA + (", ids array<int>" if with_ids else "")
+    schema = SCHEMA + (", ids array<int>, ids_2 array<int>, ids_3 array<int>, ids_4 array<int>" if with_ids else "")
     return digest_input(df, id_col, text_col).mapInArrow(partial(_encode, path=model, with_ids=with_ids), schema)
 
 
@@ -313,4 +343,4 @@ def piece_decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return piece_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -190,6 +190,34 @@ def test_tokens(spark):
     assert piece_encode(df.limit(0), model).count() == 0
 
 
+def test_n_best_ids(spark, tmp_path):
+    """The query and the pipeline's last stage return the ids of all dealt segmentations: each decodes to the text and has its score."""
+    import corpus_pipeline
+    from knotwork.llm.entry import QUERIES
+    from knotwork.llm.pieces import piece_decode, pieces
+
+    df = awkward(spark)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    p = pieces(model)
+    plain = lambda ids: not set(ids) & set(p.byte_id.tolist())
+    texts = {(r["doc_id"], r["text"] or "") for r in df.collect()}
+    for out in (QUERIES["op3_sentencepiece"](spark, str(tmp_path)), corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))):
+        rows = out.collect()
+        assert len(rows) == df.count() and any(r["ids_4"] for r in rows)
+        assert {(r["doc_id"], r["text"]) for r in piece_decode(out, model).collect()} == texts
+        for k in (2, 3, 4):
+            back = {(r["doc_id"], r["text"]) for r in piece_decode(out, model, ids_col=f"ids_{k}").collect()}
+            assert back <= texts and len(back) == len({(r["doc_id"], r["decoded_sha256"]) for r in rows if r[f"ids_{k}"] is not None})
+        for r in rows:
+            every = [r["ids"], *(r[f"ids_{k}"] for k in (2, 3, 4) if r[f"ids_{k}"] is not None)]
+            told = [r["score"], *(r[f"score_{k}"] for k in (2, 3, 4) if r[f"score_{k}"] is not None)]
+            assert len(every) == len(told) == len({tuple(x) for x in every}) and r["n_pieces"] == len(r["ids"])
+            for ids, score in zip(every, told, strict=True):
+                if plain(ids):
+                    assert abs(sum(float(p.score[i]) for i in ids) - score) < 1e-6 * max(1, abs(score))
+
+
 def test_pages_and_licenses(spark):
     from knotwork.llm.license_scan import license_scan
     from knotwork.llm.page_text import extract_pages
