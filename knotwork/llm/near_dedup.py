@@ -34,9 +34,9 @@ SEED = 20240611
 #: Of 128 tokens: pairs with less than DOUBT equal ones are three standard deviations under 0.8 and are not candidates.
 DOUBT, BEST = 88, 8
 #: In a node too large for a leaf, documents with at least NEAR tokens of the pivot's are compared in blocks, those with
-#: less than FAR branch on. Similarity at 0.8 means a distance of 0.2 at most, and distances obey the triangle
-#: inequality, so with FAR - NEAR above 0.2 of the tokens a linked pair is together in one of the two.
-NEAR, FAR = 64, 98
+#: less than FAR branch on. Candidates differ in at most POSITIONS - DOUBT tokens, and so do their numbers of tokens equal
+#: to the pivot's, so with FAR - NEAR not below that a candidate pair is together in one of the two.
+NEAR, FAR = 58, 98
 SKETCH = "doc_id long, n_shingles long, digest string, roots array<long>, tokens binary"
 _ODD = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * U(0xA24BAED4963EE407)) | U(1)
 _XOR = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * U(0x9FB21C651E98DF25))
@@ -133,7 +133,8 @@ def _pairs(batches, labelled: bool, best: int | None = None):
     """Candidate pairs of every leaf: (a < b, equal tokens).
 
     Without labels a spanning forest of the most similar candidates; with each document's component so far, all
-    candidates between different components, or only the ``best`` ones of each document outside the leaf's main component. A pair that shares several trees' first steps is told in the first of them.
+    candidates between different components, or only the ``best`` ones of each document outside the leaf's main component. Every leaf tells its pairs, so the trees
+    are independent repeats; a pair that several tell is grouped afterwards.
     """
     out: list[tuple] = []
     n_out = 0
@@ -179,12 +180,6 @@ def _pairs(batches, labelled: bool, best: int | None = None):
                     if not left:
                         break
             i, j, e = i[keep], j[keep], e[keep]
-        # The node's tree is the first one whose steps all its documents share; a pair belongs to its own first tree.
-        steps = tokens[:, _PICKS]
-        tree = int(np.argmax((steps == steps[:1]).all((0, 2))))
-        if tree:
-            mine = np.concatenate([~(steps[i[a : a + 50_000], :tree] == steps[j[a : a + 50_000], :tree]).all(2).any(1) for a in range(0, len(i), 50_000)])
-            i, j, e = i[mine], j[mine], e[mine]
         out.append((rep[i], rep[j], e))
         n_out += len(i)
         if n_out > 20_000:

@@ -120,6 +120,21 @@ def test_giant_nodes(spark, monkeypatch):
     assert got == want
 
 
+def test_every_leaf_tells_its_pairs():
+    """A chance tie of bytes in an earlier tree does not take a pair from a later tree's leaf."""
+    import numpy as np
+    import pyarrow as pa
+
+    from knotwork.llm import near_dedup as nd
+
+    tokens = np.ones((3, nd.POSITIONS), np.uint8)
+    tokens[2] = 9
+    tokens[2, nd._PICKS[5]] = 1
+    batch = pa.record_batch([pa.array([7, 7, 7]), pa.array([1, 2, 3]), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["node", "rep", "tokens"])
+    assert [(r["a"], r["b"]) for x in nd._pairs([batch], labelled=False) for r in x.to_pylist()] == [(1, 2)]
+    assert nd.FAR - nd.NEAR >= nd.POSITIONS - nd.DOUBT
+
+
 def test_mixing(spark):
     from knotwork.llm.mixing import mix, mixed
 
