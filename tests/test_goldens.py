@@ -204,3 +204,18 @@ def test_many_clusters():
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(40, 16)) * 100, 2, axis=0) + rng.normal(size=(80, 16)) * 0.01
     assert len(set(numeric.best_kmeans(x))) > 30
+
+
+def test_components_do_not_depend_on_the_path(spark, monkeypatch):
+    """Distributed rounds and the contraction in one task give the same table."""
+    import random
+
+    from knotwork.operators import components
+
+    r = random.Random(2)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(50)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    rows = lambda: sorted(map(tuple, components.connected_components(edges).collect()))
+    small = rows()
+    monkeypatch.setattr(components, "ONE_TASK", -1)
+    assert rows() == small and (1040, 1000) in small and (2049, 2000) in small
