@@ -2,23 +2,27 @@
 
 Every document becomes its set of word shingles and a row of minwise tokens. Independent trees branch the documents:
 the first ``PATH`` steps of a tree are taken at once, by positions drawn for the tree; after that a node picks each
-token position with probability ``branch / positions`` (a hash of node and position decides, so the node needs no
-state), and a document goes to one child for each picked position, named by its token there. Documents that agree in picked tokens share the child. A node of at most ``leaf`` documents is compared exhaustively on the
-tokens; larger nodes branch again. Candidates are confirmed on full shingle sets, and confirmed links give components.
-
-What keeps groups of copies small: documents with equal sets are one representative; a leaf first emits a spanning
-forest of its candidates, and after their confirmation only the candidates between components that are still apart, so
-no candidate is left untested whose documents are not together already; in larger nodes the documents near the node's pivot
-are compared in pairs of blocks, each a group of bounded size, and only those far from it branch on. Beyond ``GIANT``
-documents in a node the pivot's candidates are confirmed first; the confirmed ones are together already and are not
-compared among themselves, but all others near the pivot are compared with them and with each other. So no pair that is
-still apart is left out at any size; the rows grow with (documents apart) x (documents near) of a node.
+token position with probability ``BRANCH / POSITIONS`` (a hash of node and position decides, so the node needs no
+state), and a document goes to one child for each picked position, named by its token there. Documents that agree in
+picked tokens share the child. A node of at most ``Limits.leaf`` documents is compared exhaustively on the tokens.
+
+A larger node has a pivot. Documents with at least ``NEAR`` of its tokens join the pivot's family, those with less than
+``FAR`` branch on; a candidate pair is together in one of the two, by the triangle inequality. So a group of copies is
+not branched again and again, and no pair of it is told: trees only tell which documents are of one *family*, a
+component of candidates. Links never leave a family.
+
+Families are then resolved on whole shingle sets, which travel once: a family that fits a block (bounded in documents and
+bytes) is one task's work; a larger one is cut into blocks, and each pair of its blocks is one. An inverted index of the
+block's shingles gives a document's exact overlap with all others at once. Documents of the component that is largest so
+far need no look of their own, as a link to another component is seen from the other side. Only spanning forests of
+links come out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +33,25 @@ from knotwork.llm.common import cut, digest_input, prepare, slices
 from knotwork.llm.shingles import U, mix, shingle_sets
 from knotwork.operators.components import connected_components
 
-POSITIONS, TREES, PATH, BRANCH, LEAF, DEPTH, GIANT = 128, 20, 3, 1.25, 512, 20, 16384
+POSITIONS, TREES, PATH, BRANCH, DEPTH = 128, 20, 3, 1.25, 20
 SEED = 20240611
-#: Of 128 tokens: pairs with less than DOUBT equal ones are three standard deviations under 0.8 and are not candidates.
-DOUBT, BEST = 88, 8
-#: In a node too large for a leaf, documents with at least NEAR tokens of the pivot's are compared in blocks, those with
-#: less than FAR branch on. Candidates differ in at most POSITIONS - DOUBT tokens, and so do their numbers of tokens equal
-#: to the pivot's, so with FAR - NEAR not below that a candidate pair is together in one of the two.
-NEAR, FAR = 58, 98
-SKETCH = "doc_id long, n_shingles long, digest string, roots array<long>, tokens binary"
+
+
+class Limits(NamedTuple):
+    """What one task holds. The links do not depend on it."""
+
+    leaf: int = 1024  #: documents of a node that are compared exhaustively
+    local: int = 16384  #: documents of a node that one task branches on its own (2 MB of tokens); larger ones in distributed steps
+    docs: int = 4096  #: documents of a block
+    shingles: int = 1 << 20  #: shingles of a block (8 MB of hashes)
+
+
+#: Of 128 tokens: pairs with less than DOUBT equal ones are 4.5 standard deviations under 0.8 and are not candidates.
+DOUBT = 82
+#: Candidates differ in at most POSITIONS - DOUBT tokens, and so do their numbers of tokens equal to the pivot's; with
+#: FAR - NEAR not below that a candidate pair is near together or far together.
+NEAR, FAR = 52, 98
+SKETCH = "doc_id long, n_shingles long, digest binary, roots array<long>, tokens binary"
 _ODD = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * U(0xA24BAED4963EE407)) | U(1)
 _XOR = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * U(0x9FB21C651E98DF25))
 _CHANCE = U(int(BRANCH / POSITIONS * 2**64))
@@ -45,6 +59,10 @@ _CHANCE = U(int(BRANCH / POSITIONS * 2**64))
 _PICKS = np.array([np.random.default_rng([SEED, t]).choice(POSITIONS, PATH, replace=False) for t in range(TREES)])
 
 
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
 def _sketches(batches, words: int):
     """Each document's set size and digest, where the first steps of all trees lead (by full minwise values), and a byte of each token."""
     for whole in batches:
@@ -61,10 +79,9 @@ def _sketches(batches, words: int):
                 roots[:, t] = U(t + 1)
                 for k in _PICKS[t]:
                     roots[:, t] = mix(mix(roots[:, t] + _ODD[k]) ^ low[:, k])
-            raw = x.tobytes()
-            names = [hashlib.blake2b(raw[8 * at[i] : 8 * at[i + 1]], digest_size=16).hexdigest() if size[i] else None for i in range(b.num_rows)]
+            names = [_digest(x[at[i] : at[i + 1]]) if size[i] else None for i in range(b.num_rows)]
             keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TREES), pa.array(roots.reshape(-1).view(np.int64)))
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(names, pa.string()), keys, pa.array([t.tobytes() for t in tokens], pa.binary())], names=["doc_id", "n_shingles", "digest", "roots", "tokens"])
+            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(names, pa.binary()), keys, pa.array([t.tobytes() for t in tokens], pa.binary())], names=["doc_id", "n_shingles", "digest", "roots", "tokens"])
 
 
 def _token_rows(col: pa.Array) -> np.ndarray:
@@ -90,28 +107,22 @@ def _branch(batches):
             yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(b.column(1).to_numpy()[r])], names=["node", "rep"])
 
 
-def _groups(batches, labelled: bool):
-    """Whole nodes from rows sorted by node, as (rep, tokens, component or None)."""
-    held: list[tuple] = []
-    at = None
-
-    def whole():
-        return tuple(np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True))
-
+def _groups(batches):
+    """Whole groups from rows sorted by their first column, as lists of batches."""
+    held, at = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        node, rep, tokens = b.column(0).to_numpy(), b.column(1).to_numpy(), _token_rows(b.column(2))
-        label = b.column(3).to_numpy() if labelled else None
-        cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
-        for a, e in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(node)])), strict=True):
-            if held and at != node[a]:
-                yield whole()
+        key = b.column(0).to_numpy()
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        for a, e in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(key)])).tolist(), strict=True):
+            if held and at != key[a]:
+                yield at, held
                 held = []
-            at = node[a]
-            held.append((rep[a:e], tokens[a:e], label[a:e] if labelled else None))
+            at = key[a]
+            held.append(b.slice(a, e - a))
     if held:
-        yield whole()
+        yield at, held
 
 
 def _equal_bytes(tokens: np.ndarray) -> np.ndarray:
@@ -129,201 +140,226 @@ def _equal_bytes(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(batches, labelled: bool, best: int | None = None):
-    """Candidate pairs of every leaf: (a < b, equal tokens).
-
-    Without labels a spanning forest of the most similar candidates; with each document's component so far, all
-    candidates between different components, or only the ``best`` ones of each document outside the leaf's main component. Every leaf tells its pairs, so the trees
-    are independent repeats; a pair that several tell is grouped afterwards.
-    """
-    out: list[tuple] = []
-    n_out = 0
-    for rep, tokens, label in _groups(batches, labelled):
-        rep, first = np.unique(rep, return_index=True)
-        n = len(rep)
-        if n < 2 or labelled and (label == label[0]).all():
+def _reached(hit: np.ndarray) -> np.ndarray:
+    """The first row of each row's component in a symmetric matrix of links."""
+    first = np.full(len(hit), -1)
+    for i in range(len(hit)):
+        if first[i] < 0:
+            first[i] = i
+            front = np.array([i])
+            while len(front):
+                front = np.flatnonzero(hit[front].any(0) & (first < 0))
+                first[front] = i
+    return first
+
+
+def _family_edges(node: int, rep: np.ndarray, tokens: np.ndarray, leaf: int):
+    """(document, document) of one family each, for all a node's candidates: a leaf's components, or pivot and branches."""
+    todo = [(U(node), np.arange(len(rep)), 0)]
+    while todo:
+        at, own, depth = todo.pop()
+        if len(own) == 2:
+            if (tokens[own[0]] == tokens[own[1]]).sum() >= DOUBT:
+                yield rep[own[:1]], rep[own[1:]]
             continue
-        tokens = tokens[first]
-        same = _equal_bytes(tokens)
-        hit = same >= DOUBT
-        if labelled:
-            own = label[first]
-            hit &= own[:, None] != own[None, :]
-            if best is not None and n > best:
-                names, sizes = np.unique(own, return_counts=True)
-                score = np.where(hit, same, 0)
-                top = np.argpartition(-score.astype(np.int16), best, axis=1)[:, :best]
-                few = np.zeros_like(hit)
-                few[np.arange(n)[:, None], top] = True
-                few[own == names[np.argmax(sizes)]] = False
-                hit &= few | few.T
-        i, j = np.nonzero(np.triu(hit, 1))
-        if not len(i):
+        if len(own) <= leaf:
+            first = _reached(_equal_bytes(tokens[own]) >= DOUBT)
+            far = np.flatnonzero(first != np.arange(len(own)))
+            yield rep[own[far]], rep[own[first[far]]]
             continue
-        e = same[i, j].astype(np.int32)
-        if not labelled and len(i) > 1:
-            root = list(range(n))
-
-            def find(x, root=root):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            keep, left = np.zeros(len(i), bool), n - 1
-            for k in np.argsort(-e, kind="stable").tolist():
-                x, y = find(int(i[k])), find(int(j[k]))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    keep[k] = True
-                    left -= 1
-                    if not left:
-                        break
-            i, j, e = i[keep], j[keep], e[keep]
-        out.append((rep[i], rep[j], e))
-        n_out += len(i)
-        if n_out > 20_000:
-            yield _pair_batch(out)
-            out, n_out = [], 0
-    if n_out:
-        yield _pair_batch(out)
-
-
-def _pair_batch(out):
-    a, b, e = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.record_batch([pa.array(a), pa.array(b), pa.array(e)], names=["a", "b", "same"])
-
-
-def _confirm(batches, words: int, percent: int):
-    """Exact test of each pair on the full sets of both texts."""
-    for whole in batches:
-        for b in slices(whole, "text_a", 1 << 20):
-            n = b.num_rows
-            xa, at_a = shingle_sets(b.column(3), words)
-            xb, at_b = shingle_sets(b.column(4), words)
-            na, nb = np.diff(at_a), np.diff(at_b)
-            x = np.concatenate((xa, xb))
-            p = np.concatenate((np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)))
-            order = np.lexsort((x, p))
-            x, p = x[order], p[order]
-            hit = (x[1:] == x[:-1]) & (p[1:] == p[:-1])
-            inter = np.bincount(p[1:][hit], minlength=n)
-            linked = 100 * inter >= percent * (na + nb - inter)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(linked)], names=["a", "b", "same", "linked"])
-
-
-def _blocks(batches):
-    """A dense node's documents for each pair of its blocks: the blocks are of bounded size, so no group grows with the node.
-
-    A node has ``apart`` blocks of documents to compare with all others, then ``held`` blocks of documents that are linked
-    with the pivot and only meet the first ones (a document apart meets its own block's others in any of its pairs).
-    """
-    for b in batches:
-        if not b.num_rows:
+        pivot = own[np.argmin(mix(rep[own].view(np.uint64) ^ mix(np.array([at], np.uint64))))]
+        same = (tokens[own] == tokens[pivot]).sum(1)
+        near = own[same >= NEAR] if depth < DEPTH else own
+        yield rep[near], np.full(len(near), rep[pivot])
+        far = own[same < FAR]
+        if depth < DEPTH and len(far):
+            r, child = _children(np.full(len(far), at, np.uint64), tokens[far])
+            order = np.argsort(child, kind="stable")
+            names, begin = np.unique(child[order], return_index=True)
+            for name, part in zip(names, np.split(far[r[order]], begin[1:])):  # noqa: B905  (no child: one empty part)
+                if len(part) > 1:
+                    todo.append((name, part, depth + 1))
+
+
+def _families(batches, leaf: int):
+    out, n = [], 0
+    for node, held in _groups(batches):
+        rep = np.concatenate([b.column(1).to_numpy() for b in held])
+        tokens = np.concatenate([_token_rows(b.column(2)) for b in held])
+        rep, first = np.unique(rep, return_index=True)
+        if len(rep) < 2:
             continue
-        node, rep = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-        apart, held = b.column(3).to_numpy(), b.column(4).to_numpy()
-        linked = b.column(5).to_numpy(zero_copy_only=False)
-        k = np.where(linked, held, apart)
-        own = (mix(rep.view(np.uint64) ^ U(0x51ED)) % k.astype(np.uint64)).astype(np.int64) + np.where(linked, apart, 0)
-        meets = np.where(linked, apart, apart + held - 1)
-        r = np.repeat(np.arange(len(rep)), meets)
-        other = np.arange(len(r)) - np.repeat(np.cumsum(meets) - meets, meets)
-        other += other >= own[r]
-        lo, hi = np.minimum(own[r], other), np.maximum(own[r], other)
-        name = mix(mix(node[r] ^ U(0xB10C)) + (lo * 1_000_003 + hi).astype(np.uint64))
-        for a in range(0, len(r), 20_000):
-            part = slice(a, a + 20_000)
-            yield pa.record_batch([pa.array(name[part].view(np.int64)), pa.array(rep[r[part]]), b.column(2).take(pa.array(r[part]))], names=["node", "rep", "tokens"])
+        for pair in _family_edges(int(node) % 2**64, rep, tokens[first], leaf):
+            out.append(pair)
+            n += len(pair[0])
+        if n > 20_000:
+            yield _edges(out)
+            out, n = [], 0
+    if n:
+        yield _edges(out)
+
+
+def _edges(out, names=("a", "b")):
+    return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=list(names))
 
 
 def _near_pivot(batches):
     for b in batches:
         if b.num_rows:
             same = (_token_rows(b.column(2)) == _token_rows(b.column(4))).sum(1)
-            yield pa.record_batch([*(b.column(k) for k in range(4)), b.column(5), pa.array(same.astype(np.int32))], names=["node", "rep", "tokens", "n", "pivot", "same"])
+            yield pa.record_batch([*(b.column(k) for k in range(4)), pa.array(same.astype(np.int32))], names=["node", "rep", "tokens", "pivot", "same"])
 
 
-def _leaves(reps: DataFrame, d: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """All leaves as (node, rep, tokens), and the tested pivot pairs of giant nodes."""
-    leaves, pivots = [], []
-    blocks = lambda n: F.ceil(n / LEAF)
+def _trees(reps: DataFrame, limits: Limits) -> DataFrame:
+    """``(a, b)``: documents of one family. One shuffle groups the nodes; only nodes above ``limits.local`` need a round of their own."""
     rows = reps.select(F.explode("roots").alias("node"), "rep")
-    for depth in range(1, DEPTH + 1):
+    edges = None
+    for depth in range(DEPTH + 1):
         counts = cut(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         top = counts.agg(F.max("n")).first()[0] or 0
         shared = rows.join(counts, "node").join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens", "n")
-        if top <= LEAF:
-            leaves.append(shared.drop("n"))
-            break
-        shared = cut(shared)
-        leaves.append(shared.where(F.col("n") <= LEAF).drop("n"))
-        big = shared.where(F.col("n") > LEAF)
+        small = shared if top <= limits.local else shared.where(F.col("n") <= limits.local)
+        found = small.drop("n").repartition("node").sortWithinPartitions("node").mapInArrow(partial(_families, leaf=limits.leaf), "a long, b long")
+        edges = found if edges is None else edges.union(found)
+        if top <= limits.local:
+            return edges
+        big = shared.where(F.col("n") > limits.local)
         pivot = big.groupBy("node").agg(F.min_by(F.struct("rep", "tokens"), F.struct(F.xxhash64("node", "rep"), "rep")).alias("p"))
-        pivot = cut(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.tokens").alias("pivot_tokens")))
-        near = big.join(pivot, "node").select("node", "rep", "tokens", "n", "pivot_tokens", "pivot")
-        near = cut(near.mapInArrow(_near_pivot, "node long, rep long, tokens binary, n long, pivot long, same int"))
-        giant = F.col("n") > GIANT
-        dense = near.where(F.col("same") >= NEAR) if depth < DEPTH else near
-        meet = dense.where(~giant).select("node", "rep", "tokens", F.greatest(blocks(F.col("n")), F.lit(2)).alias("apart"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("linked"))
-        if top > GIANT:
-            pair = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
-            pairs = near.where(giant & (F.col("same") >= DOUBT) & (F.col("rep") != F.col("pivot"))).select(*pair, "same")
-            pivots.append(_test(d, pairs.groupBy("a", "b").agg(F.max("same").alias("same")), words, percent))
-            told = dense.where(giant).select("node", "rep", "tokens", "pivot", *pair).join(pivots[-1].where("linked").select("a", "b", "linked"), ["a", "b"], "left")
-            told = cut(told.select("node", "rep", "tokens", F.coalesce("linked", F.col("rep") == F.col("pivot")).alias("linked")))
-            sizes = told.groupBy("node").agg(blocks(F.count_if(~F.col("linked"))).alias("apart"), blocks(F.count_if("linked")).alias("held"))
-            meet = meet.union(told.join(sizes, "node").select("node", "rep", "tokens", "apart", "held", "linked"))
-        leaves.append(meet.mapInArrow(_blocks, "node long, rep long, tokens binary"))
-        on = near.where(F.col("same") < FAR)
-        rows = on.select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.union(x)
-    return out, pivots
-
-
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+        pivot = cut(pivot.select("node", F.col("p.tokens").alias("pivot_tokens"), F.col("p.rep").alias("pivot")))
+        near = big.join(pivot, "node").select("node", "rep", "tokens", "pivot", "pivot_tokens")
+        near = cut(near.mapInArrow(_near_pivot, "node long, rep long, tokens binary, pivot long, same int"))
+        edges = edges.union((near.where(F.col("same") >= NEAR) if depth < DEPTH else near).select("rep", "pivot"))
+        if depth < DEPTH:
+            rows = near.where(F.col("same") < FAR).select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
+    return edges
+
+
+def _sets(batches, words: int):
+    """Each document's whole set, once for each task that needs it: its family's, or those of its block with the others."""
+    for whole in batches:
+        for b in slices(whole, "text"):
+            x, at = shingle_sets(b.column(5), words)
+            out, n = [], 0
+            for i, (rep, digest, family, blocks) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True)):
+                own = x[at[i] : at[i + 1]]
+                if _digest(own) != digest:  # another text of a repeated id
+                    continue
+                data = own.tobytes()
+                key = mix(np.array([family % 2**64], np.uint64))[0]
+                if blocks == 1:
+                    tasks = [key]
+                else:
+                    mine = int(mix(np.array([rep % 2**64], np.uint64))[0]) % blocks
+                    others = np.setdiff1d(np.arange(blocks, dtype=np.uint64), [mine])
+                    tasks = mix(mix(key ^ np.minimum(others, U(mine))) + np.maximum(others, U(mine)))
+                for t in tasks:
+                    out.append((int(t.view(np.int64)), rep, data))
+                    n += len(data)
+                    if n > 4 << 20:
+                        yield _set_batch(out)
+                        out, n = [], 0
+            if out:
+                yield _set_batch(out)
+
+
+def _set_batch(out):
+    task, rep, data = zip(*out, strict=True)
+    return pa.record_batch([pa.array(task, pa.int64()), pa.array(rep, pa.int64()), pa.array(data, pa.binary())], names=["task", "rep", "shingles"])
+
+
+def linked_components(x: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """The first row of each row's component, of rows ``x[at[i]:at[i + 1]]`` (sets), linked by exact overlap.
+
+    Rows are looked at in the order of how common their members are; a look is one pass over the index of the row's
+    members. Rows of the largest component so far are skipped: a link between two components has an end outside of it.
+    """
+    n = len(at) - 1
+    size = np.diff(at)
+    _, member, count = np.unique(x, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    common = count[member] > 1  # a member of one row alone adds to its size only
+    row, member = row[common], member[common]
+    mine = np.searchsorted(row, np.arange(n + 1))
+    posting = row[np.argsort(member, kind="stable")]
+    count = np.where(count > 1, count, 0)
+    begin = np.cumsum(count) - count
+    label = np.arange(n)
+    done = mine[1:] == mine[:-1]
+    order = np.argsort(-np.bincount(row, count[member], n) / np.maximum(size, 1), kind="stable")
+    main = -1
+    while True:
+        left = order[~done[order] & (label[order] != main)]
+        if not len(left):
+            return label
+        i = left[0]
+        done[i] = True
+        m = member[mine[i] : mine[i + 1]]
+        length = count[m]
+        index = np.arange(length.sum()) + np.repeat(begin[m] - np.cumsum(length) + length, length)
+        same = np.bincount(posting[index], minlength=n)
+        linked = 100 * same >= percent * (size[i] + size - same)
+        linked[i] = True
+        joined = np.zeros(n, bool)
+        joined[label[linked]] = True
+        joined = joined[label]
+        label[joined] = label[joined].min()
+        main = np.bincount(label).argmax()
+
+
+def _links(batches, percent: int):
+    """A spanning forest of the links of each task's documents: (document, smallest of its component there)."""
+    out, n = [], 0
+    for _, held in _groups(batches):
+        rep = np.concatenate([b.column(1).to_numpy() for b in held])
+        if len(rep) < 2:
+            continue
+        data = [s for b in held for s in b.column(2).to_pylist()]
+        order = np.argsort(rep, kind="stable")
+        at = np.concatenate(([0], np.cumsum([len(data[i]) // 8 for i in order])))
+        rep = rep[order]
+        first = linked_components(np.frombuffer(b"".join([data[i] for i in order]), np.uint64), at, percent)
+        far = np.flatnonzero(rep[first] != rep)
+        out.append((rep[far], rep[first[far]]))
+        n += len(far)
+        if n > 20_000:
+            yield _edges(out)
+            out, n = [], 0
+    if n:
+        yield _edges(out)
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Two documents are linked if ``100 * intersection >= percent * union`` of their sets of ``words``-word shingles (words
     are runs outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; with fewer words the whole sequence is the one shingle).
     ``component_id`` is the smallest id that links reach. Null or empty texts have no shingle and stand alone; so do
-    rows with a null id (``component_id`` null, kept). Rows that repeat an id are one document; if their texts differ,
-    the id's first text in code point order is what links are confirmed on.
-    An empty table gives an empty result; other columns are ignored. Each pair at the threshold is found with a
-    probability above 0.999 (``TREES`` trees), closer pairs with more.
+    rows with a null id (``component_id`` null, kept). Rows that repeat an id are one document with the links of all its
+    texts; each row has its own text's ``n_shingles``. An empty table gives an empty result; other columns are ignored.
+    A pair at the threshold shares the first steps of one tree at least with a probability above 0.999999 (``TREES``
+    trees), closer pairs with more.
     """
     prepare(df.sparkSession)
     d = digest_input(df, id_col, text_col)
     sk = cut(d.mapInArrow(partial(_sketches, words=words), SKETCH))
     linked = sk.where("digest is not null and doc_id is not null")
-    classes = cut(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
-    first = linked.join(classes.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("own")))
-    reps = cut(first.groupBy("rep").agg(F.min(F.struct("digest", "roots", "tokens")).alias("t")).select("rep", "t.roots", "t.tokens"))
-    leaves, pivots = _leaves(reps, d, words, percent)
-    leaves = cut(leaves)
-    pair = "a long, b long, same int"
-    found = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, labelled=False), pair)
-    unique = cut(found.groupBy("a", "b").agg(F.max("same").alias("same")))
-    links = _test(d, unique, words, percent).where("linked").select("a", "b")
-    for x in pivots:
-        links = links.union(x.where("linked").select("a", "b"))
-    # What the forests skipped: candidates whose documents the confirmed links have not brought together, first the best
-    # few of each document, then all that are left.
-    tested = unique.select("a", "b")
-    for best in (BEST, None):
-        parts = cut(connected_components(links))
-        now = leaves.join(parts, leaves["rep"] == parts["node"], "left").select(leaves["node"], "rep", "tokens", F.coalesce("component", "rep").alias("label"))
-        more = now.repartition("node").sortWithinPartitions("node").mapInArrow(partial(_pairs, labelled=True, best=best), pair)
-        more = cut(more.groupBy("a", "b").agg(F.max("same").alias("same")).join(tested, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.union(_test(d, more, words, percent).where("linked").select("a", "b"))
-            tested = tested.union(more.select("a", "b"))
-    parts = cut(connected_components(links))
+    # A set's tokens are the same in all its documents, so one aggregation leaves the distinct sets.
+    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
+    classes = cut(classes.withColumn("rep", F.xxhash64("digest")))  # a clash of two only makes their family larger
+    family = cut(connected_components(_trees(classes, limits)))
+    found = classes.join(family, classes["rep"] == family["node"]).select("id", "digest", "n_shingles", F.col("component").alias("family"))
+    sizes = found.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / limits.docs), F.ceil(F.sum("n_shingles") / limits.shingles)).alias("blocks"), F.count("*").alias("n"))
+    need = found.join(sizes.where("n > 1"), "family").select("id", "digest", "family", "blocks")
+    texts = d.join(need, d["doc_id"] == need["id"]).select("doc_id", "id", "digest", "family", "blocks", "text")
+    sets = texts.mapInArrow(partial(_sets, words=words), "task long, rep long, shingles binary")
+    links = sets.repartition("task").sortWithinPartitions("task").mapInArrow(partial(_links, percent=percent), "a long, b long")
+    # Texts of one id: their classes' ids are joined.
+    again = linked.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    again = linked.select("doc_id", "digest").join(again, "doc_id", "left_semi").distinct().join(classes.select("digest", "id"), "digest").select("doc_id", "id")
+    parts = cut(connected_components(links.union(again)))
     # Only classes that a link or a copy ties to another id need a lookup; the others are their own component.
-    label = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"), "members")
-    label = cut(label.where("members > 1 or component <> rep").select("digest", "component"))
+    label = classes.join(parts, classes["id"] == parts["node"], "left").select("digest", "id", F.coalesce("component", "id").alias("component"), "members")
+    label = cut(label.where("members > 1 or component <> id").select("digest", "component"))
     out = sk.drop("tokens", "roots").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -335,16 +371,6 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return df.join(kept, df[id_col].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
 
 
-def _test(d: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirm pairs on whole texts: one pass moves the texts that occur in a pair, two joins bring them together."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = d.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "same", "text_a", "text_b")
-    return cut(both.mapInArrow(partial(_confirm, words=words, percent=percent), "a long, b long, same int, linked boolean"))
-
-
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     from knotwork.llm.common import table
 

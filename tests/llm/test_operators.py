@@ -79,60 +79,85 @@ def test_near_dedup(spark):
     assert deduplicate(df).columns == df.columns
 
 
-def test_large_nodes(spark, monkeypatch):
-    """Branching, pivots and blocks of large nodes find what brute force finds."""
-    from knotwork.llm import near_dedup as nd
+def edited(r, words, n):
+    v = list(words)
+    for k in r.sample(range(len(v)), n):
+        v[k] = f"e{r.random()}"
+    return v
 
-    monkeypatch.setattr(nd, "LEAF", 8)
-    r = random.Random(7)
-    hub = [f"h{k}" for k in range(80)]
-    rows = []
-    for i in range(60):
-        v = list(hub)
-        for _ in range(r.randrange(0, 5)):
-            v[r.randrange(len(v))] = f"e{r.random()}"
-        rows.append((i, " ".join(v)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in nd.near_dedup(df, words=2).collect()}
-    assert got == brute_near(rows)
 
+def test_large_nodes_and_families(spark):
+    """Whatever fits a leaf, a task or a block: branching, pivots, distributed steps and pairs of blocks find what brute force finds.
 
-def test_giant_nodes(spark, monkeypatch):
-    """Documents whose only link is to one that is surely like the pivot, in nodes of more than GIANT documents."""
-    from knotwork.llm import near_dedup as nd
+    Among the documents are some whose only link is to one that is surely like its node's pivot.
+    """
+    from knotwork.llm.near_dedup import Limits, near_dedup
 
-    monkeypatch.setattr(nd, "LEAF", 16)
-    monkeypatch.setattr(nd, "GIANT", 40)
     r = random.Random(11)
+    hub = [f"h{k}" for k in range(120)]
+    members = [edited(r, hub, 2) for _ in range(90)]
+    rows = [(i, " ".join(v)) for i, v in enumerate(members + [edited(r, v, 6) for v in members[:50]] + [edited(r, hub, 20) for _ in range(40)])]
+    want = brute_near(rows)
+    assert 2 < len({c for _, c in want.values()}) < 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limits in (Limits(), Limits(leaf=16), Limits(leaf=16, local=40), Limits(leaf=16, local=40, docs=50), Limits(docs=1000, shingles=2000)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup(df, words=2, limits=limits).collect()}
+        assert got == want, limits
 
-    def edited(words, n):
-        v = list(words)
-        for k in r.sample(range(len(v)), n):
-            v[k] = f"e{r.random()}"
-        return v
 
-    hub = [f"h{k}" for k in range(200)]
-    members = [edited(hub, 2) for _ in range(160)]
-    rows = [(i, " ".join(v)) for i, v in enumerate(members + [edited(v, 8) for v in members[:50]])]
-    want = brute_near(rows)
-    assert len({c for _, c in want.values()}) < 10
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
-    assert got == want
+def test_repeated_ids_with_different_texts(spark):
+    """Rows of one id are one document, with the links of all its texts."""
+    from knotwork.llm.near_dedup import near_dedup
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(7, a), (7, b), (7, b), (3, b), (9, a), (11, "c d e")], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["component_id"]) for x in near_dedup(df, words=2).collect()) == [(3, 3), (7, 3), (7, 3), (7, 3), (9, 3), (11, 11)]
 
 
-def test_every_leaf_tells_its_pairs():
-    """A chance tie of bytes in an earlier tree does not take a pair from a later tree's leaf."""
+def test_family_edges_hold_all_candidates():
+    """Any two rows of tokens that agree enough are in one family, at every size of leaf."""
     import numpy as np
-    import pyarrow as pa
 
     from knotwork.llm import near_dedup as nd
+    from knotwork.operators.components import forest
 
-    tokens = np.ones((3, nd.POSITIONS), np.uint8)
-    tokens[2] = 9
-    tokens[2, nd._PICKS[5]] = 1
-    batch = pa.record_batch([pa.array([7, 7, 7]), pa.array([1, 2, 3]), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["node", "rep", "tokens"])
-    assert [(r["a"], r["b"]) for x in nd._pairs([batch], labelled=False) for r in x.to_pylist()] == [(1, 2)]
     assert nd.FAR - nd.NEAR >= nd.POSITIONS - nd.DOUBT
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 256, (6, nd.POSITIONS), np.uint8)
+    tokens = centre[rng.integers(0, 6, 400)]
+    change = rng.random(tokens.shape) < rng.choice([0.02, 0.1, 0.3], (400, 1))
+    tokens = np.where(change, rng.integers(0, 256, tokens.shape, np.uint8), tokens).astype(np.uint8)
+    same = (tokens[:, None] == tokens[None]).sum(2) >= nd.DOUBT
+    rep = np.arange(400)
+    whole = list(nd._family_edges(5, rep, tokens, 1000))
+    names, root = forest(*(np.concatenate(x) for x in zip(*whole, strict=True)))
+    exact = dict(zip(names.tolist(), root.tolist(), strict=True))
+    i, j = np.nonzero(np.triu(same, 1))
+    assert all(exact[a] == exact[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    trees = [list(nd._family_edges(s, rep, tokens, 20)) for s in range(nd.TREES)]
+    names, root = forest(*(np.concatenate(x) for x in zip(*[e for t in trees for e in t], strict=True)))
+    label = dict(zip(names.tolist(), root.tolist(), strict=True))
+    assert all(label[a] == label[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_linked_components_are_exact():
+    import numpy as np
+
+    from knotwork.llm.near_dedup import linked_components
+
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        base = [rng.integers(0, 60, 20) for _ in range(3)]
+        sets = [np.unique(np.concatenate((base[k % 3][rng.random(20) < 0.93], rng.integers(100, 2000, rng.integers(0, 3)), [5]))).astype(np.uint64) for k in range(50)]
+        got = linked_components(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))), 80)
+        low = list(range(50))
+        for _ in sets:
+            for i in range(50):
+                for j in range(i):
+                    n = len(np.intersect1d(sets[i], sets[j]))
+                    if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                        low[i] = low[j] = min(low[i], low[j])
+        assert got.tolist() == low, trial
 
 
 def test_mixing(spark):
