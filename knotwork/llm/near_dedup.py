@@ -356,10 +356,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     # Texts of one id: their classes' ids are joined.
     again = linked.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     again = linked.select("doc_id", "digest").join(again, "doc_id", "left_semi").distinct().join(classes.select("digest", "id"), "digest").select("doc_id", "id")
-    parts = cut(connected_components(links.union(again)))
+    parts = connected_components(links.union(again))
     # Only classes that a link or a copy ties to another id need a lookup; the others are their own component.
     label = classes.join(parts, classes["id"] == parts["node"], "left").select("digest", "id", F.coalesce("component", "id").alias("component"), "members")
-    label = cut(label.where("members > 1 or component <> id").select("digest", "component"))
+    label = label.where("members > 1 or component <> id").select("digest", "component")
     out = sk.drop("tokens", "roots").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
