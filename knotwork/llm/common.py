@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from knotwork.session import cut, shared_dir, ship_package
 
-__all__ = ["WHITE", "cut", "digest_input", "folds", "prepare", "shared_dir", "slices", "strip_white", "table", "utf8_buffers"]
+__all__ = ["WHITE", "cut", "digest_input", "folds", "prepare", "shared_dir", "slices", "strip_white", "table", "tidy", "unlike", "utf8_buffers"]
 
 #: The white space of every contract here: space and tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -35,6 +38,33 @@ def digest_input(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def _tidy(batches, f):
+    try:
+        yield from f(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library: it keeps what it freed
+            return
+
+
+def tidy(f):
+    """``f`` for ``mapInArrow``; Python workers live on after a task, so what it freed goes back to the system at its end."""
+    return partial(_tidy, f=f)
+
+
+def unlike(df: DataFrame, *names: str) -> list[str]:
+    """Names for own columns beside those of ``df``, whatever these are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def strip_white(c: Column) -> Column:
     return F.translate(c, WHITE, "")
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import cut, digest_input, prepare, strip_white
+from knotwork.llm.common import cut, digest_input, prepare, strip_white, tidy
 
 HEAD = 16
 NO_ID = np.iinfo(np.int64).max
@@ -101,7 +101,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     d = d.select(norm.alias("norm"), "doc_id", F.length("text").cast("long").alias("n"))
     d = d.select("norm", "doc_id", "n", F.substring(F.encode("norm", "utf-8"), 1, HEAD).alias("head"), F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(7), "doc_id").alias("salt"))
     d = d.repartitionByRange("head", "h", "salt").sortWithinPartitions("head", "h", "norm", "salt")
-    runs = cut(d.select("norm", "doc_id", "n").mapInArrow(_runs, SCHEMA))
+    runs = cut(d.select("norm", "doc_id", "n").mapInArrow(tidy(_runs), SCHEMA))
     # Two runs for each partition at most; partial aggregation leaves one row for each run and task.
     ends = runs.where("edge").groupBy("sha").agg(F.count("*").alias("all_size"), F.min(F.struct((-F.col("keep_len")).alias("l"), F.col("keep_id").isNull().alias("z"), F.col("keep_id").alias("k"))).alias("w"))
     ends = F.broadcast(ends.select(F.col("sha").alias("end_sha"), "all_size", F.col("w.k").alias("all_keep"), F.lit(True).alias("met")))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from knotwork.llm.common import digest_input, prepare, slices, table, utf8_buffers
+from knotwork.llm.common import digest_input, prepare, slices, table, tidy, utf8_buffers
 from knotwork.llm.shingles import U, mix
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
@@ -195,7 +195,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are scanned.
     """
     prepare(df.sparkSession)
-    return digest_input(df, id_col, text_col).mapInArrow(_scan, SCHEMA)
+    return digest_input(df, id_col, text_col).mapInArrow(tidy(_scan), SCHEMA)
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

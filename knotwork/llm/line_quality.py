@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import digest_input, folds, prepare, slices, table, utf8_buffers
+from knotwork.llm.common import digest_input, folds, prepare, slices, table, tidy, utf8_buffers
 from knotwork.llm.labelled import fit_logistic, labelled_sample, sigmoid
 from knotwork.llm.quality_rules import coded_words, repeated_words
 
@@ -198,7 +198,7 @@ def _sample_lines(batches):
 
 def train(df: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE):
     """The model from at most ``most`` labelled rows. Without labels all weights are zero and every text scores a half or more."""
-    rows = labelled_sample(df, labels, label, most).mapInArrow(_sample_lines, "doc_id long, label int, bins binary, chars binary").orderBy("doc_id").collect()
+    rows = labelled_sample(df, labels, label, most).mapInArrow(tidy(_sample_lines), "doc_id long, label int, bins binary, chars binary").orderBy("doc_id").collect()
     if not rows:
         return np.zeros(N_FEATURES), np.zeros((2, 2)), np.array([0.0, 0.5, 2.0])
     bins = [np.frombuffer(r["bins"], np.int16).reshape(-1, len(EDGES)) for r in rows]
@@ -222,7 +222,7 @@ def line_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """
     prepare(df.sparkSession)
     model = train(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most=most)
-    out = digest_input(df, id_col, text_col).mapInArrow(partial(_score, model=model), "doc_id long, score double")
+    out = digest_input(df, id_col, text_col).mapInArrow(tidy(partial(_score, model=model)), "doc_id long, score double")
     return out.select("doc_id", (folds(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

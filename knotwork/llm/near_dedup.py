@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import cut, digest_input, prepare, slices
+from knotwork.llm.common import cut, digest_input, prepare, slices, tidy
 from knotwork.llm.shingles import U, mix, shingle_sets
 from knotwork.operators.components import connected_components
 
@@ -219,7 +219,7 @@ def _trees(reps: DataFrame, limits: Limits) -> DataFrame:
         top = counts.agg(F.max("n")).first()[0] or 0
         shared = rows.join(counts, "node").join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens", "n")
         small = shared if top <= limits.local else shared.where(F.col("n") <= limits.local)
-        found = small.drop("n").repartition("node").sortWithinPartitions("node").mapInArrow(partial(_families, leaf=limits.leaf), "a long, b long")
+        found = small.drop("n").repartition("node").sortWithinPartitions("node").mapInArrow(tidy(partial(_families, leaf=limits.leaf)), "a long, b long")
         edges = found if edges is None else edges.union(found)
         if top <= limits.local:
             return edges
@@ -227,10 +227,10 @@ def _trees(reps: DataFrame, limits: Limits) -> DataFrame:
         pivot = big.groupBy("node").agg(F.min_by(F.struct("rep", "tokens"), F.struct(F.xxhash64("node", "rep"), "rep")).alias("p"))
         pivot = cut(pivot.select("node", F.col("p.tokens").alias("pivot_tokens"), F.col("p.rep").alias("pivot")))
         near = big.join(pivot, "node").select("node", "rep", "tokens", "pivot", "pivot_tokens")
-        near = cut(near.mapInArrow(_near_pivot, "node long, rep long, tokens binary, pivot long, same int"))
+        near = cut(near.mapInArrow(tidy(_near_pivot), "node long, rep long, tokens binary, pivot long, same int"))
         edges = edges.union((near.where(F.col("same") >= NEAR) if depth < DEPTH else near).select("rep", "pivot"))
         if depth < DEPTH:
-            rows = near.where(F.col("same") < FAR).select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
+            rows = near.where(F.col("same") < FAR).select("node", "rep", "tokens").mapInArrow(tidy(_branch), "node long, rep long")
     return edges
 
 
@@ -341,7 +341,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     prepare(df.sparkSession)
     d = digest_input(df, id_col, text_col)
-    sk = cut(d.mapInArrow(partial(_sketches, words=words), SKETCH))
+    sk = cut(d.mapInArrow(tidy(partial(_sketches, words=words)), SKETCH))
     linked = sk.where("digest is not null and doc_id is not null")
     # A set's tokens are the same in all its documents, so one aggregation leaves the distinct sets.
     classes = linked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
@@ -351,8 +351,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     sizes = found.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / limits.docs), F.ceil(F.sum("n_shingles") / limits.shingles)).alias("blocks"), F.count("*").alias("n"))
     need = found.join(sizes.where("n > 1"), "family").select("id", "digest", "family", "blocks")
     texts = d.join(need, d["doc_id"] == need["id"]).select("doc_id", "id", "digest", "family", "blocks", "text")
-    sets = texts.mapInArrow(partial(_sets, words=words), "task long, rep long, shingles binary")
-    links = sets.repartition("task").sortWithinPartitions("task").mapInArrow(partial(_links, percent=percent), "a long, b long")
+    sets = texts.mapInArrow(tidy(partial(_sets, words=words)), "task long, rep long, shingles binary")
+    links = sets.repartition("task").sortWithinPartitions("task").mapInArrow(tidy(partial(_links, percent=percent)), "a long, b long")
     # Texts of one id: their classes' ids are joined.
     again = linked.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     again = linked.select("doc_id", "digest").join(again, "doc_id", "left_semi").distinct().join(classes.select("digest", "id"), "digest").select("doc_id", "id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import prepare, slices, table
+from knotwork.llm.common import prepare, slices, table, tidy
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -389,7 +389,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     prepare(df.sparkSession)
     d = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    return d.mapInArrow(partial(_extract, model=trained()), "page_id long, url string, text string, n_chars long")
+    return d.mapInArrow(tidy(partial(_extract, model=trained())), "page_id long, url string, text string, n_chars long")
 
 
 def op2_page_text(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotwork.llm.common import digest_input, prepare, slices, table, utf8_buffers
+from knotwork.llm.common import digest_input, prepare, slices, table, tidy, utf8_buffers
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_bars")
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
@@ -131,7 +131,7 @@ def quality_ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows have a row each. An empty table gives an empty ledger; other columns are ignored.
     """
     prepare(df.sparkSession)
-    return digest_input(df, id_col, text_col).mapInArrow(_measure, SCHEMA).withColumn("failed", _bits(""))
+    return digest_input(df, id_col, text_col).mapInArrow(tidy(_measure), SCHEMA).withColumn("failed", _bits(""))
 
 
 def _bits(prefix: str):
@@ -146,7 +146,7 @@ def filter_documents(df: DataFrame, text_col: str = "text", policy: str | tuple[
     """The rows of ``df`` that pass the policy, with all their columns, in one pass without a shuffle."""
     prepare(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *(T.StructField(MARK + m, T.LongType()) for m in MEASURES)])
-    m = df.mapInArrow(partial(_measure, name=text_col, kept=tuple(df.columns), mark=MARK), schema)
+    m = df.mapInArrow(tidy(partial(_measure, name=text_col, kept=tuple(df.columns), mark=MARK)), schema)
     return m.where(_bits(MARK).bitwiseAND(F.lit(mask(policy))) == 0).select(*df.columns)
 
 

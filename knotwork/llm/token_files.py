@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import cut, digest_input, prepare, shared_dir, slices, table, utf8_buffers
+from knotwork.llm.common import cut, digest_input, prepare, shared_dir, slices, table, tidy, utf8_buffers
 
 MAGIC, BLOCK, END_ID = b"KWDAC1\n\0", 512, 2
 NULL_ID = np.iinfo(np.int64).min
@@ -292,7 +292,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
         folder = folder if re.match(r"\w+:", folder) else f"file://{folder}"
         atexit.register(_remove, folder)
     d = digest_input(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    done = cut(d.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id), MANIFEST))
+    done = cut(d.mapInArrow(tidy(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id)), MANIFEST))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     return done.withColumn("before", F.coalesce(F.sum("ids").over(order), F.lit(0)))
 
@@ -321,7 +321,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files, from the files alone."""
     paths = manifest.select("path", "before")
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given outright is not coalesced: paths are small, files are not
-    return paths.repartition(tasks, "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return paths.repartition(tasks, "path").mapInArrow(tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:

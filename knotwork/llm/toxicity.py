@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import digest_input, folds, prepare, slices, table, utf8_buffers
+from knotwork.llm.common import digest_input, folds, prepare, slices, table, tidy, utf8_buffers
 from knotwork.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 SAMPLE, TERMS, WINDOW, LONGEST = 8000, 96, 6, 24
@@ -280,14 +280,14 @@ def train(df: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     sample = labelled_sample(df, labels, label, most)
     sizes = sample.groupBy("label").count().collect()
     n_all, n_toxic = sum(r["count"] for r in sizes), sum(r["count"] for r in sizes if r["label"] == 1)
-    counts = sample.mapInArrow(_candidates, "term string, toxic long, all long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
+    counts = sample.mapInArrow(tidy(_candidates), "term string, toxic long, all long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
     least = max(3, n_toxic // 50)
     # What reaches the driver is bounded by the sample: terms of a sample's toxic rows that hardly occur in its other rows.
     counts = counts.where((F.col("toxic") >= least) & (10 * (F.col("all") - F.col("toxic")) <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(20 * TERMS).collect()
     terms = tuple(choose_terms([(r["term"], r["toxic"], r["all"]) for r in counts], n_toxic, n_all))
     if not terms:
         return terms, PRIOR
-    rows = sample.select("doc_id", "text").mapInArrow(partial(_features, terms=terms), "doc_id long, x array<double>").join(sample.select("doc_id", "label"), "doc_id").orderBy("doc_id").collect()
+    rows = sample.select("doc_id", "text").mapInArrow(tidy(partial(_features, terms=terms)), "doc_id long, x array<double>").join(sample.select("doc_id", "label"), "doc_id").orderBy("doc_id").collect()
     return terms, fit_logistic(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]), PRIOR, STRENGTH)
 
 
@@ -308,7 +308,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     prepare(df.sparkSession)
     terms, weights = train(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most=most)
-    out = digest_input(df, id_col, text_col).mapInArrow(partial(_score, terms=terms, weights=weights), "doc_id long, score double")
+    out = digest_input(df, id_col, text_col).mapInArrow(tidy(partial(_score, terms=terms, weights=weights)), "doc_id long, score double")
     return out.select("doc_id", (folds(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
