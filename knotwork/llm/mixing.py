@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import cut, prepare, table
+from knotwork.llm.common import cut, prepare, table, unlike
 
 WEIGHTS, MOST_COPIES, STEPS, TOLERANCE = (5, 2, 1), 3, 40, 1e-6
-#: Documents of one source and size that one task ranks; larger classes are split by a hash of the id.
-BUCKET = 4096
+#: Documents of one source and size that one task ranks. Larger classes are split along the rank's own order, so that the
+#: ranks, and with them the copies, do not depend on it.
+BUCKET = 1024
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -86,7 +87,7 @@ def _round(most: int):
     return f
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST_COPIES, bucket_size: int = BUCKET) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken`` and ``copies`` (0 to ``most``).
 
     ``size`` counts ``[^\\x20\\x09-\\x0D]+`` (null text: 0); ``taken`` is copies times size. Documents without a word are
@@ -109,24 +110,29 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rates = hist.join(targets.drop("source"), "key").join(lam, "key", "left")
     rate = F.coalesce(F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))), F.lit(float(most)))
     rates = rates.select("key", "size", "n", rate.alias("rate"))
-    copies = cut(rates.groupBy("key").applyInPandas(_round(most), "key string, size long, n long, copies long"))
-    out = d.join(copies, ["key", "size"])
-    bucket = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.ceil(F.col("n") / BUCKET))
-    own = Window.partitionBy("key", "size", "bucket")
-    out = out.withColumn("bucket", bucket).withColumn("in_bucket", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id")))
+    copies = rates.groupBy("key").applyInPandas(_round(most), "key string, size long, n long, copies long")
+    copies = cut(copies.join(targets.select("key", "source_size", "target"), "key"))
+    # Ranks within a class go by a hash of the id; a bucket is a range of hashes, so a document's rank is the number of
+    # documents in the buckets before its own, and its place there. A hot class is one of many keys of every shuffle.
+    place = F.xxhash64(F.lit(13), "doc_id")
+    bucket = F.floor((place / float(2**64) + 0.5) * F.ceil(F.col("n") / bucket_size))
+    out = cut(d.join(copies, ["key", "size"]).withColumn("place", place).withColumn("bucket", bucket))
+    cell = ["key", "size", "bucket"]
+    before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
+    cells = out.where(F.col("n") > bucket_size).groupBy(*cell).agg(F.count("*").alias("here")).withColumn("before", F.sum("here").over(before)).drop("here")
+    out = out.join(cells, cell, "left").repartition(*cell)
+    rank = F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy(*cell).orderBy("place", "doc_id"))
     base, extra = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
-    chance = F.pmod(F.xxhash64(F.lit(17), "key", "size", "bucket"), F.lit(1 << 20)) / float(1 << 20)
-    quota = F.when(F.col("n") <= BUCKET, extra).otherwise(F.floor(extra * F.col("in_bucket") / F.col("n") + chance))
-    out = out.withColumn("copies", (base + F.when(F.col("rank") <= quota, 1).otherwise(0)).cast("long"))
-    out = out.join(targets.select("key", "source_size", "target"), "key")
+    out = out.withColumn("rank", rank).withColumn("copies", (base + F.when(F.col("rank") <= extra, 1).otherwise(0)).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken, with its columns. Rows that repeat an id get equal copies."""
-    taken = mix(df, id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    out = df.join(taken, df[id_col].cast("long").eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[df[c] for c in df.columns])
+    key, copies, copy = unlike(df, "id_taken", "copies", "copy")
+    taken = mix(df, id_col, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    out = df.join(taken, df[id_col].cast("long").eqNullSafe(F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*df.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
