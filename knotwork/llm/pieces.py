@@ -19,13 +19,14 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import digest_input, prepare, slices, table, utf8_buffers
+from knotwork.llm.common import digest_input, prepare, slices, table, tidy, utf8_buffers
 from knotwork.llm.shingles import U, mix
 
-N_BEST, PENALTY, UNITS, KNOWN = 4, 10.0, 30_000, 500_000
+#: ``KNOWN`` units and ``SEARCHED`` searches are remembered by a worker at most.
+N_BEST, PENALTY, UNITS, KNOWN, SEARCHED = 4, 10.0, 30_000, 500_000, 20_000
 NEVER = -1e18
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -211,6 +212,8 @@ class Pieces:
         """Scores and ids of a known unit's ``n`` best segmentations; the first ids are the ones that Viterbi chose."""
         top = self.searched.get((slot, n))
         if top is None:
+            if len(self.searched) >= SEARCHED:
+                self.searched.clear()
             found = self.n_best(name.as_py().decode(), n)
             chosen = tuple(self.unit_ids[self.first[slot] : self.first[slot] + self.sizes[slot]].tolist())
             ids = [chosen, *(x for _, x in found if x != chosen)][: len(found)]  # of equal scores the search may find others first
@@ -223,7 +226,7 @@ class Pieces:
 
     def n_best_ids(self, texts: pa.Array, n: int = N_BEST, others: bool = True):
         """Ids of each text's best segmentation, where each text's begin, the scores of its ``n`` best (nan: fewer), and for
-        each text the ids of its second best to ``n``-th best."""
+        each text its second best to ``n``-th best as changes of the best: (place, number of ids there, ids instead)."""
         texts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))
         raw, offs = utf8_buffers(texts)
         space = raw == 32
@@ -243,7 +246,7 @@ class Pieces:
         at = np.concatenate(([0], total))[doc]
         scores = np.full((len(texts), n), np.nan)
         scores[:, 0] = np.add.reduceat(best[code], doc[:-1]) if len(texts) else 0
-        more: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+        more: list[list[list[tuple[int, int, np.ndarray]]]] = [[] for _ in range(len(texts))]
         ends = np.concatenate(([0], total))
         for d in range(len(texts)) if n > 1 else ():
             own = code[doc[d] : doc[d + 1]]
@@ -257,11 +260,7 @@ class Pieces:
                 merged = heapq.nsmallest(n, ((m + top[0] - x, (*how, (i, j)) if j else how) for m, how in merged for j, x in enumerate(top)), key=lambda c: (c[0], len(c[1])))
             scores[d, : len(merged)] = scores[d, 0] - np.array([m for m, _ in merged])
             for _, how in merged[1:] if others else ():
-                parts, a = [], at[d]
-                for i, j in how:
-                    parts += [out[a : ends[doc[d] + i]], self.unit_best(int(slot[own[i]]), names[int(own[i])], n)[1][j]]
-                    a = ends[doc[d] + i + 1]
-                more[d].append(np.concatenate([*parts, out[a : at[d + 1]]]))
+                more[d].append([(int(ends[doc[d] + i] - at[d]), int(k[doc[d] + i]), self.unit_best(int(slot[own[i]]), names[int(own[i])], n)[1][j]) for i, j in how])
         return out, at, scores, more
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,6 +279,8 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+_CHANGES = pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+CHANGES = "array<struct<at: int, drop: int, ids: array<int>>>"
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, score_2 double, score_3 double, score_4 double, round_trip boolean, decoded_sha256 string"
 
 
@@ -301,27 +302,33 @@ def _encode(batches, path: str, with_ids: bool):
                 cols.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 names.append("ids")
                 for j in range(N_BEST - 1):
-                    has = [len(x) > j for x in more]
-                    k = np.array([len(x[j]) if h else 0 for x, h in zip(more, has, strict=True)], np.int32)
-                    flat = np.concatenate([np.zeros(0, np.int32), *(x[j] for x, h in zip(more, has, strict=True) if h)])
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))).astype(np.int32)), pa.array(flat.astype(np.int32)), mask=pa.array([not h for h in has])))
-                    names.append(f"ids_{j + 2}")
+                    cols.append(pa.array([[{"at": a, "drop": d, "ids": i} for a, d, i in x[j]] if len(x) > j else None for x in more], _CHANGES))
+                    names.append(f"changes_{j + 2}")
             yield pa.record_batch(cols, names=names)
 
 
 def piece_encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per input row: the best segmentation's ``ids``, ``n_pieces`` and ``ids_crc32`` (ids as little-endian unsigned
-    32-bit integers), the scores of the four best segmentations and the ids of the second to fourth, ``ids_2`` to ``ids_4``
-    (null where there are fewer), and what decoding gives: ``decoded_sha256`` (of UTF-8) and ``round_trip`` (it equals the
-    text). All ids are left out without ``with_ids``.
+    32-bit integers), the scores of the four best segmentations, the second to fourth as changes of the best, ``changes_2``
+    to ``changes_4`` (null where there are fewer; see ``segmentation``), and what decoding gives: ``decoded_sha256`` (of UTF-8) and ``round_trip`` (it equals the
+    text). Ids and changes are left out without ``with_ids``.
 
     Null texts count as empty: a single piece for the space that the model puts before each text. Of segmentations with
     equal scores the one with the longer last piece, then the longer one before it, is the best. Null ids stay null,
     repeated rows have a row each, an empty table gives an empty result, other columns are ignored.
     """
     prepare(df.sparkSession)
-    schema = SCHEMA + (", ids array<int>, ids_2 array<int>, ids_3 array<int>, ids_4 array<int>" if with_ids else "")
-    return digest_input(df, id_col, text_col).mapInArrow(partial(_encode, path=model, with_ids=with_ids), schema)
+    schema = SCHEMA + (f", ids array<int>, changes_2 {CHANGES}, changes_3 {CHANGES}, changes_4 {CHANGES}" if with_ids else "")
+    return digest_input(df, id_col, text_col).mapInArrow(tidy(partial(_encode, path=model, with_ids=with_ids)), schema)
+
+
+def segmentation(rank: int) -> Column:
+    """The ids of the ``rank``-th best segmentation (2 to 4) of a row of ``piece_encode``; null if there are fewer."""
+    changes, ids = F.col(f"changes_{rank}"), F.col("ids")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids"))
+    upto = lambda s, c: F.slice(ids, s["at"] + 1, c["at"] - s["at"])
+    step = lambda s, c: F.struct((c["at"] + c["drop"]).alias("at"), F.concat(s["ids"], upto(s, c), c["ids"]).alias("ids"))
+    return F.when(changes.isNotNull(), F.aggregate(changes, start, step, lambda s: F.concat(s["ids"], F.slice(ids, s["at"] + 1, F.size(ids)))))
 
 
 def _join(batches, path: str):
@@ -337,7 +344,7 @@ def piece_decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     """``doc_id, text`` from the ids of a segmentation (also one that is not the best). Rows without ids are dropped."""
     prepare(df.sparkSession)
     d = df.where(F.size(ids_col) > 0).select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return d.mapInArrow(partial(_join, path=model), "doc_id long, text string")
+    return d.mapInArrow(tidy(partial(_join, path=model)), "doc_id long, text string")
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:

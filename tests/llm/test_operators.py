@@ -186,6 +186,9 @@ def test_mixing(spark):
         capped |= over
     for s in order:
         assert abs(target[s] - want[s]) < 1e-6 * max(1, want[s]) and abs(taken[s] - want[s]) <= max(3, 0.01 * want[s])
+    assert {(r["doc_id"], r["taken"]) for r in mix(df, bucket_size=3).collect()} == {(r["doc_id"], r["taken"]) for r in got}
+    clash = df.withColumnsRenamed({"kept": "copies", "size": "id_taken", "n": "copy"})
+    assert mixed(clash).columns == clash.columns and mixed(clash).count() == mixed(df).count()
     assert mixed(df).columns == df.columns and mixed(df).count() == sum(r["copies"] for r in got)
     assert mix(df.limit(0)).count() == 0
 
@@ -234,7 +237,9 @@ def test_n_best_ids(spark, tmp_path):
     """The query and the pipeline's last stage return the ids of all dealt segmentations: each decodes to the text and has its score."""
     import corpus_pipeline
     from knotwork.llm.entry import QUERIES
-    from knotwork.llm.pieces import piece_decode, pieces
+    from pyspark.sql import functions as F
+
+    from knotwork.llm.pieces import piece_decode, pieces, segmentation
 
     df = awkward(spark)
     df.write.parquet(f"{tmp_path}/documents.parquet")
@@ -243,7 +248,9 @@ def test_n_best_ids(spark, tmp_path):
     plain = lambda ids: not set(ids) & set(p.byte_id.tolist())
     texts = {(r["doc_id"], r["text"] or "") for r in df.collect()}
     for out in (QUERIES["op3_sentencepiece"](spark, str(tmp_path)), corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))):
+        out = out.select("*", *[segmentation(k).alias(f"ids_{k}") for k in (2, 3, 4)])
         rows = out.collect()
+        assert out.where(F.size("changes_2") > 0).count() > 3
         assert len(rows) == df.count() and any(r["ids_4"] for r in rows)
         assert {(r["doc_id"], r["text"]) for r in piece_decode(out, model).collect()} == texts
         for k in (2, 3, 4):
