@@ -39,10 +39,31 @@ def test_exact_dedup(spark):
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == want
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
     out = deduplicate(df)
-    assert out.columns == df.columns and sorted(norm(r["text"]) for r in out.collect() if r["doc_id"] is not None) == sorted({norm(t) for i, t in rows if min(groups[norm(t)])[2] is not None})
+    winner = {}  # of a group's rows: most code points, then ids before none, then the smallest id
+    for i, t in rows:
+        winner[norm(t)] = min(winner.get(norm(t), (1,)), (-len(t), i is None, i or 0))
+    got = sorted(((-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()))
+    assert out.columns == df.columns and got == sorted(winner.values())
+    top = 2**63 - 1
+    odd = spark.createDataFrame([(4, "one"), (6, "one"), (6, "two"), (6, "t w o"), (6, "two "), (top, "x y"), (None, "xy"), (top, "z")], "doc_id long, text string")
+    assert sorted(map(tuple, deduplicate(odd).collect())) == [(4, "one"), (6, "t w o"), (top, "x y"), (top, "z")]
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup(odd).collect()} == {(4, 4), (6, 4), (6, 6), (top, top), (None, top)}
     assert exact_dedup(df.limit(0)).count() == 0 and deduplicate(df.limit(0)).count() == 0
 
 
+def test_runs_of_one_hash():
+    """Two texts of one hash: both are told as runs that may go on elsewhere, and null ids and the largest id stay what they are."""
+    import pyarrow as pa
+
+    from knotwork.llm.exact_dedup import _runs
+
+    cols = [("a", 1, 1, 5), ("b", None, 1, 7), ("b", 2**63 - 1, 1, 7), ("c", 3, 1, 7), ("d", 4, 1, 8), ("e", 5, 1, 9)]
+    whole = pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*cols, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["norm", "doc_id", "n", "h"])
+    for step in (1, 2, 6):
+        rows = [r for b in _runs([whole.slice(a, step) for a in range(0, 6, step)]) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["keep_id"], r["size"], r["edge"]) for r in rows] == [(1, 1, 1, True), (None, 2**63 - 1, 2, True), (2**63 - 1, 2**63 - 1, 2, True), (3, 3, 1, True), (4, 4, 1, False), (5, 5, 1, True)]
+
+
 def brute_near(rows, words=2, percent=80):
     sets = {}
     for i, t in rows:
