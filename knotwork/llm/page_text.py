@@ -31,8 +31,11 @@ CLOSES = {
     "p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"]),
 }
+#: Elements nest so deep at most; deeper ones end the one that stands there, as in browsers.
+DEEPEST = 512
 SCOPE = frozenset("table td th caption html body article section main aside nav header footer div ul ol dl form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME, _NAME_END = re.compile(r"/?[a-zA-Z]"), re.compile(r"[\s/>]")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"[ \t\n\x0b\x0c\r  -   　]+")
@@ -82,6 +85,8 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """
     nodes = [Node("html", -1)]
     stack = [0]
+    marks: list[int] = []  # places on the stack of elements that some start tag ends, or that shield others
+    open_tags: dict[str, list[int]] = {}  # places on the stack by tag
     stream: list[tuple[int, str | None]] = []
     at, n = 0, len(source)
 
@@ -89,13 +94,54 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         if s and not nodes[stack[-1]].hidden:
             stream.append((stack[-1], html_lib.unescape(s)))
 
+    def back_to(k: int) -> None:
+        while len(stack) > k:
+            open_tags[nodes[stack.pop()].tag].pop()
+        while marks and marks[-1] >= k:
+            marks.pop()
+
+    last_end, last_stop = source.rfind(">"), max(map(source.rfind, ">\"'"))
+    last_name = [0, 0]  # where the last tag name began and ended
+    dead: set[int] = set()  # quotation marks after which no tag ends
+
+    def tag_end(k: int) -> int:
+        """The place of the ``>`` that ends a tag, outside of quotation marks, or -1. No mark is passed twice in vain."""
+        passed: list[int] = []
+        while k <= last_stop:
+            k = _STOP.search(source, k).start()
+            if source[k] == ">":
+                return k
+            passed.append(k)
+            close = -1 if k in dead else source.find(source[k], k + 1)
+            if close < 0:
+                break
+            k = close + 1
+        dead.update(passed)
+        return -1
+
+    def token(lt: int):
+        """(end, closing, tag or None, attributes) of the comment, declaration or tag that begins here, or None."""
+        if source.startswith("<!--", lt):
+            k = source.find("-->", lt + 4)
+            return (k + 3 if k >= 0 else n), "", None, ""
+        if source.startswith(("<!", "<?"), lt):
+            return (source.find(">", lt + 2) + 1, "", None, "") if lt + 1 < last_end else None
+        m = _NAME.match(source, lt + 1) if lt < last_stop else None
+        if m is None:
+            return None
+        if m.end() > last_name[1] or lt < last_name[0]:  # names that overlap end alike
+            end = _NAME_END.search(source, m.end())
+            last_name[:] = lt, end.start() if end else n
+        k = tag_end(last_name[1])
+        return (k + 1, m[0][:-1], source[m.end() - 1 : last_name[1]].lower(), source[last_name[1] : k]) if k >= 0 else None
+
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
             add_text(source[at:])
             break
-        m = _TOKEN.match(source, lt)
-        if m is None:
+        found_token = token(lt)
+        if found_token is None:
             nxt = source.find("<", lt + 1)
             nxt = n if nxt < 0 else nxt
             broken = re.match(r"</?[a-zA-Z]", source[lt : lt + 3])
@@ -104,30 +150,31 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         if lt > at:
             add_text(source[at:lt])
-        at = m.end()
-        tag = m[2].lower() if m[2] else None
+        at, closing, tag, attrs = found_token
         if tag is None:
             continue
         block = tag in BLOCKS or tag == "br"
         if block:
             stream.append((stack[-1], None if tag != "br" else "\n"))
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in SCOPE and tag not in BLOCKS:
-                    break
+        if closing:
+            if open_tags.get(tag):
+                k = open_tags[tag][-1]
+                if tag in BLOCKS or not any(nodes[stack[j]].tag in SCOPE for j in marks if j > k):
+                    back_to(k)
             continue
         if tag in ("html", "body") and tag == "html":
             continue
-        for k in range(len(stack) - 1, 0, -1):
+        end = None
+        for k in reversed(marks):
             own = nodes[stack[k]].tag
             if tag in CLOSES.get(own, ()):
-                del stack[k:]
+                end = k
             elif own in SCOPE:
                 break
-        attrs = m[3]
+        if end is not None:
+            back_to(end)
+        if len(stack) >= DEEPEST and tag not in VOID and tag not in RAW:
+            back_to(DEEPEST - 1)
         words: tuple[int, ...] = ()
         hidden = nodes[stack[-1]].hidden or tag in RAW or tag == "head"
         label = None
@@ -144,12 +191,16 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                     label = int(value)
             words = tuple(sorted(set(found)))
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{tag}\b", re.I).search(source, at)
+            at = source.find(">", end.end()) + 1 if end else 0
+            at = at or n
             continue
         if tag in VOID or attrs.rstrip().endswith("/") and tag in ("svg", "path"):
             continue
         nodes.append(Node(tag, stack[-1], words, hidden, label))
+        open_tags.setdefault(tag, []).append(len(stack))
+        if tag in CLOSES or tag in SCOPE:
+            marks.append(len(stack))
         stack.append(len(nodes) - 1)
     return nodes, stream
 
@@ -191,19 +242,6 @@ def features(nodes: list[Node], stream) -> tuple[np.ndarray, np.ndarray, np.ndar
     return x, parent, kind
 
 
-def levels(parent: np.ndarray) -> list[np.ndarray]:
-    depth = np.zeros(len(parent), np.int64)
-    for i in range(1, len(parent)):
-        depth[i] = depth[parent[i]] + 1
-    order = np.argsort(depth, kind="stable")
-    cuts = np.searchsorted(depth[order], np.arange(1, depth.max() + 1)) if len(parent) else []
-    return np.split(order, cuts)
-
-
-def _softplus_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
-
-
 def marginals(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Sum-product on the tree: P(node = 1), P(node, parent) for each node with a parent (as [parent, node]), log Z.
 
