@@ -2,8 +2,8 @@
 
 Each template's word k-grams are hashed and winnowed (the smallest hash of every window stays), which gives an inverted
 index from fingerprint to template and place. A document's k-grams are looked up in it; hits of one template on nearby
-diagonals make a candidate region, and a banded alignment of template and region gives the matched words, the coverage
-of the template and the span in the document. Any passage that shares ``GRAM + WINDOW - 1`` words in a row with a
+diagonals make a candidate region, and banded alignments of template and region give every occurrence's matched words, its
+coverage of the template and its span in the document. Any passage that shares ``GRAM + WINDOW - 1`` words in a row with a
 template has a hit.
 """
 
@@ -115,24 +115,38 @@ def index():
 
 
 def align(template: np.ndarray, region: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Longest common subsequence of words within a band around the diagonal: (matched, first and last matched place in region)."""
+    """Longest common subsequence of words within a band around the diagonal: (matched, first and last matched place in region).
+
+    Of alignments with as many matches the one that begins last is told, then the one that ends first: of a notice that
+    stands twice in the region, its words come from one occurrence.
+    """
     m, n = len(template), len(region)
-    best: dict[int, tuple[int, int, int]] = {}  # region place -> (matched, -first, last), of alignments that end there or before
-    done = (0, 0, -1)
+    best: dict[int, tuple[int, int, int]] = {}  # region place -> (matched, first, -last), of alignments that end there or before
+    done = (0, 0, 1)
     for i in range(m):
         lo, hi = max(0, i + shift - band), min(n, i + shift + band + 1)
         row: dict[int, tuple[int, int, int]] = {}
-        left = (0, 0, -1)
+        left = (0, 0, 1)
         for j in range(lo, hi):
-            top = best.get(j, (0, 0, -1))
-            now = max(left, top)
+            now = max(left, best.get(j, (0, 0, 1)))
             if template[i] == region[j]:
-                d = best.get(j - 1, (0, 0, -1))
-                now = max(now, (d[0] + 1, d[1] if d[0] else -j, j))
+                d = best.get(j - 1, (0, 0, 1))
+                now = max(now, (d[0] + 1, d[1] if d[0] else j, -j))
             row[j] = left = now
             done = max(done, now)
         best = row
-    return done[0], -done[1], done[2]
+    return done[0], done[1], -done[2]
+
+
+def matches(template: np.ndarray, region: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """All occurrences of a template in a region, best first; each is taken out of the region before the next is sought."""
+    found, left = [], region.copy()
+    while True:
+        matched, x, y = align(template, left, shift)
+        if y < 0 or matched < COVERAGE * len(template):
+            return found
+        found.append((matched, x, y))
+        left[x : y + 1] = 0  # no word's hash
 
 
 def scan_texts(texts: pa.Array) -> list[tuple[int, str, float, int, int, int, int]]:
@@ -160,10 +174,10 @@ def scan_texts(texts: pa.Array) -> list[tuple[int, str, float, int, int, int, in
         own = h[first[d] : first[d + 1]]
         m = len(templates[t])
         a, b = max(0, near - BAND), min(len(own), far + m + BAND)
-        matched, x, y = align(templates[t], own[a:b], near - a)
-        if matched >= COVERAGE * m and y >= 0:
+        for matched, x, y in matches(templates[t], own[a:b], near - a):
             i, j = first[d] + a + x, first[d] + a + y
             found.append((d, names[t], matched / m, matched, m, int(lead[s[i]] - lead[offs[d]]), int(lead[e[j]] - lead[offs[d]])))
+    found = sorted(set(found))  # neighbouring regions may tell the same
     found.sort(key=lambda r: (r[0], -r[3], -r[2], r[5], r[1]))
     kept: list[tuple] = []
     spans: dict[int, list[tuple[int, int]]] = {}
