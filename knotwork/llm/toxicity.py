@@ -1,9 +1,10 @@
 """Toxicity by a lexicon met with misspellings, and the context of each hit.
 
-Terms (whole words and stems) are learned from labelled rows. The lexicon is a trie; its product with a Levenshtein
-automaton of one edit (insertion, deletion, substitution or swap after the first letter; look-alike digits and signs are
-read as letters) is determinised once, so every distinct word of a batch is matched by table lookups, all words
-together. Each hit is weighed by its context window: inside quotation marks, or near words of reporting or negation, it
+Terms (whole words and stems) are learned from labelled rows, with a bar for how many terms are tried, so that words which
+toxic rows hold by chance stay out. The lexicon is a trie; its product with a Levenshtein automaton of one edit
+(insertion, deletion, substitution or swap, anywhere in terms of five letters or more; stems and shorter terms take no
+edit; look-alike digits and signs are read as letters) is determinised once, so every distinct word of a batch is matched
+by table lookups, all words together. Each hit is weighed by its context window: inside quotation marks, or near words of reporting or negation, it
 counts as quoted and not as abuse. A logistic fit on the hits' counts gives the score.
 """
 
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import digest_input, folds, prepare, slices, table, tidy, utf8_buffers
+from knotwork.llm.common import cut, digest_input, folds, prepare, slices, table, tidy, utf8_buffers
 from knotwork.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
-SAMPLE, TERMS, WINDOW, LONGEST = 8000, 96, 6, 24
+#: ``CHANCE``: how likely one chance word among all words tried may be taken for a term.
+SAMPLE, TERMS, WINDOW, LONGEST, CHANCE = 8000, 96, 6, 24, 0.05
 #: Signs read as letters, words that report or discuss, words that address someone.
 LOOKALIKE = dict(zip("013457@$!|", "oieastasii", strict=True))
+MARKS = ".,;:?\"'()[]{}<>«»“”„‘’*_~#%&-–—…"
 REPORTING = frozenset("said says say called calls wrote writes word words term terms quote quoted quotes phrase slur slurs insult insults uses used using mentions mentioned meaning means defined dit appelé mot terme sagte nannte wort begriff dijo llamó palabra término".split())
 ADDRESS = frozenset("you your youre yourself u ur du dich dir dein tu te toi ton vous tú ti usted".split())
 FEATURES = ("bias", "log_abuse", "any_abuse", "log_stem", "any_stem", "log_fuzzy", "any_fuzzy", "log_quoted", "any_quoted", "density", "addressed")
@@ -34,8 +37,8 @@ EXACT, STEM, FUZZY = 3, 2, 1
 
 
 def plain(word: str) -> str:
-    """Lower case, look-alikes as letters (unless the word is a number), outer marks removed."""
-    w = word.lower().strip(".,;:!?\"'()[]{}<>«»“”„‘’*_~#%&$-–—…|")
+    """Lower case, outer marks removed, look-alikes as letters (unless the word is a number). Signs at the front may be letters."""
+    w = word.lower().strip(MARKS).rstrip(MARKS + "!|").lstrip("¡")
     if any(c in LOOKALIKE for c in w) and any(c.isalpha() for c in w):
         w = "".join(LOOKALIKE.get(c, c) for c in w)
     return w
@@ -71,8 +74,8 @@ class Lexicon:
         # NFA states: (node, edits, swap) where swap is the letter still owed after a swap began, and "stem" once one is met.
         def close(states):
             out = set(states)
-            for node, e, owed in states:  # a deletion goes down without reading; only in long terms, never the first letter
-                if node != "stem" and e == 0 and owed is None and node:
+            for node, e, owed in states:  # a deletion goes down without reading; only in long terms
+                if node != "stem" and e == 0 and owed is None:
                     out.update((k, 1, None) for k in children[node].values() if longest[k] >= 5)
             return frozenset(out)
 
@@ -92,7 +95,7 @@ class Lexicon:
                     new.add((k, e, None))
                     if ends[k] == STEM and e == 0:
                         new.add(("stem", 0, None))
-                if e == 0 and node:
+                if e == 0:
                     if longest[node] >= 5:
                         new.add((node, 1, None))  # an inserted character
                         new.update((k, 1, None) for x, k in kids.items() if x != c and longest[k] >= 5)
@@ -178,22 +181,31 @@ def _candidates(batches):
         yield pa.record_batch([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([every[t] for t in rest], pa.int64())], names=["term", "toxic", "all"])
 
 
-def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_all: int, most: int = TERMS) -> list[str]:
-    """Terms by coverage of toxic documents among those far more frequent there; stems only if several words share them."""
+def beyond_chance(t: int, k: int, n_toxic: int, n_all: int, tried: int) -> bool:
+    """Whether a word of ``k`` rows, ``t`` of them toxic, is no chance find among ``tried`` words: (k over t) p^t tried < CHANCE."""
+    if not 0 < n_toxic < n_all:
+        return False
+    ways = math.lgamma(k + 1) - math.lgamma(t + 1) - math.lgamma(k - t + 1)
+    return t * math.log(n_all / n_toxic) - ways > math.log(max(tried, 1) / CHANCE)
+
+
+def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_all: int, most: int = TERMS, tried: int = 1) -> list[str]:
+    """Terms by coverage of toxic documents among those far more frequent there than chance gives; stems only if several words
+    share them. A stem's own words that are terms themselves stay, for their misspellings."""
     n_clean = max(n_all - n_toxic, 1)
     good = {}
     for term, t, k in counts:
         odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((k - t + 0.5) / (n_clean - (k - t) + 0.5))
-        if odds > 3 and k - t <= 0.1 * t:
+        if odds > 3 and k - t <= 0.1 * t and beyond_chance(t, k, n_toxic, n_all, tried):
             good[term] = t
     chosen: list[str] = []
     stems: list[str] = []
     for term in sorted(good, key=lambda x: (-good[x], -len(x), x)):
         stem = term.endswith("-")
         base = term.rstrip("-")
-        if any(base.startswith(s) for s in stems):
-            continue
         if stem:
+            if any(base.startswith(s) for s in stems):
+                continue
             words = [good[w] for w in good if not w.endswith("-") and w.startswith(base)]
             if good[term] <= 1.3 * max(words, default=0) or good[term] < 3:
                 continue
@@ -281,10 +293,12 @@ def train(df: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     sizes = sample.groupBy("label").count().collect()
     n_all, n_toxic = sum(r["count"] for r in sizes), sum(r["count"] for r in sizes if r["label"] == 1)
     counts = sample.mapInArrow(tidy(_candidates), "term string, toxic long, all long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
+    counts = cut(counts)
+    tried = counts.count()
     least = max(3, n_toxic // 50)
     # What reaches the driver is bounded by the sample: terms of a sample's toxic rows that hardly occur in its other rows.
     counts = counts.where((F.col("toxic") >= least) & (10 * (F.col("all") - F.col("toxic")) <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(20 * TERMS).collect()
-    terms = tuple(choose_terms([(r["term"], r["toxic"], r["all"]) for r in counts], n_toxic, n_all))
+    terms = tuple(choose_terms([(r["term"], r["toxic"], r["all"]) for r in counts], n_toxic, n_all, tried=tried))
     if not terms:
         return terms, PRIOR
     rows = sample.select("doc_id", "text").mapInArrow(tidy(partial(_features, terms=terms)), "doc_id long, x array<double>").join(sample.select("doc_id", "label"), "doc_id").orderBy("doc_id").collect()
