@@ -296,6 +296,9 @@ def test_pages_and_licenses(spark):
     assert extract_pages(pages.limit(0)).count() == 0
     docs = awkward(spark)
     assert license_scan(docs).count() == 0 and license_scan(docs.limit(0)).count() == 0
+    note = "Licensed under CC BY 4.0."
+    some = spark.createDataFrame([(None, note, "a"), (5, "x " + note, "b"), (5, "x " + note, "b"), (6, None, None), (7, note + " " + note, "")], "doc_id long, text string, license string")
+    assert sorted(((r["doc_id"] or 0, r["start_char"], r["end_char"]) for r in license_scan(some).collect())) == [(0, 0, 24), (5, 2, 26), (5, 2, 26), (7, 0, 24), (7, 26, 50)]
 
 
 def test_classifiers(spark):
@@ -309,16 +312,41 @@ def test_classifiers(spark):
         assert f(docs.limit(0), none).count() == 0
 
 
+def held_out_share(spark, query, column):
+    d = "/root/testdata/sf0.01"
+    r = query(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select(column, "predicted").collect()
+    return sum(x[0] == x[1] for x in r) / len(r)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
-def test_held_out_accuracy(spark):
-    from knotwork.llm.line_quality import op9_line_quality
+def test_toxicity_held_out_accuracy(spark):
     from knotwork.llm.toxicity import op6_toxicity
 
-    d = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{d}/labels.parquet")
-    for f, c, least in ((op6_toxicity, "toxic", 0.95), (op9_line_quality, "quality", 0.93)):
-        r = f(spark, d).where("held_out").join(labels, "doc_id").select(c, "predicted").collect()
-        assert sum(x[0] == x[1] for x in r) >= least * len(r)
+    assert held_out_share(spark, op6_toxicity, "toxic") >= 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_quality_held_out_accuracy(spark):
+    from knotwork.llm.line_quality import op9_line_quality
+
+    assert held_out_share(spark, op9_line_quality, "quality") >= 0.93
+
+
+def test_classifiers_fit_awkward_rows(spark):
+    """Null labels and ids, repeated rows and labels, empty texts and clashing columns, with labels enough to fit."""
+    from knotwork.llm.line_quality import line_quality
+    from knotwork.llm.toxicity import toxicity
+
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("good plain calm word text line".split()) for _ in range(30)) + (" you total moron" if i % 3 == 0 else ""), i % 3 == 0) for i in range(300)]
+    extra = [(None, "you total moron", None), (7, "", None), (8, None, None), *rows[:5]]
+    docs = spark.createDataFrame([(i, t, "s", True, 1, "c", "x", 1, 2) for i, t, _ in rows + extra], COLUMNS)
+    labels = spark.createDataFrame([(i, int(not y), int(y)) for i, _, y in rows] + [(None, 1, 1), (3, None, None), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity(docs, labels).collect()
+    assert len(got) == len(rows) + len(extra) and all(0 <= x["score"] <= 1 for x in got)
+    said = {x["doc_id"]: x["predicted"] for x in got}
+    assert all(said[i] == int(y) for i, _, y in rows if i not in (7, 8)) and said[None] == 1
+    assert line_quality(docs, labels).count() == len(got)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")

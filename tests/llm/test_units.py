@@ -122,16 +122,83 @@ def test_pages():
     assert main_text("", w, q) == ""
 
 
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    from knotwork.llm.page_text import main_text, parse, trained
+
+    w, q = trained()
+    for source in ("<b>x" * 100_000, "<div>x" * 50_000, "<p><table>" * 20_000 + "x", "</b>" * 200_000, "<li>x" * 50_000, "<" * 200_000, "<a b='" * 30_000, '<a "' * 30_000 + "'>", "<script>" + "</script" * 100_000, "<!" * 100_000, "<a" * 100_000, "<a" * 100_000 + " '"):
+        began = time.time()
+        main_text(source, w, q)
+        assert time.time() - began < 20, source[:9]
+    nodes, stream = parse("<b>x" * 2000)
+    assert "".join(s for _, s in stream if s) == "x" * 2000 and len(nodes) == 2001
+
+
 def test_misspellings_and_context():
     from knotwork.llm.toxicity import EXACT, FUZZY, PRIOR, STEM, Lexicon, sigmoid, text_features
 
     lex = Lexicon(["idiot", "loser", "moron", "lowei-", "scum"])
     got = dict(zip(words := "idiot idoit idiiot idot adiot closer lser moron morno mroon loweixyz lowexi scum scumm xyz".split(), lex.match(words).tolist(), strict=True))
-    assert got == {"idiot": EXACT, "idoit": FUZZY, "idiiot": FUZZY, "idot": FUZZY, "adiot": 0, "closer": 0, "lser": FUZZY, "moron": EXACT, "morno": FUZZY, "mroon": FUZZY, "loweixyz": STEM, "lowexi": 0, "scum": EXACT, "scumm": 0, "xyz": 0}
+    assert got == {"idiot": EXACT, "idoit": FUZZY, "idiiot": FUZZY, "idot": FUZZY, "adiot": FUZZY, "closer": FUZZY, "lser": FUZZY, "moron": EXACT, "morno": FUZZY, "mroon": FUZZY, "loweixyz": STEM, "lowexi": 0, "scum": EXACT, "scumm": 0, "xyz": 0}
     score = sigmoid(text_features(pa.array(["you are an idiot", 'he said the word "idiot" is an insult', "a fine day", "what an 1d1ot", ""]), lex) @ PRIOR)
     assert score[0] > 0.5 and score[3] > 0.1 and max(score[1], score[2], score[4]) < 0.05
 
 
+def test_automaton_against_brute_force_edits():
+    """Every word within one edit (swaps included) of a long term, and no other, is a misspelling."""
+    from knotwork.llm.toxicity import EXACT, FUZZY, STEM, Lexicon
+
+    def near(a, b):
+        if a == b:
+            return True
+        if len(a) == len(b):
+            d = [i for i in range(len(a)) if a[i] != b[i]]
+            return len(d) == 1 or len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    rng = np.random.default_rng(6)
+    terms = ["abcab", "bacca", "aabbcc", "cab", "ccba-", "abcde"]
+    words = sorted({"".join(rng.choice(list("abcdx"), rng.integers(2, 9))) for _ in range(6000)} | {t[:i] + c + t[j:] for t in terms for i in range(len(t)) for j in (i, i + 1) for c in "abx"} | {t[:i] + t[i : i + 2][::-1] + t[i + 2 :] for t in terms for i in range(len(t))})
+    words = [w for w in words if w and "-" not in w]
+    got = Lexicon(terms).match(words).tolist()
+    for w, g in zip(words, got, strict=True):
+        exact, stem = w in terms, w.startswith("ccba")
+        fuzzy = any(near(w, t) for t in terms if len(t) >= 5 and not t.endswith("-"))
+        assert g == (EXACT if exact else STEM if stem else FUZZY if fuzzy else 0), w
+
+
+def test_look_alikes_and_chance_terms():
+    from knotwork.llm.toxicity import beyond_chance, choose_terms, plain
+
+    assert [plain(w) for w in ("$tupid", "1d10t!", "|diot,", "(Word)", "100", "$5", "end!!", "l0ser|")] == ["stupid", "idiot", "idiot", "word", "100", "$5", "end", "loser"]
+    assert not beyond_chance(3, 3, 45, 329, 20000) and beyond_chance(9, 9, 45, 329, 20000) and not beyond_chance(5, 5, 0, 9, 5) and not beyond_chance(5, 5, 9, 9, 5)
+    assert choose_terms([("often", 12, 12), ("chance", 3, 3)], 45, 329, tried=20000) == ["often"]
+
+
+def test_context_window_against_brute_force():
+    """A hit counts as quoted if a reporting word or a pair of quotation marks stands around it, six words to either side."""
+    from knotwork.llm.toxicity import REPORTING, WINDOW, Lexicon, text_features
+
+    rng = np.random.default_rng(8)
+    lex, pool = Lexicon(["moron"]), ["moron", "said", "a", "b", "c", "d", "e", "f", "\"g", "h\"", "you"]
+    for _ in range(300):
+        words = rng.choice(pool, rng.integers(1, 30)).tolist()
+        quoted = plain_hits = 0
+        for i, w in enumerate(words):
+            if w == "moron":
+                lo, hi = max(0, i - WINDOW), i + WINDOW + 1
+                marks = any(x == '"g' for x in words[lo : i + 1]) and any(x == 'h"' for x in words[i:hi])
+                if marks or any(x in REPORTING for x in words[lo:hi]):
+                    quoted += 1
+                else:
+                    plain_hits += 1
+        x = text_features(pa.array(["x", " ".join(words)]), lex)[1]
+        assert np.allclose([x[1], x[7]], np.log1p([plain_hits, quoted]))
+
+
 def test_licenses():
     from knotwork.llm.license_scan import TEMPLATES, scan_texts
 
@@ -139,6 +206,49 @@ def test_licenses():
     assert [(r[0], r[1]) for r in rows] == [(0, "MIT-notice"), (1, "MIT")] and rows[0][5:] == (4, 34) and rows[1][2] > 0.98
 
 
+def test_repeated_notices():
+    """Every occurrence of a notice is told with its own span, as a search for the plain sentence finds them."""
+    import re
+
+    from knotwork.llm.license_scan import TEMPLATES, scan_texts
+
+    rng = np.random.default_rng(4)
+    notes = ["All-rights-reserved", "CC-BY-4.0-notice", "MIT-notice", "GPL-3.0-notice"]
+    for _ in range(60):
+        parts, text = [], ""
+        for name in rng.choice([*notes, ""], rng.integers(1, 9)).tolist():
+            filler = " ".join(rng.choice(["lorem", "ipsum", "dolor", "é"], rng.integers(0, 4)))
+            text += (filler + " " if filler else "") + (TEMPLATES[name] + " " if name else "")
+        for name in notes:  # without the full stop, which is no word
+            parts += [(m.start(), m.end(), name) for m in re.finditer(re.escape(TEMPLATES[name].rstrip(".")), text)]
+        got = sorted((r[5], r[6], r[1]) for r in scan_texts(pa.array([text])))
+        assert got == sorted(parts), text
+    assert [r[5:] for r in scan_texts(pa.array(["All rights reserved. " * 5]))] == [(21 * k, 21 * k + 19) for k in range(5)]
+    assert len(scan_texts(pa.array([None, "", "All rights reserved. " * 20000]))) == 20000
+
+
+def test_alignment_against_brute_force():
+    from knotwork.llm.license_scan import align, winnow
+
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        t, r = rng.integers(1, 5, rng.integers(1, 7)), rng.integers(1, 5, rng.integers(1, 9))
+        best = 0
+        for k in range(len(t), 0, -1):
+            subs = {tuple(t[list(c)]) for c in itertools.combinations(range(len(t)), k)}
+            ends = [(c[0], -c[-1]) for c in itertools.combinations(range(len(r)), k) if tuple(r[list(c)]) in subs] if k <= len(r) else []
+            if ends:
+                best = (k, max(ends)[0], -max(e for e in ends if e[0] == max(ends)[0])[1])
+                break
+        got = align(t, r, 0, band=20)
+        assert got == best if best else got[0] == 0
+        g = rng.integers(0, 50, rng.integers(1, 12)).astype(np.uint64)
+        for w in (2, 3):
+            k = min(w, len(g))
+            want = {max(i for i in range(a, a + k) if g[i] == g[a : a + k].min()) for a in range(len(g) - k + 1)}
+            assert set(winnow(g, w).tolist()) == want
+
+
 def test_repeated_words():
     from knotwork.llm.quality_rules import coded_words, repeated_words
     from knotwork.llm.common import utf8_buffers
