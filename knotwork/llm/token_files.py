@@ -6,7 +6,8 @@ bitmap). The place of an id's chunk on the next level is the rank of its bit, so
 decoding others. Level widths are chosen for each file from its histogram of id lengths.
 
 File: magic, json header (counts, widths, array lengths), then doc ids, document bounds, and per level the packed
-chunks, the packed bitmap and the rank directory. One file for each range partition of the ids, in ascending order.
+chunks, the packed bitmap and the rank directory. A range partition of the ids is one file or
+several, in ascending order.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import cut, digest_input, prepare, shared_dir, slices, table, tidy, utf8_buffers
 
 MAGIC, BLOCK, END_ID = b"KWDAC1\n\0", 512, 2
-NULL_ID = np.iinfo(np.int64).min
-MANIFEST = "part int, path string, docs long, ids long"
+#: Ids of a file, and ids read at a time.
+FILE_IDS, RUN_IDS = 1 << 22, 1 << 18
+MANIFEST = "part int, file int, path string, docs long, ids long"
 #: A space between white space and more white space or the end: the one case in which cutting before a space changes the pieces.
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RISKY = rf"[{_SPACE}] (?:[{_SPACE}]|\z)|<\|"
@@ -172,8 +174,8 @@ def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
     return out
 
 
-def dac_encode(ids: np.ndarray, doc_ids: np.ndarray, bounds: np.ndarray) -> bytes:
-    """One file's bytes. ``bounds``: where each document begins, and the end."""
+def dac_encode(ids: np.ndarray, doc_ids: np.ndarray, bounds: np.ndarray, nulls: int = 0) -> bytes:
+    """One file's bytes. ``bounds``: where each document begins, and the end; the first ``nulls`` documents have no id."""
     bits = np.zeros(len(ids), np.int64)
     edges = np.uint64(1) << np.arange(32, dtype=np.uint64)
     bits = np.searchsorted(edges, ids.astype(np.uint64), "right")
@@ -191,96 +193,107 @@ def dac_encode(ids: np.ndarray, doc_ids: np.ndarray, bounds: np.ndarray) -> byte
         levels.append({"width": w, "n": len(rest), "sizes": [len(x) for x in own]})
         parts += own
         rest = higher[go_on]
-    head = json.dumps({"docs": len(doc_ids), "ids": len(ids), "levels": levels}).encode()
+    head = json.dumps({"docs": len(doc_ids), "nulls": nulls, "ids": len(ids), "levels": levels}).encode()
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, doc_ids.astype("<i8").tobytes(), bounds.astype("<u8").tobytes(), *parts])
 
 
 class DacFile:
-    """Random access to the ids of one file: ``get(i)`` reads one id, ``slice(a, b)`` a run of them."""
+    """Random access to the ids of one file: ``get(i)`` reads one id, ``slice(a, b)`` a run of them.
 
-    def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
+    ``source``: the file's bytes, or a file that ``pyarrow.fs`` opened; of a file only the header and the bytes that a
+    call needs are read.
+    """
+
+    def __init__(self, source):
+        self.source = source
+        head = self._bytes(0, 16)
+        if head[:8] != MAGIC:
             raise ValueError("not a token file")
-        n = int.from_bytes(raw[8:16], "little")
-        self.head = json.loads(raw[16 : 16 + n])
-        at = 16 + n
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            x = np.frombuffer(raw, kind, count, at)
-            at += x.nbytes
-            return x
-
-        self.doc_ids, self.bounds = take("<i8", self.head["docs"]), take("<u8", self.head["docs"] + 1).astype(np.int64)
-        self.levels = []
+        n = int.from_bytes(head[8:], "little")
+        self.head = json.loads(self._bytes(16, n))
+        docs, at = self.head["docs"], 16 + n
+        self.doc_ids = np.frombuffer(self._bytes(at, 8 * docs), "<i8")
+        self.bounds = np.frombuffer(self._bytes(at + 8 * docs, 8 * docs + 8), "<u8").astype(np.int64)
+        at += 16 * docs + 8
+        self.levels = []  # width, number, and where chunks, bitmap and rank directory begin
         for lv in self.head["levels"]:
-            sizes = lv["sizes"]
-            self.levels.append((lv["width"], lv["n"], take("u1", sizes[0]), take("u1", sizes[1]) if len(sizes) > 1 else None, take("<u8", sizes[2] // 8) if len(sizes) > 1 else None))
+            sizes = [*lv["sizes"], 0, 0][:3]
+            self.levels.append((lv["width"], lv["n"], at, at + sizes[0] if len(lv["sizes"]) > 1 else None, at + sizes[0] + sizes[1]))
+            at += sum(sizes)
 
-    def _rank(self, bitmap: np.ndarray, ranks: np.ndarray, i: int) -> int:
-        block = i // BLOCK
-        return int(ranks[block]) + int(np.unpackbits(bitmap[block * BLOCK // 8 : i // 8 + 1], bitorder="little")[: i - block * BLOCK].sum())
+    def _bytes(self, at: int, n: int) -> bytes:
+        return self.source[at : at + n] if isinstance(self.source, bytes) else self.source.read_at(n, at)
+
+    def _rank(self, level: int, i: int) -> int:
+        """Ones before place ``i`` of a level's bitmap: an entry of the directory, and at most a block of bits."""
+        _, n, _, bitmap, ranks = self.levels[level]
+        block = min(i, n - 1) // BLOCK
+        bits = np.frombuffer(self._bytes(bitmap + block * BLOCK // 8, (i - block * BLOCK + 7) // 8), np.uint8)
+        return int.from_bytes(self._bytes(ranks + 8 * block, 8), "little") + int(np.unpackbits(bits, bitorder="little")[: i - block * BLOCK].sum())
 
     def get(self, i: int) -> int:
-        value = shift = 0
-        for width, _, chunks, bitmap, ranks in self.levels:
-            first = i * width
-            window = int.from_bytes(chunks[first // 8 : (first + width + 7) // 8].tobytes(), "little")
-            value |= ((window >> first % 8) & ((1 << width) - 1)) << shift
-            if bitmap is None or not bitmap[i // 8] >> (i % 8) & 1:
+        return int(self.slice(i, i + 1)[0])
+
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """The ids at places ``a`` to ``b - 1``: on each level one run of chunks and bits, found by two ranks on the one before."""
+        out, where, shift = np.zeros(b - a, np.uint32), np.arange(b - a), 0
+        for level, (width, _, chunks, bitmap, _) in enumerate(self.levels):
+            if a >= b:
                 break
-            i, shift = self._rank(bitmap, ranks, i), shift + width
-        return value
+            first, skip = a // 8 * width, a % 8  # eight chunks end on a byte
+            raw = np.frombuffer(self._bytes(chunks + first, -(-(b * width) // 8) - first), np.uint8)
+            out[where] |= _unpack(raw, width, skip + b - a)[skip:] << np.uint32(shift)
+            if bitmap is None:
+                break
+            bits = np.frombuffer(self._bytes(bitmap + a // 8, (b + 7) // 8 - a // 8), np.uint8)
+            where = where[np.unpackbits(bits, bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)]
+            a, b, shift = self._rank(level, a), self._rank(level, b), shift + width
+        return out
 
     def all(self) -> np.ndarray:
-        """Every id, level by level."""
-        out = where = None
-        shift = 0
-        for width, n, chunks, bitmap, _ in self.levels:
-            v = _unpack(chunks, width, n)
-            if out is None:
-                out, where = v, np.arange(n)
-            else:
-                out[where] |= v << np.uint32(shift)
-            if bitmap is not None:
-                where = where[np.unpackbits(bitmap, bitorder="little", count=n).astype(bool)]
-            shift += width
-        return out if out is not None else np.zeros(0, np.uint32)
+        return self.slice(0, self.head["ids"])
 
 
 def _open(uri: str):
     return pa.fs.FileSystem.from_uri(uri)
 
 
-def _write(batches, folder: str, tokenizer: str, end_id: int):
-    """Encode one sorted partition and write its file; a task that runs again replaces it with the same bytes."""
-    ids, docs, counts = [], [], []
+def _write(batches, folder: str, tokenizer: str, end_id: int, most: int):
+    """Encode one sorted partition and write its files, each of ``most`` ids or, for its last document, as many as that has.
+
+    Names hold the attempt, so tasks that run again or twice write beside each other; the manifest names the files that count.
+    """
+    ids, docs, nulls, counts, held, done = [], [], [], [], 0, 0
+    task = TaskContext.get()
+    part = task.partitionId()
+    fs, root = _open(folder)
+
+    def write():
+        own, bounds = np.concatenate(docs), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        fs.create_dir(root, recursive=True)
+        name = f"part-{part:06d}-{done:05d}-{task.taskAttemptId()}.dac"
+        with fs.open_output_stream(f"{root}/{name}") as f:
+            f.write(dac_encode(np.concatenate(ids), own, bounds, sum(nulls)))
+        return pa.record_batch([pa.array([part], pa.int32()), pa.array([done], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(own)]), pa.array([int(bounds[-1])])], names=["part", "file", "path", "docs", "ids"])
+
     for whole in batches:
-        for b in slices(whole, "text", 1 << 20):
+        for b in slices(whole, "text", min(1 << 20, 4 * most)):
             x, at = encoder(tokenizer).encode(b.column(1))
             x = np.insert(x, at[1:], np.uint32(end_id)).astype(np.uint16 if x.max(initial=0) < 65536 else np.uint32)
             ids.append(x)
             counts.append(np.diff(at) + 1)
-            docs.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-    if not docs:
-        return
-    task = TaskContext.get()
-    part = task.partitionId()
-    docs, counts = np.concatenate(docs), np.concatenate(counts)
-    bounds = np.concatenate(([0], np.cumsum(counts)))
-    ids = np.concatenate(ids)
-    fs, root = _open(folder)
-    fs.create_dir(root, recursive=True)
-    name = f"part-{part:06d}.dac"
-    trial = f"{root}/.{name}-{task.taskAttemptId()}"
-    with fs.open_output_stream(trial) as f:
-        f.write(dac_encode(ids, docs, bounds))
-    fs.move(trial, f"{root}/{name}")
-    yield pa.record_batch([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(docs)]), pa.array([int(bounds[-1])])], names=["part", "path", "docs", "ids"])
+            nulls.append(b.column(0).null_count)
+            docs.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            held += len(x)
+            if held >= most:
+                yield write()
+                ids, docs, nulls, counts, held, done = [], [], [], [], 0, done + 1
+    if docs:
+        yield write()
 
 
-def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Write the ids of all texts in ascending id order, and return the manifest ``part, path, docs, ids, before``.
+def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+    """Write the ids of all texts in ascending id order, and return the manifest ``part, file, path, docs, ids, before``.
 
     Null texts are empty (only the end id); null ids come first; rows that repeat an id follow in an order fixed by their
     text. An empty table writes no file. ``folder`` is a URI that all executors reach (a fresh one in the shared folder by
@@ -292,8 +305,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
         folder = folder if re.match(r"\w+:", folder) else f"file://{folder}"
         atexit.register(_remove, folder)
     d = digest_input(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    done = cut(d.mapInArrow(tidy(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id)), MANIFEST))
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    done = cut(d.mapInArrow(tidy(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, most=file_ids)), MANIFEST))
+    order = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return done.withColumn("before", F.coalesce(F.sum("ids").over(order), F.lit(0)))
 
 
@@ -310,11 +323,14 @@ def _read(batches):
         for path, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             fs, name = _open(path)
             with fs.open_input_file(name) as f:
-                dac = DacFile(f.read())
-            ids = dac.all().astype("<u4")
-            at = dac.bounds
-            crc = [zlib.crc32(ids[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
-            yield pa.record_batch([pa.array(dac.doc_ids, pa.int64(), mask=dac.doc_ids == NULL_ID), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                dac = DacFile(f)
+                at, n, k = dac.bounds, dac.head["docs"], 0
+                while k < n:  # some documents at a time, by random access
+                    end = max(k + 1, int(np.searchsorted(at, at[k] + RUN_IDS, "right")) - 1)
+                    ids, own = dac.slice(int(at[k]), int(at[end])).astype("<u4"), at[k : end + 1] - at[k]
+                    crc = [zlib.crc32(ids[x:y]) for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+                    yield pa.record_batch([pa.array(dac.doc_ids[k:end], pa.int64(), mask=np.arange(k, end) < dac.head["nulls"]), pa.array(at[k:end] + before), pa.array(np.diff(own)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    k = end
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

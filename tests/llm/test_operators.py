@@ -246,6 +246,10 @@ def test_tokens(spark):
     ids = t.encode(LONG, add_special_tokens=False).ids + [2]
     assert long["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
     assert read_token_files(write_token_files(df.limit(0), path)).count() == 0
+    few = write_token_files(df, path, file_ids=50)
+    assert few.count() > 3 and read_token_files(few).orderBy("start").collect() == got
+    least = spark.createDataFrame([(-(2**63), "a b"), (None, "c"), (5, "d")], "doc_id long, text string")
+    assert [r["doc_id"] for r in read_token_files(write_token_files(least, path)).orderBy("start").collect()] == [None, -(2**63), 5]
     model = public_tokenizers.path("piece_bpe_32k.model")
     enc = piece_encode(df, model)
     assert all(r["round_trip"] for r in enc.collect())

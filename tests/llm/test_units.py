@@ -38,6 +38,21 @@ def test_token_files_round_trip():
         x = np.minimum(2 ** (rng.random(n) * 16), 50256).astype(np.uint32)
         f = DacFile(dac_encode(x, np.array([7]), np.array([0, n])))
         assert (f.all() == x).all() and all(f.get(i) == x[i] for i in rng.integers(0, n, 50).tolist()) if n else len(f.all()) == 0
+        for _ in range(40):
+            a, b = sorted(rng.integers(0, n + 1, 2).tolist())
+            assert (f.slice(a, b) == x[a:b]).all()
+    read = []
+
+    class Source:
+        def read_at(self, n, at):
+            read.append(n)
+            return raw[at : at + n]
+
+    x = np.minimum(2 ** (rng.random(200_000) * 16), 50256).astype(np.uint32)
+    raw = dac_encode(x, np.array([7]), np.array([0, len(x)]))
+    f = DacFile(Source())
+    read.clear()
+    assert f.get(123_456) == x[123_456] and sum(read) < 600
 
 
 def test_pieces_n_best_is_exact():
