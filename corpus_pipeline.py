@@ -7,12 +7,13 @@ texts fail the quality rules; an empty table gives an empty result with the last
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.llm import exact_dedup, mixing, near_dedup, pieces, quality_rules
-from knotwork.session import shared_dir
+from knotwork.session import remove, shared_dir
 
 #: Some stage has no SQL form (entropy balancing, the piece lattice); the tests compare with a brute-force run.
 ORACLE_SQL = None
@@ -40,15 +41,30 @@ def _pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.piece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _forget(spark: SparkSession, base: str) -> None:
+    try:
+        remove(spark, base)
+    except Exception:  # the session has ended already, and with it what could reach the folder
+        return
+
+
 STAGES = [("quality_rules", _rules), ("exact_dedup", _exact), ("near_dedup", _near), ("mixing", _mix), ("sentencepiece", _pieces)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
+    """All stages over ``documents``; each one's result is written to the shared folder and read again.
+
+    A stage's folder goes once the next one is written, the last one when the driver's Python ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, base)
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         at = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:
+            remove(spark, last)
+        last = at
     return docs

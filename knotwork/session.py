@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         named = sc.getConf().get("spark.checkpoint.dir")
     if named is None:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = current.get() if current.isDefined() else f"file:///tmp/checkpoints/{sc.applicationId}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
@@ -34,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers whatever their working folder is (once per application)."""
     sc = spark.sparkContext
