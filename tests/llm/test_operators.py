@@ -290,6 +290,29 @@ def test_n_best_ids(spark, tmp_path):
                     assert abs(sum(float(p.score[i]) for i in ids) - score) < 1e-6 * max(1, abs(score))
 
 
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Nulls, repeated rows, empty texts, clashing columns and an empty table through all stages; every text left is encoded."""
+    import corpus_pipeline
+    from knotwork.llm.pieces import piece_decode
+
+    r = random.Random(9)
+    prose = [" ".join(f"{r.choice('alpha beta gamma delta some other words of plain prose'.split())}{r.randrange(90)}" for _ in range(60)) + "." for _ in range(30)]
+    rows = [*[(i, t) for i, t in enumerate(prose)], (40, prose[0]), (41, prose[1] + " "), (42, prose[2].replace(" ", "  ", 1) + " tail"), (5, prose[5]), (None, prose[7]), (None, "x"), (50, None), (51, "")]
+    names = "doc_id long, text string, source string, copies boolean, size long, component string, sha string, label int, n long"
+    docs = spark.createDataFrame([(i, t, f"s{(i or 0) % 3}" if i != 3 else None, None, None, "x", None, None, None) for i, t in rows], names)
+    for k, table in enumerate((docs, docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, f"{tmp_path}/{k}")
+            assert now.columns == docs.columns, name
+        left = sorted(x["text"] for x in now.collect())
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{k}")
+        assert sorted(x["text"] for x in piece_decode(out, public_tokenizers.path("piece_bpe_32k.model")).collect()) == left
+        found = {norm(t) for t in left}
+        assert found == set() if k else 10 < len(found) <= 30 and not found - {norm(t) for _, t in rows}
+
+
 def test_pages_and_licenses(spark):
     from knotwork.llm.license_scan import license_scan
     from knotwork.llm.page_text import extract_pages
