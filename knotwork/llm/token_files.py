@@ -120,7 +120,9 @@ class WordEncoder:
         slot = self.words(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         k = self.size[slot]
         total = np.cumsum(k)
-        ids = self.pool[np.repeat(self.first[slot] - (total - k), k) + np.arange(total[-1] if len(total) else 0)]
+        place = np.repeat((self.first[slot] - (total - k)).astype(np.int32), k)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.pool[place]
         at = np.concatenate(([0], total))[np.searchsorted(begin, offs)]
         whole = np.flatnonzero(risky.to_numpy(zero_copy_only=False))
         if len(whole):
@@ -157,6 +159,8 @@ def choose_widths(histogram: np.ndarray, most_levels: int = 4) -> tuple[int, ...
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    if width in (8, 16):
+        return values.astype(f"<u{width // 8}").view(np.uint8)
     out = []
     for a in range(0, len(values), 1 << 19):  # a multiple of 8 values: every part ends on a byte
         v = values[a : a + (1 << 19)]
@@ -165,6 +169,8 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
+    if width in (8, 16):
+        return raw[: n * width // 8].view(f"<u{width // 8}").astype(np.uint32)
     out = np.zeros(n, np.uint32)
     for a in range(0, n, 1 << 19):
         k = min(1 << 19, n - a)
@@ -176,10 +182,9 @@ def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
 
 def dac_encode(ids: np.ndarray, doc_ids: np.ndarray, bounds: np.ndarray, nulls: int = 0) -> bytes:
     """One file's bytes. ``bounds``: where each document begins, and the end; the first ``nulls`` documents have no id."""
-    bits = np.zeros(len(ids), np.int64)
     edges = np.uint64(1) << np.arange(32, dtype=np.uint64)
-    bits = np.searchsorted(edges, ids.astype(np.uint64), "right")
-    widths = choose_widths(np.bincount(bits, minlength=33))
+    values, often = (np.arange(1 << 16), np.bincount(ids, minlength=1 << 16)) if ids.max(initial=0) < 1 << 16 else np.unique(ids, return_counts=True)
+    widths = choose_widths(np.bincount(np.searchsorted(edges, values.astype(np.uint64), "right"), often, 33).astype(np.int64))
     parts, levels, rest = [], [], ids.astype(np.uint32)
     for k, w in enumerate(widths):
         last = k == len(widths) - 1
@@ -277,7 +282,7 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, most: int):
         return pa.record_batch([pa.array([part], pa.int32()), pa.array([done], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(own)]), pa.array([int(bounds[-1])])], names=["part", "file", "path", "docs", "ids"])
 
     for whole in batches:
-        for b in slices(whole, "text", min(1 << 20, 4 * most)):
+        for b in slices(whole, "text", min(4 << 20, 4 * most)):
             x, at = encoder(tokenizer).encode(b.column(1))
             x = np.insert(x, at[1:], np.uint32(end_id)).astype(np.uint16 if x.max(initial=0) < 65536 else np.uint32)
             ids.append(x)
