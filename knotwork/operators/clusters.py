@@ -2,49 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.operators.components import connected_components
 from knotwork.session import cut
 
-#: Edges of one block that a single task may hold for union-find; beyond, components are found by distributed rounds.
-LOCAL_EDGES = 200_000
-
-
-def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
-    parent: dict[int, int] = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]] * len(nodes), "rid": nodes, "low": [find(x) for x in nodes]})
-
 
 def labels(edges: DataFrame) -> DataFrame:
-    """``(block, rid, low)``: the smallest record of each linked record's component. Record ids are long and unique."""
-    e = cut(edges.select("block", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
-    most = e.groupBy("block").count().agg(F.max("count")).first()[0] or 0
-    if most <= LOCAL_EDGES:
-        kind = e.schema["block"].dataType.simpleString()
-        return e.groupBy("block").applyInPandas(_union_find, f"block {kind}, rid long, low long")
-    parts = connected_components(e, "src", "dst")
-    blocks = e.select("block", F.col("src").alias("rid")).union(e.select("block", "dst")).distinct()
-    return blocks.join(parts, F.col("rid") == F.col("node")).select("block", "rid", F.col("component").alias("low"))
+    """``(block, rid, low)``: the smallest record of each linked record's component; ids of any type that has an order.
+
+    A vertex is a record of a block, so an id that occurs in several blocks links none of them. Vertices are named by a
+    64-bit hash for the rounds; a clash between blocks joins nothing, as a component is read within its block.
+    """
+    e = cut(edges.select("block", "src", "dst").where("src is not null and dst is not null"))
+    parts = connected_components(e.select(F.xxhash64("block", "src").alias("a"), F.xxhash64("block", "dst").alias("b")))
+    nodes = e.select("block", F.col("src").alias("rid")).union(e.select("block", "dst")).distinct()
+    nodes = nodes.withColumn("node", F.xxhash64("block", "rid")).join(parts, "node", "left")
+    nodes = cut(nodes.select("block", "rid", F.coalesce("component", "node").alias("component")))
+    low = nodes.groupBy("block", "component").agg(F.min("rid").alias("low"))
+    return nodes.join(low, ["block", "component"]).select("block", "rid", "low")
 
 
 def number(records: DataFrame, low: DataFrame) -> DataFrame:
     """``(blocking_field, unique_id, ClusterID)`` from each record's component; unlinked records stand alone."""
-    r = records.select("block", "rid").join(low, ["block", "rid"], "left").withColumn("low", F.coalesce("low", F.col("rid").cast("long")))
+    r = records.select("block", "rid").join(low, ["block", "rid"], "left").withColumn("low", F.coalesce("low", "rid"))
     rank = F.dense_rank().over(Window.partitionBy("block").orderBy("low")) - 1
     return r.select(F.col("block").alias("blocking_field"), F.col("rid").alias("unique_id"), rank.cast("long").alias("ClusterID"))
 

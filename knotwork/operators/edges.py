@@ -45,8 +45,12 @@ def negative_disjoint(feats: DataFrame, feature: str) -> DataFrame:
 
 
 def negative_gap(feats: DataFrame, feature: str, distance: int) -> DataFrame:
-    """Pairs whose numeric ranges of ``feature`` are more than ``distance`` apart. Only the two ends of a range are compared."""
-    ends = feats.where((F.col("feature") == feature) & F.col("value").isNotNull()).groupBy("block", "rid").agg(F.min(F.col("value").cast("long")).alias("lo"), F.max(F.col("value").cast("long")).alias("hi"))
+    """Pairs whose numeric ranges of ``feature`` are more than ``distance`` apart. Only the two ends of a range are compared.
+
+    A value that is no number is unknown, and unknown is never different.
+    """
+    number = F.expr("try_cast(value AS BIGINT)")
+    ends = feats.where((F.col("feature") == feature) & F.col("value").isNotNull()).groupBy("block", "rid").agg(F.min(number).alias("lo"), F.max(number).alias("hi")).where("lo is not null")
     return _within(ends, F.greatest(F.col("b_lo") - F.col("a_hi"), F.col("a_lo") - F.col("b_hi")) > distance)
 
 

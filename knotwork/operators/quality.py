@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def contingency(joined: DataFrame) -> DataFrame:
-    """``(block, truth, cluster, n)`` with the marginal sizes, from one row per record ``(block, truth, cluster)``."""
+    """``(block, truth, cluster, n)`` with the marginal sizes, from one row per record ``(block, truth, cluster)``. An unknown truth is one of its own."""
     cells = joined.groupBy("block", "truth", "cluster").agg(F.count("*").alias("n"))
-    truth = cells.groupBy("block", "truth").agg(F.sum("n").alias("n_truth"))
-    clus = cells.groupBy("block", "cluster").agg(F.sum("n").alias("n_cluster"))
-    total = cells.groupBy("block").agg(F.sum("n").alias("n_all"))
-    return cells.join(truth, ["block", "truth"]).join(clus, ["block", "cluster"]).join(total, "block")
+    over = lambda *by: F.sum("n").over(Window.partitionBy(*by))
+    return cells.withColumns({"n_truth": over("block", "truth"), "n_cluster": over("block", "cluster"), "n_all": over("block")})
 
 
 def cluster_flags(joined: DataFrame) -> DataFrame:
@@ -95,8 +93,6 @@ def acceptance(pairs: DataFrame) -> DataFrame:
 
 
 def trapezoid(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group).orderBy(x)
     area = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
     return points.withColumn("area", area).groupBy(group).agg(F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 4).alias("auc"))

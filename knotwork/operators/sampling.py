@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.session import unlike
+
 
 def draw(key: Column, seed: int = 0) -> Column:
     """A hexadecimal text that orders rows at random."""
@@ -18,11 +20,18 @@ def share(key: Column, seed: int = 0) -> Column:
 
 def stratified(df: DataFrame, stratum: list[str], key: str, total: int, seed: int = 0) -> DataFrame:
     """About ``total`` rows: from each stratum its share of the rows, rounded."""
-    sizes = df.groupBy(*stratum).agg(F.count("*").alias("n_stratum"))
-    sizes = sizes.crossJoin(F.broadcast(df.agg(F.count("*").alias("n_all"))))  # one row
-    quota = sizes.withColumn("quota", F.floor(F.lit(total) * F.col("n_stratum") / F.col("n_all") + 0.5))
-    rank = F.row_number().over(Window.partitionBy(*stratum).orderBy(draw(F.col(key), seed), key))
-    return df.withColumn("rank_in", rank).join(quota, stratum).where(F.col("rank_in") <= F.col("quota")).drop("n_stratum", "n_all", "quota", "rank_in")
+    n, n_all, quota, rank, luck = unlike(df, "n_stratum", "n_all", "quota", "rank_in", "luck")
+    sizes = df.groupBy(*stratum).agg(F.count("*").alias(n)).crossJoin(F.broadcast(df.agg(F.count("*").alias(n_all))))  # one row
+    sizes = sizes.select(*stratum, n, F.floor(F.lit(total) * F.col(n) / F.col(n_all) + 0.5).alias(quota))
+    # The first by their draw: only rows whose draw is small can be among them, so few are ranked. The bound leaves more than
+    # the quota but for a chance below e^-40; a stratum that it leaves short is ranked as a whole.
+    bound = (F.col(quota) + 40 + 10 * F.sqrt(F.col(quota))) / F.col(n)
+    d = df.withColumn(luck, share(F.col(key), seed))
+    enough = d.join(sizes, stratum).where(F.col(luck) <= bound).groupBy(*stratum, quota).agg(F.count("*").alias(n)).where(F.col(n) >= F.col(quota)).select(*stratum)
+    sizes = sizes.join(enough.withColumn(rank, F.lit(True)), stratum, "left").withColumn(n_all, F.when(F.col(rank), bound).otherwise(2.0)).select(*stratum, quota, n_all)
+    order = Window.partitionBy(*stratum).orderBy(draw(F.col(key), seed), key)
+    out = d.join(sizes, stratum).where(F.col(luck) <= F.col(n_all)).withColumn(rank, F.row_number().over(order))
+    return out.where(F.col(rank) <= F.col(quota)).select(*df.columns)
 
 
 def without_replacement(df: DataFrame, groups: list[str], key: str, ratio: float, seed: int = 0) -> DataFrame:
@@ -31,8 +40,9 @@ def without_replacement(df: DataFrame, groups: list[str], key: str, ratio: float
         raise ValueError("ratio must lie between 0 and 1")
     by = Window.partitionBy(*[F.col(g) for g in groups]) if groups else Window.partitionBy(F.lit(0))
     order = by.orderBy(draw(F.col(key), seed), key)
-    out = df.withColumn("__rank", F.row_number().over(order)).withColumn("__n", F.count("*").over(by))
-    return out.where(F.col("__rank") <= F.ceil(F.col("__n") * ratio)).drop("__rank", "__n")
+    rank, n = unlike(df, "rank_in", "n_group")
+    out = df.withColumn(rank, F.row_number().over(order)).withColumn(n, F.count("*").over(by))
+    return out.where(F.col(rank) <= F.ceil(F.col(n) * ratio)).select(*df.columns)
 
 
 def split_by_profile(df: DataFrame, profile: str, valid: float = 0.2, test: float = 0.3, seed: int = 0) -> DataFrame:

@@ -119,12 +119,7 @@ def _(spark, d):
     return load(spark, d, "documents").where(text.mentions_name(F.col("text"), F.lit("the"))).select("doc_id")
 
 
-@query("text_replace_name", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\bthe\b', 'someone', 'gi'), '\bof\b', 'someone', 'gi')) AS digest FROM documents WHERE lang = 'en'")
-def _(spark, d):
-    return load(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(text.replace_name(F.col("text"), F.lit("the of"), "someone")).alias("digest"))
-
-
-@query("text_replace_name_all")
+@query("text_replace_name", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\bthe\b', 'someone', 'gi'), '\bof\b', 'someone', 'gi')) AS digest FROM documents")
 def _(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(text.replace_name(F.col("text"), F.lit("the of"), "someone")).alias("digest"))
 
@@ -139,7 +134,7 @@ def _(spark, d):
     return load(spark, d, "part").select("p_partkey", F.array_join(text.drop_name_values(F.split("p_name", " "), F.lit("Green BLUE")), "|").alias("kept"))
 
 
-SELECTED = r"""WITH s AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0)) AS sentence, generate_subscripts(list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0), 1) - 1 AS pos FROM documents WHERE lang = 'en' AND n_chars < 3000),
+SELECTED = r"""WITH s AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0)) AS sentence, generate_subscripts(list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0), 1) - 1 AS pos FROM documents),
 w AS (SELECT *, max(CASE WHEN contains(sentence, 'with') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM s),
 u AS (SELECT doc_id, sentence, min(pos) AS pos FROM w WHERE near = 1 GROUP BY doc_id, sentence)
 SELECT doc_id, md5(string_agg(sentence, ' ' ORDER BY pos)) AS digest FROM u GROUP BY doc_id"""
@@ -150,11 +145,6 @@ def selected(docs):
 
 
 @query("text_selected", SELECTED)
-def _(spark, d):
-    return selected(load(spark, d, "documents").where("lang = 'en' and n_chars < 3000"))
-
-
-@query("text_selected_all")
 def _(spark, d):
     return selected(load(spark, d, "documents"))
 
@@ -175,12 +165,12 @@ def _(spark, d):
     return load(spark, d, "orders").select("o_orderkey", text.agreed_date(F.date_format("o_orderdate", "d MMMM yyyy")).alias("day"))
 
 
-DOC_TERMS = r"k AS (SELECT source AS block, doc_id AS rid, unnest(regexp_extract_all(lower(text), '\w\w+')) AS term FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3', 'src4'))"
+DOC_TERMS = r"k AS (SELECT source AS block, doc_id AS rid, unnest(regexp_extract_all(lower(text), '\w\w+')) AS term FROM documents)"
 TFIDF = "tf AS (SELECT block, rid, term, count(*) AS tf FROM k GROUP BY ALL), nd AS (SELECT count(DISTINCT rid) AS n FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT n FROM nd)), x AS (SELECT block, rid, tf.term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM tf JOIN df ON tf.term = df.term, nd), z AS (SELECT block, rid, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY block, rid)) AS w FROM x)"
 
 
-def document_weights(spark, d, where: str = "lang = 'en' and source in ('src1', 'src2', 'src3', 'src4')"):
-    docs = load(spark, d, "documents").where(where).select(F.col("source").alias("block"), F.col("doc_id").alias("rid"), "text")
+def document_weights(spark, d):
+    docs = load(spark, d, "documents").select(F.col("source").alias("block"), F.col("doc_id").alias("rid"), "text")
     return vectors.tfidf(vectors.tokens(docs, pattern=r"[a-zA-Z0-9_]{2,}"), min_df=2, max_df=0.8)
 
 
@@ -194,16 +184,6 @@ def _(spark, d):
     return vectors.sparse_cosine(document_weights(spark, d)).where("sim > 0.2").withColumn("sim", F.round("sim", 5))
 
 
-@query("tfidf_weights_all")
-def _(spark, d):
-    return document_weights(spark, d, "true").withColumn("w", F.round("w", 6))
-
-
-@query("tfidf_cosine_pairs_all")
-def _(spark, d):
-    return vectors.sparse_cosine(document_weights(spark, d, "true")).where("sim > 0.2").withColumn("sim", F.round("sim", 5))
-
-
 @query("name_tokens", "SELECT p_partkey, CASE WHEN len(t) > 0 THEN array_to_string(t, '+') ELSE lower(p_name) END AS tokens FROM (SELECT p_partkey, p_name, list_sort(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 2)) AS t FROM part)")
 def _(spark, d):
     return load(spark, d, "part").select("p_partkey", F.array_join(names.name_tokens(F.col("p_name")), "+").alias("tokens"))

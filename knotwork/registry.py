@@ -78,11 +78,11 @@ def build(spec: dict) -> Callable[..., DataFrame]:
 
 
 def experiment(records: DataFrame, feats: DataFrame | None, vecs: DataFrame | None, truth: DataFrame, specs: dict[str, dict]) -> DataFrame:
-    """One report row per named clusterer. ``truth(block, rid, truth)``."""
+    """One report row per named clusterer. ``truth(block, rid, truth)``; results without a truth stay, with an unknown one."""
     out = None
     for name, spec in specs.items():
         got = build(spec)(records, feats, vecs).withColumnsRenamed({"blocking_field": "block", "unique_id": "rid", "ClusterID": "cluster"})
-        row = quality.report(quality.block_metrics(got.join(truth, ["block", "rid"]))).select(F.lit(name).alias("name"), "*")
+        row = quality.report(quality.block_metrics(got.join(truth, ["block", "rid"], "left"))).select(F.lit(name).alias("name"), "*")
         out = row if out is None else out.union(row)
     return out
 

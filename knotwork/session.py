@@ -43,6 +43,17 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unlike(df: DataFrame, *names: str) -> list[str]:
+    """Names for own columns beside those of ``df``, whatever these are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers whatever their working folder is (once per application)."""
     sc = spark.sparkContext

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from knotwork.session import unlike
+
 REQUIRED = ("blocking_field", "content", "unique_id", "ground_truth")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    rank = unlike(df, "rank_in")[0]
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
 def checked(df: DataFrame, order: list[Column], ignore_missing: bool = False) -> DataFrame:
@@ -86,7 +88,8 @@ def lookup(keys: DataFrame, table: DataFrame, key: str, order: list[Column]) ->
 def names_within(df: DataFrame, name: str, url: str, least: int, most: int, max_names: int | None = None) -> DataFrame:
     """Records of names that have between ``least`` and ``most`` distinct urls, of at most ``max_names`` names in order."""
     one = first_per_key(df, [name, url], [F.col(url)])
-    out = one.withColumn("__n", F.count("*").over(Window.partitionBy(name))).where((F.col("__n") >= least) & (F.col("__n") <= most)).drop("__n")
+    n = unlike(one, "n_name")[0]
+    out = one.withColumn(n, F.count("*").over(Window.partitionBy(name))).where((F.col(n) >= least) & (F.col(n) <= most)).drop(n)
     if max_names:
         out = out.join(out.select(name).distinct().orderBy(name).limit(max_names), name, "left_semi")
     return out

@@ -219,3 +219,47 @@ def test_components_do_not_depend_on_the_path(spark, monkeypatch):
     small = rows()
     monkeypatch.setattr(components, "ONE_TASK", -1)
     assert rows() == small and (1040, 1000) in small and (2049, 2000) in small
+
+
+def test_labels_are_blockwise_and_take_text_ids(spark, monkeypatch):
+    """An id in two blocks joins nothing; ids may be texts; rounds and the one-task ending agree."""
+    from knotwork.operators import clusters, components
+
+    edges = spark.createDataFrame([("x", "u1", "u2"), ("y", "u2", "u3"), ("y", "u3", "u3"), ("z", "u9", "u9")], "block string, src string, dst string")
+    records = spark.createDataFrame([(b, f"u{k}") for b in "xyz" for k in (1, 2, 3)], "block string, rid string")
+    want = [("x", "u1", 0), ("x", "u2", 0), ("x", "u3", 1), ("y", "u1", 0), ("y", "u2", 1), ("y", "u3", 1), ("z", "u1", 0), ("z", "u2", 1), ("z", "u3", 2)]
+    for bound in (components.ONE_TASK, -1):
+        monkeypatch.setattr(components, "ONE_TASK", bound)
+        assert sorted(map(tuple, clusters.cluster(records, edges).collect())) == want
+    numbers = spark.createDataFrame([("x", 1, 2), ("y", 2, 3)], "block string, src long, dst long")
+    assert sorted(map(tuple, clusters.labels(numbers).collect())) == [("x", 1, 1), ("x", 2, 1), ("y", 2, 2), ("y", 3, 2)]
+    assert clusters.labels(numbers.limit(0)).count() == 0
+
+
+def test_odd_values_do_not_crash(spark):
+    from pyspark.sql import functions as F
+
+    from knotwork.operators import edges, sampling, vectors
+    from knotwork.sources import providers
+
+    v = spark.createDataFrame([(1, 1, [0.0, 0.0]), (1, 2, [3.0, 4.0]), (1, 3, [6.0, 8.0])], "block long, rid long, vec array<double>")
+    assert sorted((r["src"], r["dst"], round(r["sim"], 6)) for r in vectors.dense_cosine(v).collect()) == [(1, 2, 0.0), (1, 3, 0.0), (2, 3, 1.0)]
+    f = spark.createDataFrame([(1, 1, "year", "1990"), (1, 2, "year", "no year"), (1, 3, "year", "2001"), (1, 4, "year", None)], "block long, rid long, feature string, value string")
+    assert [(r["src"], r["dst"]) for r in edges.negative_gap(f, "year", 5).collect()] == [(1, 3)]
+    names = ["quota", "n_stratum", "n_all", "rank_in", "luck", "n_group", "n_name"]
+    df = spark.range(4000).select("id", (F.col("id") % 4 == 0).alias("g"), *[F.lit(7).alias(n) for n in names])
+    got = sampling.stratified(df, ["g"], "id", 100, 3)
+    assert got.columns == df.columns and sorted(map(tuple, got.groupBy("g").count().collect())) == [(False, 75), (True, 25)]
+    first = {g: [r["id"] for r in df.where(F.col("g") == g).orderBy(sampling.draw(F.col("id"), 3)).limit(k).collect()] for g, k in ((False, 75), (True, 25))}
+    assert {r["id"] for r in got.collect()} == {x for k in first.values() for x in k}
+    assert sampling.without_replacement(df, ["g"], "id", 0.1).columns == df.columns
+    assert providers.first_per_key(df, ["g"], [F.col("id")]).columns == df.columns and providers.names_within(df, "g", "id", 1, 5000).columns == df.columns
+
+
+def test_experiment_keeps_results_without_truth(spark):
+    from knotwork.registry import experiment
+
+    records = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "block long, rid long")
+    truth = spark.createDataFrame([(1, 1, "a"), (1, 2, "a")], "block long, rid long, truth string")
+    row = experiment(records, None, None, truth, {"all": {"class": "production"}}).collect()[0]
+    assert row["oc"] == 1.0  # the record without a truth is in the cluster of the others

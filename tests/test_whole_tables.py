@@ -45,7 +45,7 @@ def test_selected(spark, tmp_path):
         if near:
             want[i] = hashlib.md5(" ".join(dict.fromkeys(near)).encode()).hexdigest()
     assert sorted(want) == [1, 2, 4, 5]
-    assert {r["doc_id"]: r["digest"] for r in QUERIES["text_selected_all"](spark, str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["digest"] for r in QUERIES["text_selected"](spark, str(tmp_path)).collect()} == want
 
 
 def test_weights_and_pairs(spark, folder):
@@ -61,14 +61,14 @@ def test_weights_and_pairs(spark, folder):
         raw = {x: n * idf[x] for x, n in c.items() if x in idf}
         size = math.sqrt(sum(v * v for v in raw.values()))
         w[i] = {x: v / size for x, v in raw.items()}
-    got = {(r["block"], r["rid"], r["term"]): r["w"] for r in QUERIES["tfidf_weights_all"](spark, folder).collect()}
+    got = {(r["block"], r["rid"], r["term"]): r["w"] for r in QUERIES["tfidf_weights"](spark, folder).collect()}
     want = {(s, i, x): v for i, _, _, s in ROWS for x, v in w[i].items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
     block = {r[0]: r[3] for r in ROWS}
     want = {(a, b): v for a in w for b in w if a < b and block[a] == block[b] and (v := sum(x * w[b].get(k, 0) for k, x in w[a].items())) > 0.2}
-    got = {(r["src"], r["dst"]): r["sim"] for r in QUERIES["tfidf_cosine_pairs_all"](spark, folder).collect()}
+    got = {(r["src"], r["dst"]): r["sim"] for r in QUERIES["tfidf_cosine_pairs"](spark, folder).collect()}
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
 
 def test_replaced_names(spark, folder):
-    assert sorted(r["doc_id"] for r in QUERIES["text_replace_name_all"](spark, folder).collect()) == [r[0] for r in ROWS]
+    assert sorted(r["doc_id"] for r in QUERIES["text_replace_name"](spark, folder).collect()) == [r[0] for r in ROWS]
