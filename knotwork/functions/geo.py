@@ -29,3 +29,38 @@ def resolve(values: DataFrame, keys: list[str], value: str, table: DataFrame) ->
 def numbered(table: DataFrame, value: str) -> DataFrame:
     """Category codes of the distinct values in order, from 0."""
     return table.select(value).distinct().withColumn("code", (F.row_number().over(Window.orderBy(value)) - 1).cast("long"))
+
+
+def country_rows(countries: DataFrame) -> DataFrame:
+    """``(name, country)`` of a country list ``(name, code)``: every country is its own name, in lower case."""
+    return countries.where(F.col("name").isNotNull()).select(F.lower(F.trim("name")).alias("name"), F.lower(F.trim("name")).alias("country")).distinct()
+
+
+def code_rows(countries: DataFrame) -> DataFrame:
+    """``(name, country)`` of the codes in a country list; a code listed twice belongs to the smaller country."""
+    rows = countries.where(F.col("name").isNotNull() & F.col("code").isNotNull()).select(F.lower(F.trim("code")).alias("name"), F.lower(F.trim("name")).alias("country"))
+    return rows.groupBy("name").agg(F.min("country").alias("country"))
+
+
+def alias_rows(aliases: DataFrame, known: DataFrame) -> DataFrame:
+    """``(name, country)`` of other names, from ``(name, aliases array)`` and the known countries ``(name, country)``.
+
+    Where the name itself is no known country but an alias is, the alias is the home: the name and the other aliases lead to
+    it. With several known aliases the smallest is the home. A row with neither leads nowhere and gives no rows.
+    """
+    rows = aliases.select(F.lower(F.trim("name")).alias("own"), F.transform("aliases", lambda a: F.lower(F.trim(a))).alias("others")).where("own is not null")
+    names = rows.select("own", F.explode(F.array_union(F.array("own"), F.coalesce("others", F.array().cast("array<string>")))).alias("name")).where("name is not null")
+    home = names.join(known, "name").groupBy("own").agg(F.min_by("country", F.struct(F.col("name") != F.col("own"), "name")).alias("country"))
+    return names.join(home, "own").where(F.col("name") != F.col("country")).groupBy("name").agg(F.min("country").alias("country"))
+
+
+def place_rows(places: DataFrame, codes: DataFrame, place: str) -> DataFrame:
+    """``(name, country)`` of places listed by country code ``(code, <place>)``: divisions, capitals. Unknown codes give no rows."""
+    rows = places.where(F.col(place).isNotNull()).select(F.lower(F.trim("code")).alias("code"), F.lower(F.trim(place)).alias("place"))
+    return rows.join(codes.select(F.col("name").alias("code"), "country"), "code").groupBy(F.col("place").alias("name")).agg(F.min("country").alias("country"))
+
+
+def full_lookup(countries: DataFrame, aliases: DataFrame, divisions: DataFrame, capitals: DataFrame) -> DataFrame:
+    """The whole lookup in build order: the list, aliases, codes, divisions, capitals."""
+    known, codes = country_rows(countries), code_rows(countries)
+    return lookup({"country": known, "alias": alias_rows(aliases, known), "code": codes, "division": place_rows(divisions, codes, "name"), "capital": place_rows(capitals, codes, "capital")})

@@ -56,6 +56,20 @@ def boosted(pairs: DataFrame, shared: DataFrame, max_energy: float) -> DataFrame
     return pairs.join(s, ["block", "src", "dst"], "left").select("block", "src", "dst", (F.col("sim") + more).alias("sim"))
 
 
+def spectral_boosted(pairs: DataFrame, spectral: DataFrame, most: float = 0.65, least: float = -0.25) -> DataFrame:
+    """Similarity plus the spectral cosine, which adds ``most`` at most and ``least`` at least."""
+    s = spectral.select("block", "src", "dst", "spectral")
+    more = F.when(F.col("spectral").isNotNull(), F.greatest(F.least("spectral", F.lit(float(most))), F.lit(float(least)))).otherwise(0.0)
+    return pairs.join(s, ["block", "src", "dst"], "left").select("block", "src", "dst", (F.col("sim") + more).alias("sim"))
+
+
+def components_as_blocks(records: DataFrame, shared: DataFrame, th: float = 1, least: int = 5) -> DataFrame:
+    """``(block, rid, part)``: records of components of ``least`` records or more, linked by ``th`` shared values; ``part`` names one."""
+    low = labels(shared.where(F.col("weight") >= th)).join(records.select("block", "rid").distinct(), ["block", "rid"], "left_semi")
+    parts = low.withColumn("part", F.concat_ws("/", F.col("block").cast("string"), F.col("low").cast("string")))
+    return parts.join(parts.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= least), "part").select("block", "rid", "part")
+
+
 def adaptive_threshold(pairs: DataFrame, records: DataFrame, th: float, step: float = 0.02, above: int = 400) -> DataFrame:
     """Pairs above a threshold that large blocks raise by ``step``."""
     n = records.groupBy("block").agg(F.count("*").alias("n"))

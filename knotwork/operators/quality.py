@@ -53,6 +53,30 @@ def report(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*[F.round(F.avg(F.col(m).cast("double")), 2).alias(m) for m in METRICS])
 
 
+def name_sensitivity(metrics: DataFrame, resamplings: int, ratio: float, seed: int = 0) -> DataFrame:
+    """A report for each of several draws of ceil(n * ratio) blocks, from the blocks' metrics: ``(run, ...)``."""
+    if not 0 < ratio < 1:
+        raise ValueError("ratio must lie between 0 and 1")
+    runs = metrics.crossJoin(F.broadcast(metrics.sparkSession.range(resamplings).select(F.col("id").alias("run"))))  # as many rows as asked for
+    luck = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("run").cast("string"), F.col("blocking_field").cast("string")))
+    by = Window.partitionBy("run")
+    drawn = runs.withColumn("n_rank", F.row_number().over(by.orderBy(luck, "blocking_field"))).withColumn("n_blocks", F.count("*").over(by))
+    return drawn.where(F.col("n_rank") <= F.ceil(F.col("n_blocks") * ratio)).groupBy("run").agg(*[F.round(F.avg(F.col(m).cast("double")), 2).alias(m) for m in METRICS])
+
+
+def global_rates(joined: DataFrame) -> DataFrame:
+    """Share of all clusters, of all blocks together, that are over- and under-combined: ``(clusters, oc, uc)``, one row."""
+    f = cluster_flags(joined)
+    return f.agg(F.count("*").alias("clusters"), F.round(F.avg(F.col("is_over").cast("int")), 4).alias("oc"), F.round(F.avg(F.col("is_under").cast("int")), 4).alias("uc"))
+
+
+def cluster_of(results: DataFrame, records: DataFrame) -> DataFrame:
+    """All records that share a cluster with the asked ones ``(blocking_field, unique_id)``: ``(..., ClusterID, asked)``."""
+    asked = records.select("blocking_field", F.col("unique_id").alias("asked")).distinct()
+    own = results.withColumnRenamed("unique_id", "asked").join(asked, ["blocking_field", "asked"]).select("blocking_field", "ClusterID", "asked")
+    return results.join(own, ["blocking_field", "ClusterID"])
+
+
 def improvements(reports: DataFrame, reference: str | None = None) -> DataFrame:
     """Ratio of every metric of each report to each reference report: long form ``(reference, name, metric, ratio)``.
 

@@ -45,6 +45,11 @@ def without_replacement(df: DataFrame, groups: list[str], key: str, ratio: float
     return out.where(F.col(rank) <= F.ceil(F.col(n) * ratio)).select(*df.columns)
 
 
+def link_subsample(records: DataFrame, ratio: float, everywhere: bool, block: str = "block", key: str = "rid", seed: int = 0) -> DataFrame:
+    """ceil(n * ratio) records of all, or of each block, for clustering them again."""
+    return without_replacement(records, [] if everywhere else [block], key, ratio, seed)
+
+
 def split_by_profile(df: DataFrame, profile: str, valid: float = 0.2, test: float = 0.3, seed: int = 0) -> DataFrame:
     """``split``: all rows of a profile go the same way."""
     s = share(F.col(profile), seed)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knotwork.operators import blocking, clusters, edges, numeric, vectors
+from knotwork import registry
+from knotwork.operators import blocking, clusters, edges, graph_data, numeric, vectors
 from knotwork.plans.carriers import COSINE_SQL, ORDERS_SQL, SHARED_SQL, VECTORS_SQL, clusters_sql, features_sql, item_features, load, orders
 from knotwork.plans.carriers import vectors as carried
 from knotwork.sources import sinks
@@ -204,3 +205,38 @@ def _(spark, d):
 def _(spark, d):
     f = item_features(spark, d, "supplier", "year")
     return blocking.colour_split(orders(spark, d), edges.shared_counts(f.where("feature = 'supplier'")), edges.negative_gap(f, "year", 1))
+
+
+@query("graph_data_nodes", f"WITH {ORDERS_SQL}, {features_sql('supplier', 'flag')}, x AS (SELECT rid, value AS id, CASE feature WHEN 'supplier' THEN 0 ELSE 1 END AS grp FROM f UNION ALL SELECT rid, CAST(rid AS VARCHAR), 2 FROM r) SELECT id, CAST(arg_min(grp, rid * 10 + grp) AS INTEGER) AS \"group\" FROM x GROUP BY id")
+def _(spark, d):
+    return graph_data.nodes(orders(spark, d), item_features(spark, d, "supplier", "flag"), ["supplier", "flag"])
+
+
+@query("graph_data_links", f"WITH {features_sql('supplier', 'flag')} SELECT rid AS source, value AS target, CAST(min(CASE feature WHEN 'supplier' THEN 0 ELSE 1 END) AS INTEGER) AS value FROM f GROUP BY ALL")
+def _(spark, d):
+    return graph_data.links(item_features(spark, d, "supplier", "flag"), ["supplier", "flag"])
+
+
+@query("graph_data_records", f"WITH {ORDERS_SQL}, {features_sql('supplier', 'flag')}, x AS (SELECT rid, string_agg(CASE feature WHEN 'supplier' THEN '0' ELSE '1' END || ':' || value, '|' ORDER BY CASE feature WHEN 'supplier' THEN 0 ELSE 1 END, value) AS found FROM f GROUP BY rid) SELECT r.rid, coalesce(found || '|', '') || '2:' || r.rid AS graph FROM r LEFT JOIN x ON r.rid = x.rid")
+def _(spark, d):
+    g = graph_data.record_graphs(orders(spark, d), item_features(spark, d, "supplier", "flag"), ["supplier", "flag"])
+    return g.select("rid", F.array_join(F.transform("nodes", lambda x: F.concat_ws(":", x["group"].cast("string"), x["id"])), "|").alias("graph"))
+
+
+# Matrix methods again: rows only, tested against numpy.
+@query("cosine_graph_clusters")
+def _(spark, d):
+    v, f = carried(spark, d), vector_features(spark, d)
+    return registry.CLUSTERERS["cosine_and_graph"](v, f, v, ["mod", "mod11"], 0.5)
+
+
+@query("cosine_features_graph_clusters")
+def _(spark, d):
+    v, f = carried(spark, d), vector_features(spark, d)
+    return registry.CLUSTERERS["cosine_features_and_graph"](v, f, v, ["mod", "mod11"], 0.4, ftr_max_energy=30)
+
+
+@query("graph_network_hetero")
+def _(spark, d):
+    v, f = carried(spark, d), vector_features(spark, d)
+    return registry.CLUSTERERS["hetero_network_combined"](v, f, v, ["mod", "mod11"], [0.7, 0.3], 0.9)

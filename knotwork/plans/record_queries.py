@@ -438,3 +438,49 @@ def _(spark, d):
     same = pairs.join(truth.select(F.col("vec_id").alias("src"), F.col("label").alias("x")), "src").join(truth.select(F.col("vec_id").alias("dst"), F.col("label").alias("y")), "dst")
     model = pair_classifier(same.select("block", "src", "dst", (F.col("x") == F.col("y")).cast("int").alias("label")), v)
     return classified_pairs(model, pairs, v).withColumn("sim", F.round("sim", 4))
+
+
+GEO_SQL = """WITH c AS (SELECT lower(n_name) AS name, 'c' || n_nationkey AS code FROM nation), d AS (SELECT lower(r_name) AS name, min(lower(n_name)) AS country FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+x AS (SELECT name, name AS country, 0 AS k FROM c UNION ALL SELECT 'old ' || name, name, 1 FROM c UNION ALL SELECT 'land of ' || name, name, 1 FROM c UNION ALL SELECT code, name, 2 FROM c UNION ALL SELECT name, country, 3 FROM d UNION ALL SELECT 'city of ' || name, name, 4 FROM c)
+SELECT name, arg_min(country, k) AS country FROM x GROUP BY name"""
+
+
+@query("geo_full_lookup", GEO_SQL)
+def _(spark, d):
+    nation, region = load(spark, d, "nation"), load(spark, d, "region")
+    code = F.concat(F.lit("C"), F.col("n_nationkey").cast("string"))
+    countries = nation.select(F.col("n_name").alias("name"), code.alias("code"))
+    name = lambda prefix: F.concat(F.lit(prefix), F.col("n_name"))
+    aliases = nation.select(name("Land of ").alias("name"), F.array(name("Old "), F.col("n_name")).alias("aliases"))
+    divisions = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(code.alias("code"), F.col("r_name").alias("name"))
+    return geo.full_lookup(countries, aliases, divisions, nation.select(code.alias("code"), name("City of ").alias("capital")))
+
+
+SENSITIVITY_SQL = """WITH m AS (SELECT o_custkey AS b, count(*) AS n FROM orders GROUP BY 1), x AS (SELECT i AS run, b, n, row_number() OVER (PARTITION BY i ORDER BY md5('0:' || i || ':' || b), b) AS k, count(*) OVER (PARTITION BY i) AS c FROM m, range(3) t(i))
+SELECT run, round(avg(n % 7), 2) AS v_score FROM x WHERE k <= ceil(c * 0.4) GROUP BY run"""
+
+
+@query("quality_name_sensitivity", SENSITIVITY_SQL)
+def _(spark, d):
+    sizes = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("blocking_field")).agg((F.count("*") % 7).alias("v_score"))
+    metrics = sizes.select("blocking_field", *[F.col("v_score").alias(m) for m in quality.METRICS])
+    return quality.name_sensitivity(metrics, 3, 0.4).select("run", "v_score")
+
+
+@query("quality_link_subsample", "WITH s AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('2:' || o_orderkey), o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_orderkey FROM s WHERE k <= ceil(n * 0.5)")
+def _(spark, d):
+    return sampling.link_subsample(load(spark, d, "orders"), 0.5, False, "o_custkey", "o_orderkey", 2).select("o_orderkey")
+
+
+JOINED_SQL = "j AS (SELECT o_custkey % 50 AS block, o_orderkey % 5 AS truth, o_orderkey % 4 AS cluster FROM orders)"
+
+
+@query("quality_global_rates", f"WITH {JOINED_SQL}, t AS (SELECT block, truth, count(*) AS nt FROM j GROUP BY ALL), c AS (SELECT block, cluster, truth, count(*) AS n FROM j GROUP BY ALL), f AS (SELECT block, cluster, count(*) > 1 AS o, max(CASE WHEN n < nt THEN 1 ELSE 0 END) AS u FROM c JOIN t USING (block, truth) GROUP BY ALL) SELECT count(*) AS clusters, round(avg(CAST(o AS INT)), 4) AS oc, round(avg(u), 4) AS uc FROM f")
+def _(spark, d):
+    return quality.global_rates(load(spark, d, "orders").select((F.col("o_custkey") % 50).alias("block"), (F.col("o_orderkey") % 5).alias("truth"), (F.col("o_orderkey") % 4).alias("cluster")))
+
+
+@query("quality_cluster_of", "WITH x AS (SELECT o_custkey AS blocking_field, o_orderkey AS unique_id, o_orderpriority AS c FROM orders) SELECT x.unique_id, y.unique_id AS asked FROM x JOIN x y ON x.blocking_field = y.blocking_field AND x.c = y.c WHERE y.unique_id % 50 = 0")
+def _(spark, d):
+    results = load(spark, d, "orders").select(F.col("o_custkey").alias("blocking_field"), F.col("o_orderkey").alias("unique_id"), F.col("o_orderpriority").alias("ClusterID"))
+    return quality.cluster_of(results, results.where("unique_id % 50 = 0")).select("unique_id", "asked")

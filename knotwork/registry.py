@@ -69,6 +69,48 @@ def _network(records, feats, vecs, use_features, th=0.9):
     return numeric.graph_network_clusters(vecs, edges.shared_counts(feats.where(F.col("feature").isin(use_features))), th)
 
 
+def _feature_edges(feats, use_features, **options):
+    return edges.shared_counts(feats.where(F.col("feature").isin(use_features)), **options)
+
+
+@clusterer("cosine_and_graph")
+def _cosine_graph(records, feats, vecs, use_features, th=0.5, max_energy=0.65, min_energy=-0.25):
+    spectral = numeric.spectral_pairs(feats.where(F.col("feature").isin(use_features)), records)
+    return clusters.similarity_clusters(records, clusters.spectral_boosted(vectors.dense_cosine(vecs), spectral, max_energy, min_energy), th)
+
+
+def component_spectra(records, feats, use_features, ftr_th=1, graph_node_th=5):
+    """Spectral cosine inside the components of shared values that are large enough."""
+    own = feats.where(F.col("feature").isin(use_features))
+    parts = clusters.components_as_blocks(records, edges.shared_counts(own), ftr_th, graph_node_th)
+    inside = own.join(parts, ["block", "rid"]).select(F.col("part").alias("block"), "rid", "value")
+    pairs = numeric.spectral_pairs(inside, parts.select(F.col("part").alias("block"), "rid"))
+    block = parts.select("part", F.col("block").alias("own")).distinct()
+    return pairs.join(block, F.col("block") == F.col("part")).select(F.col("own").alias("block"), "src", "dst", "spectral")
+
+
+@clusterer("cosine_features_and_graph")
+def _cosine_features_graph(records, feats, vecs, use_features, th=0.4, ftr_th=1, ftr_max_energy=75, graph_node_th=5, max_energy=0.15, min_energy=0.0):
+    pairs = clusters.boosted(vectors.dense_cosine(vecs), _feature_edges(feats, use_features), ftr_max_energy)
+    spectral = component_spectra(records, feats, use_features, ftr_th, graph_node_th)
+    return clusters.similarity_clusters(records, clusters.spectral_boosted(pairs, spectral, max_energy, min_energy), th)
+
+
+@clusterer("hetero_network")
+def _hetero(records, feats, vecs, use_features, th=0.9, weights=None):
+    return numeric.hetero_network_clusters(vecs, _feature_edges(feats, use_features, by_feature=True), th, use_features, weights)
+
+
+@clusterer("hetero_network_combined")
+def _hetero_combined(records, feats, vecs, use_features, mix, th=0.9, weights=None):
+    return numeric.hetero_network_clusters(vecs, _feature_edges(feats, use_features, by_feature=True), th, use_features, weights, mix)
+
+
+@clusterer("algorithm")
+def _algorithm(records, feats, vecs, fit_predict):
+    return numeric.algorithm_clusters(vecs, fit_predict)
+
+
 def build(spec: dict) -> Callable[..., DataFrame]:
     """``{"class": name, "attributes": {...}}`` as a function of (records, features, vectors). An unknown name raises."""
     if spec["class"] not in CLUSTERERS:

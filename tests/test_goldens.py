@@ -263,3 +263,53 @@ def test_experiment_keeps_results_without_truth(spark):
     truth = spark.createDataFrame([(1, 1, "a"), (1, 2, "a")], "block long, rid long, truth string")
     row = experiment(records, None, None, truth, {"all": {"class": "production"}}).collect()[0]
     assert row["oc"] == 1.0  # the record without a truth is in the cluster of the others
+
+
+def test_alias_homes(spark):
+    """A known name is the home of its aliases; an unknown name with a known alias moves there; with neither there are no rows."""
+    from knotwork.functions import geo
+
+    countries = spark.createDataFrame([("Oz", "oz"), ("Utopia", "UT"), ("Erewhon", None)], "name string, code string")
+    aliases = spark.createDataFrame([("Oz", ["Emerald Land", "Ozz"]), ("Land of U", ["Utopia", "No Place"]), ("Atlantis", ["Lost"]), ("Empty", None), (None, ["x"])], "name string, aliases array<string>")
+    known = geo.country_rows(countries)
+    assert {tuple(r) for r in geo.alias_rows(aliases, known).collect()} == {("emerald land", "oz"), ("ozz", "oz"), ("land of u", "utopia"), ("no place", "utopia")}
+    divisions = spark.createDataFrame([("UT", "North"), ("oz", "North"), ("zz", "East"), ("oz", None)], "code string, name string")
+    capitals = spark.createDataFrame([("oz", "Utopia"), ("ut", "Amaurot")], "code string, capital string")
+    got = {r["name"]: r["country"] for r in geo.full_lookup(countries, aliases, divisions, capitals).collect()}
+    assert got["utopia"] == "utopia" and got["amaurot"] == "utopia" and got["north"] == "oz" and got["ut"] == "utopia" and "east" not in got
+
+
+def test_spectral_boost(spark):
+    """The boost is the clipped cosine of the spectral vectors; only components of enough records get it in the combined form."""
+    import numpy as np
+
+    from knotwork import registry
+    from knotwork.operators import clusters, numeric
+
+    feats = spark.createDataFrame([(1, r, "f", v) for r, v in ((1, "a"), (2, "a"), (3, "a"), (3, "b"), (4, "b"), (5, "b"), (6, "c"), (7, "c"))], "block long, rid long, feature string, value string")
+    records = spark.createDataFrame([(1, r) for r in range(1, 8)], "block long, rid long")
+    got = {(r["src"], r["dst"]): r["spectral"] for r in numeric.spectral_pairs(feats, records).collect()}
+    vec = numeric.spectral_vectors([(0, "a"), (1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "b"), (5, "c"), (6, "c")], 7)
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    assert len(got) == 21 and all(abs(got[i + 1, j + 1] - unit[i] @ unit[j]) < 1e-6 for i in range(7) for j in range(i + 1, 7))
+    pairs = spark.createDataFrame([(1, 1, 2, 0.3), (1, 6, 7, 0.3)], "block long, src long, dst long, sim double")
+    inside = registry.component_spectra(records, feats, ["f"], 1, 5)
+    assert {r["src"] for r in inside.collect()} | {r["dst"] for r in inside.collect()} == {1, 2, 3, 4, 5}
+    sim = {r["src"]: r["sim"] for r in clusters.spectral_boosted(pairs, inside, 0.15, 0.0).collect()}
+    assert sim[6] == 0.3 and 0.3 <= sim[1] <= 0.45
+    assert clusters.components_as_blocks(records, spark.createDataFrame([(1, 1, 2, 1)], "block long, src long, dst long, weight long"), 1, 5).count() == 0
+
+
+def test_network_takes_trained_weights(spark):
+    import numpy as np
+
+    from knotwork.operators import numeric
+
+    records = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (1, 3, [1.0, 0.1])], "block long, rid long, vec array<double>")
+    edges = spark.createDataFrame([(1, 1, 2, "f", 1)], "block long, src long, dst long, feature string, weight long")
+    one, none = np.eye(2), np.zeros((2, 2))
+    label = lambda df: [r["ClusterID"] for r in df.orderBy("unique_id").collect()]
+    assert label(numeric.graph_network_clusters(records, edges, 0.9, weights=(one, none))) == [0, 1, 0]
+    assert label(numeric.graph_network_clusters(records, edges, 0.9, weights=(one, one))) == [0, 0, 1]
+    assert label(numeric.hetero_network_clusters(records, edges, 0.9, ["f"], {"f": (one, none)})) == [0, 1, 0]
+    assert label(numeric.hetero_network_clusters(records, edges, 0.9, ["f", "g"], {"f": (none, none), "g": (one, one)}, [0.5, 0.5])) == [0, 1, 0]
