@@ -120,3 +120,51 @@ def agreed_date(value: Column) -> Column:
         .when(full.isNotNull(), F.concat_ws("-", F.year(full), F.month(full), F.dayofmonth(full)))
         .when(month.isNotNull(), F.concat(F.concat_ws("-", F.year(month), F.month(month)), F.lit("-None")))
     )
+
+
+def professions(text: Column, name: Column, occupations: list[str]) -> Column:
+    """Occupations (lower case, in order) that a sentence holds which also holds a token of the name.
+
+    A rule in place of a parser: the sentence stands for the noun phrase that a parser would find.
+    """
+    toks = F.filter(F.split(name, " "), lambda t: F.length(t) > 0)
+    own = F.filter(sentences(text), lambda s: F.exists(toks, lambda t: F.contains(s, t)))
+    words = sorted({o.strip().lower() for o in occupations if o.strip()})
+    return F.filter(F.array(*map(F.lit, words)), lambda o: F.exists(own, lambda s: F.contains(F.lower(s), o)))
+
+
+def linked_entities(df: DataFrame, keys: list[str], names: str, table: DataFrame) -> DataFrame:
+    """``(*keys, tuples, uris)``: the entities of a lookup table ``(name, uri, similarity)`` that the names in an array lead to.
+
+    A look-up join in place of an annotation service; names are compared in lower case. Rows without a link have empty sets.
+    """
+    found = df.select(*keys, F.explode(F.array_distinct(names)).alias("surface"))
+    t = table.select(F.lower("name").alias("own_name"), "uri", "similarity")
+    found = found.join(t, F.lower("surface") == F.col("own_name")).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("uri", "surface", "similarity"))).alias("tuples"), F.array_sort(F.collect_set("uri")).alias("uris"))
+    return df.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("tuples", F.expr("filter(array(struct('' as uri, '' as surface, 0D as similarity)), x -> false)")).alias("tuples"), F.coalesce("uris", F.array().cast("array<string>")).alias("uris"))
+
+
+STOP = tuple("a an the of and or to in on at by for with from as is are was were be been it its this that these those he she they we you i not no but if".split())
+
+
+def top_phrases(df: DataFrame, key: str, text: str, n: int = 10, longest: int = 4) -> DataFrame:
+    """``(key, phrase, score)``: the ``n`` best terms of each text by length * ln(frequency) + 0.75 * containing + 0.1 * contained.
+
+    Candidates are runs of words without stop words and marks, in pieces of ``longest`` words; ``containing`` counts the
+    text's other candidates that hold the term, ``contained`` those that it holds. Equal scores: the smaller phrase first.
+    """
+    runs = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}\s'-]+|(?<![\p{L}\p{N}'-])(?:" + "|".join(STOP) + r")(?![\p{L}\p{N}'-])"), lambda r: F.length(F.trim(r)) > 0)
+    words = lambda r: F.filter(F.split(F.trim(r), r"\s+"), lambda w: F.length(w) > 0)
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / longest).cast("int")), lambda i: F.array_join(F.slice(w, i * longest + 1, longest), " "))
+    terms = df.select(key, F.explode(F.flatten(F.transform(runs, lambda r: pieces(words(r))))).alias("phrase")).where("phrase <> ''")
+    freq = terms.groupBy(key, "phrase").agg(F.count("*").alias("n"), F.first(F.size(F.split("phrase", " "))).alias("size"))
+    w = F.split("phrase", " ")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.transform(F.sequence(F.lit(1), F.col("size") - i + 1), lambda m: F.array_join(F.slice(w, i, m), " "))))
+    inner = freq.select(key, F.col("phrase").alias("outer"), F.explode(F.array_distinct(spans)).alias("phrase")).where("phrase <> outer")
+    inner = inner.join(freq.select(key, "phrase"), [key, "phrase"])
+    holds = inner.groupBy(key, F.col("outer").alias("phrase")).agg(F.count("*").alias("contained"))
+    held = inner.groupBy(key, "phrase").agg(F.count("*").alias("containing"))
+    score = F.col("size") * F.log("n") + 0.75 * F.coalesce("containing", F.lit(0)) + 0.1 * F.coalesce("contained", F.lit(0))
+    scored = freq.join(held, [key, "phrase"], "left").join(holds, [key, "phrase"], "left").withColumn("score", F.round(score, 6))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "phrase"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= n).select(key, "phrase", "score")

@@ -53,6 +53,24 @@ def report(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*[F.round(F.avg(F.col(m).cast("double")), 2).alias(m) for m in METRICS])
 
 
+def name_checks(truth: DataFrame, results: DataFrame) -> DataFrame:
+    """``(blocking_field, n_results, n_truth, state)`` of every block with results: ``same``, ``different`` or ``unknown`` to the truth."""
+    n = results.groupBy("blocking_field").agg(F.count("*").alias("n_results"))
+    t = truth.groupBy("blocking_field").agg(F.count("*").alias("n_truth"))
+    state = F.when(F.col("n_truth").isNull(), "unknown").when(F.col("n_truth") == F.col("n_results"), "same").otherwise("different")
+    return n.join(t, "blocking_field", "left").withColumn("state", state)
+
+
+def cluster_ids(results: DataFrame, key: str = "unique_id", cluster: str = "ClusterIdGlobal") -> DataFrame:
+    """``(key, cluster)``, one row for each record. A record with two clusters is an error, and so is a missing column."""
+    missing = [c for c in (key, cluster) if c not in results.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    one = results.groupBy(key).agg(F.min(cluster).alias("lo"), F.max(cluster).alias("hi"))
+    clash = F.raise_error(F.concat(F.lit("contradicting clusters of "), F.col(key).cast("string")))
+    return one.select(key, F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNull(), F.col("lo")).otherwise(clash).alias(cluster))
+
+
 def name_sensitivity(metrics: DataFrame, resamplings: int, ratio: float, seed: int = 0) -> DataFrame:
     """A report for each of several draws of ceil(n * ratio) blocks, from the blocks' metrics: ``(run, ...)``."""
     if not 0 < ratio < 1:

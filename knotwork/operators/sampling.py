@@ -45,6 +45,14 @@ def without_replacement(df: DataFrame, groups: list[str], key: str, ratio: float
     return out.where(F.col(rank) <= F.ceil(F.col(n) * ratio)).select(*df.columns)
 
 
+def random_births(df: DataFrame, entity: str, key: str, probability: float = 0.1, seed: int = 0, column: str = "DOB") -> DataFrame:
+    """A year from 1900 to 2020 for each entity, told on about a ``probability`` of its rows and null on the others."""
+    if not 0 <= probability <= 1:
+        raise ValueError("probability must lie in 0 to 1")
+    year = F.floor(1900 + 121 * share(F.col(entity), seed))
+    return df.withColumn(column, F.when(share(F.col(key), seed + 1) < probability, year.cast("double")))
+
+
 def link_subsample(records: DataFrame, ratio: float, everywhere: bool, block: str = "block", key: str = "rid", seed: int = 0) -> DataFrame:
     """ceil(n * ratio) records of all, or of each block, for clustering them again."""
     return without_replacement(records, [] if everywhere else [block], key, ratio, seed)

@@ -484,3 +484,70 @@ def _(spark, d):
 def _(spark, d):
     results = load(spark, d, "orders").select(F.col("o_custkey").alias("blocking_field"), F.col("o_orderkey").alias("unique_id"), F.col("o_orderpriority").alias("ClusterID"))
     return quality.cluster_of(results, results.where("unique_id % 50 = 0")).select("unique_id", "asked")
+
+
+@query("quality_name_checks", "WITH r AS (SELECT o_custkey AS b, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT o_custkey AS b, count(*) AS n FROM orders WHERE o_custkey % 3 > 0 AND o_orderkey % 5 > 0 GROUP BY 1) SELECT r.b AS blocking_field, r.n AS n_results, coalesce(t.n, 0) AS n_truth, CASE WHEN t.n IS NULL THEN 'unknown' WHEN t.n = r.n THEN 'same' ELSE 'different' END AS state FROM r LEFT JOIN t USING (b)")
+def _(spark, d):
+    o = load(spark, d, "orders").withColumnRenamed("o_custkey", "blocking_field")
+    return quality.name_checks(o.where("blocking_field % 3 > 0 and o_orderkey % 5 > 0"), o).fillna(0, ["n_truth"])
+
+
+@query("cluster_id_cache", "SELECT o_orderkey AS unique_id, min(o_custkey) AS \"ClusterIdGlobal\" FROM orders GROUP BY 1")
+def _(spark, d):
+    return quality.cluster_ids(load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("unique_id"), F.col("o_custkey").alias("ClusterIdGlobal")).union(load(spark, d, "orders").select("o_orderkey", "o_custkey")))
+
+
+SHARE_SQL = "CAST('0x' || md5('{s}:' || {k})[:8] AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("random_births", f"SELECT o_orderkey, CASE WHEN {SHARE_SQL.format(s=1, k='o_orderkey')} < 0.1 THEN floor(1900 + 121 * ({SHARE_SQL.format(s=0, k='o_custkey')})) END AS \"DOB\" FROM orders")
+def _(spark, d):
+    return sampling.random_births(load(spark, d, "orders"), "o_custkey", "o_orderkey").select("o_orderkey", "DOB")
+
+
+@query("linked_entities", "WITH n AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part), t AS (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) AS name FROM part WHERE p_partkey % 7 = 0), x AS (SELECT p_partkey, string_agg('uri:' || name, '|' ORDER BY 'uri:' || name) AS uris FROM (SELECT DISTINCT p_partkey, name FROM n JOIN t ON lower(w) = name) GROUP BY 1) SELECT part.p_partkey, coalesce(uris, '') AS uris FROM part LEFT JOIN x USING (p_partkey)")
+def _(spark, d):
+    part = load(spark, d, "part")
+    table = part.where("p_partkey % 7 = 0").select(F.element_at(F.split("p_name", " "), 1).alias("name")).distinct().select("name", F.concat(F.lit("uri:"), F.lower("name")).alias("uri"), F.lit(1.0).alias("similarity"))
+    return text.linked_entities(part.select("p_partkey", F.split("p_name", " ").alias("names")), ["p_partkey"], "names", table).select("p_partkey", F.array_join("uris", "|").alias("uris"))
+
+
+@query("text_professions", r"WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents), x AS (SELECT DISTINCT doc_id, o FROM s, (VALUES ('the'), ('with'), ('copyright')) t(o) WHERE (contains(s, 'and') OR contains(s, 'of')) AND contains(lower(s), o)) SELECT d.doc_id, coalesce(string_agg(o, '|' ORDER BY o), '') AS found FROM documents d LEFT JOIN x ON d.doc_id = x.doc_id GROUP BY 1")
+def _(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.array_join(text.professions(F.col("text"), F.lit("and of"), ["the", "with", "Copyright"]), "|").alias("found"))
+
+
+@query("text_phrases")
+def _(spark, d):
+    return text.top_phrases(load(spark, d, "documents"), "doc_id", "text")
+
+
+@query("features_cached", "SELECT o_orderkey, o_custkey, coalesce(lo, -1) AS l_partkey FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS lo FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) ON o_orderkey = l_orderkey")
+def _(spark, d):
+    cache = load(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    return sinks.with_cached(load(spark, d, "orders").select("o_orderkey", "o_custkey"), cache, "o_orderkey").fillna(-1, ["l_partkey"])
+
+
+@query("profile_primary", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS found FROM part")
+def _(spark, d):
+    entry = F.array(F.struct(F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, "primary").otherwise("alias").alias("name_type")))
+    return load(spark, d, "part").select("p_partkey", F.array_join(profiles.primary_features(entry)["primary"], "|").alias("found"))
+
+
+@query("profile_values", "SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS found FROM part GROUP BY p_brand")
+def _(spark, d):
+    rows = load(spark, d, "part").groupBy("p_brand").agg(F.collect_list(F.struct(F.col("p_type").alias("aml_type"))).alias("types"))
+    return rows.select("p_brand", F.array_join(profiles.each(F.col("types"), "aml_type"), "|").alias("found"))
+
+
+@query("profile_passports", "SELECT o_orderkey, 'ab' || (100000 + o_orderkey) AS found FROM orders")
+def _(spark, d):
+    p = F.array(F.struct(F.concat(F.lit("No. AB"), (F.lit(100000) + F.col("o_orderkey")).cast("string"), F.lit(" (x1)")).alias("passport")))
+    return load(spark, d, "orders").select("o_orderkey", F.array_join(profiles.passport_ids(p), "|").alias("found"))
+
+
+@query("profile_organisation_ids", "SELECT o_orderkey, CASE WHEN (1000000 + o_orderkey) % 10000 = 1001 THEN '' ELSE CAST(1000000 + o_orderkey AS VARCHAR) END AS found FROM orders")
+def _(spark, d):
+    number = (F.lit(1000000) + F.col("o_orderkey")).cast("string")
+    fields = F.array(F.struct(F.lit("Registration Number").alias("title"), F.concat(number, F.lit(", 12a")).alias("value")), F.struct(F.lit("Other").alias("title"), F.lit("777777").alias("value")))
+    return load(spark, d, "orders").select("o_orderkey", F.array_join(profiles.organisation_ids(fields), "|").alias("found"))

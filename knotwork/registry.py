@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.operators import clusters, edges, numeric, quality, vectors
+from knotwork.functions import profiles, text
+from knotwork.operators import blocking, clusters, edges, numeric, quality, vectors
 from knotwork.sources import providers, sinks
 
 CLUSTERERS: dict[str, Callable[..., DataFrame]] = {}
@@ -69,6 +70,25 @@ def _network(records, feats, vecs, use_features, th=0.9):
     return numeric.graph_network_clusters(vecs, edges.shared_counts(feats.where(F.col("feature").isin(use_features))), th)
 
 
+#: Other parts of an experiment by name.
+FEATURES = {
+    "clean_text": text.strip_tags, "domain": text.url_domain, "meta": text.meta_value, "keyword": text.keywords_in, "times": text.times_in, "date": text.agreed_date, "persons": text.capital_runs, "profession": text.professions,
+    "alias": profiles.alias_features, "primary": profiles.primary_features, "year_of_birth": profiles.years_of_birth, "known_years": profiles.known_years, "birth_day": profiles.birth_days, "country_code": profiles.country_codes,
+    "passport": profiles.passport_ids, "organisation_id": profiles.organisation_ids, "organisation_alias": profiles.organisation_aliases, "address": profiles.address_tokens,
+}
+BLOCKERS = {"identity": blocking.identity_blocks, "feature": blocking.feature_blocks, "feature_cutoff": blocking.cutoff_blocks, "country": blocking.country_blocks}
+SPLITTERS = {"delete_negative_edges": blocking.delete_negative_edges, "colour_negative_edges": blocking.colour_split}
+PROVIDERS = {"csv": providers.read_csv, "parquet": providers.read_parquet, "documents": providers.read_documents, "folder": providers.read_folder}
+SAVERS = {form: form for form in ("parquet", "csv", "json", "orc")}
+
+
+def named(kind: dict, name: str):
+    """A part by its name; an unknown name raises and tells the known ones."""
+    if name not in kind:
+        raise KeyError(f"no such name: {name}; known: {', '.join(sorted(kind))}")
+    return kind[name]
+
+
 def _feature_edges(feats, use_features, **options):
     return edges.shared_counts(feats.where(F.col("feature").isin(use_features)), **options)
 

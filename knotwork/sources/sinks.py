@@ -37,6 +37,13 @@ def to_process(records: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return records.join(done, key, "left_anti")
 
 
+def with_cached(records: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Records with the features that a cache holds for them; the cache's row with the smallest values counts if there are several."""
+    names = [c for c in cache.columns if c != key and c not in records.columns]
+    one = cache.groupBy(key).agg(F.min(F.struct(*names)).alias("cached"))
+    return records.join(one, key, "left").select(*records.columns, *[F.col("cached")[n].alias(n) for n in names])
+
+
 def append_features(records: DataFrame, path: str, key: str, extract) -> int:
     """Extract features of records that the cache at ``path`` lacks, and append them; how many there were."""
     spark = records.sparkSession

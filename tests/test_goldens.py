@@ -313,3 +313,48 @@ def test_network_takes_trained_weights(spark):
     assert label(numeric.graph_network_clusters(records, edges, 0.9, weights=(one, one))) == [0, 0, 1]
     assert label(numeric.hetero_network_clusters(records, edges, 0.9, ["f"], {"f": (one, none)})) == [0, 1, 0]
     assert label(numeric.hetero_network_clusters(records, edges, 0.9, ["f", "g"], {"f": (none, none), "g": (one, one)}, [0.5, 0.5])) == [0, 1, 0]
+
+
+def test_phrases_against_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from knotwork.functions import text
+
+    rows = [(1, "Deep water port. The deep water port of a deep water, water port; port!"), (2, "of the and"), (3, None), (4, "one two three four five six seven, two three")]
+    got = {}
+    for r in text.top_phrases(spark.createDataFrame(rows, "id long, body string"), "id", "body", 50).collect():
+        got.setdefault(r["id"], {})[r["phrase"]] = r["score"]
+    for i, body in rows:
+        found = Counter()
+        for part in re.split(r"[^\w\s'-]+", (body or "").lower()):
+            run = []
+            for w in [*part.split(), None]:
+                if w is None or w in text.STOP:
+                    for k in range(0, len(run), 4):
+                        found[" ".join(run[k : k + 4])] += 1
+                    run = []
+                else:
+                    run.append(w)
+        inside = lambda a, b: a != b and f" {a} " in f" {b} "
+        want = {t: len(t.split()) * math.log(n) + 0.75 * sum(inside(t, x) for x in found) + 0.1 * sum(inside(x, t) for x in found) for t, n in found.items()}
+        assert want.keys() == got.get(i, {}).keys() and all(abs(got[i][t] - v) < 1e-5 for t, v in want.items())
+
+
+def test_registries_and_contradictions(spark):
+    import pytest
+
+    from knotwork import registry
+    from knotwork.operators import quality
+
+    assert {"cosine_and_graph", "cosine_features_and_graph", "hetero_network", "hetero_network_combined", "algorithm"} <= set(registry.CLUSTERERS)
+    assert registry.named(registry.SPLITTERS, "delete_negative_edges") and registry.named(registry.BLOCKERS, "country") and registry.named(registry.FEATURES, "passport")
+    with pytest.raises(KeyError, match="known: csv"):
+        registry.named(registry.PROVIDERS, "mongo")
+    rows = spark.createDataFrame([("u", 1), ("u", 1), ("v", None)], "unique_id string, ClusterIdGlobal long")
+    assert sorted(map(tuple, quality.cluster_ids(rows).collect())) == [("u", 1), ("v", None)]
+    with pytest.raises(Exception, match="contradicting clusters of u"):
+        quality.cluster_ids(rows.union(spark.createDataFrame([("u", 2)], rows.schema))).collect()
+    with pytest.raises(ValueError, match="ClusterIdGlobal"):
+        quality.cluster_ids(rows.select("unique_id"))
