@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.operators.ranks import ordered_codes
+
 #: Kinds of names in the order in which they win over each other.
 KINDS = ("country", "alias", "code", "division", "capital")
 
@@ -28,7 +30,7 @@ def resolve(values: DataFrame, keys: list[str], value: str, table: DataFrame) ->
 
 def numbered(table: DataFrame, value: str) -> DataFrame:
     """Category codes of the distinct values in order, from 0."""
-    return table.select(value).distinct().withColumn("code", (F.row_number().over(Window.orderBy(value)) - 1).cast("long"))
+    return ordered_codes(table, value, "code")
 
 
 def country_rows(countries: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.operators.clusters import cluster, labels, number
+from knotwork.operators.clusters import cluster, labels, number, value_clusters
 from knotwork.operators.edges import shared_counts
+from knotwork.operators.ranks import ordered_codes
 from knotwork.session import cut
 
 
@@ -18,8 +19,7 @@ def identity_blocks(records: DataFrame) -> DataFrame:
 
 def feature_blocks(records: DataFrame, feats: DataFrame, features: list[str], th: float = 1) -> DataFrame:
     """Block = type and number of the component over the named features."""
-    shared = shared_counts(feats.where(F.col("feature").isin(features)))
-    c = cluster(records, shared.where(F.col("weight") >= th))
+    c = value_clusters(records, feats.where(F.col("feature").isin(features)), th)
     return c.select(F.col("blocking_field").alias("block"), F.col("unique_id").alias("rid"), F.concat_ws("-", "blocking_field", "ClusterID").alias("new_block"))
 
 
@@ -30,8 +30,7 @@ def deblock(results: DataFrame) -> DataFrame:
     """
     name = F.concat_ws("/", F.col("block").cast("string"), F.col("cluster").cast("string"))
     named = results.withColumn("name", name)
-    codes = named.select("name").distinct().withColumn("code", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
-    return named.join(codes, "name").drop("name")
+    return named.join(ordered_codes(named, "name", "code"), "name").drop("name")
 
 
 def cutoff_blocks(records: DataFrame, feats: DataFrame, features: list[str], starts: list[int], cutoff: int) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators import edges
 from knotwork.operators.components import connected_components
 from knotwork.session import cut
 
 
-def labels(edges: DataFrame) -> DataFrame:
+def labels(links: DataFrame) -> DataFrame:
     """``(block, rid, low)``: the smallest record of each linked record's component; ids of any type that has an order.
 
     A vertex is a record of a block, so an id that occurs in several blocks links none of them. Vertices are named by a
     64-bit hash for the rounds; a clash between blocks joins nothing, as a component is read within its block.
     """
-    e = cut(edges.select("block", "src", "dst").where("src is not null and dst is not null"))
+    e = cut(links.select("block", "src", "dst").where("src is not null and dst is not null"))
     parts = connected_components(e.select(F.xxhash64("block", "src").alias("a"), F.xxhash64("block", "dst").alias("b")))
     nodes = e.select("block", F.col("src").alias("rid")).union(e.select("block", "dst")).distinct()
     nodes = nodes.withColumn("node", F.xxhash64("block", "rid")).join(parts, "node", "left")
@@ -31,8 +32,8 @@ def number(records: DataFrame, low: DataFrame) -> DataFrame:
     return r.select(F.col("block").alias("blocking_field"), F.col("rid").alias("unique_id"), rank.cast("long").alias("ClusterID"))
 
 
-def cluster(records: DataFrame, edges: DataFrame) -> DataFrame:
-    return number(records, labels(edges))
+def cluster(records: DataFrame, links: DataFrame) -> DataFrame:
+    return number(records, labels(links))
 
 
 def everything_together(records: DataFrame) -> DataFrame:
@@ -44,6 +45,13 @@ def feature_clusters(records: DataFrame, shared: DataFrame, th: float = 1) -> Da
     return cluster(records, shared.where(F.col("weight") >= th))
 
 
+def value_clusters(records: DataFrame, feats: DataFrame, th: float = 1) -> DataFrame:
+    """``feature_clusters`` from the long feature table. At ``th`` of one or less any shared value links, and no pairs are made."""
+    if 0 < th <= 1:
+        return cluster(records, edges.shared_stars(feats))
+    return feature_clusters(records, edges.shared_counts(feats), th)
+
+
 def similarity_clusters(records: DataFrame, pairs: DataFrame, th: float) -> DataFrame:
     """Linked if the similarity is above ``th`` (strictly)."""
     return cluster(records, pairs.where(F.col("sim") > th))

@@ -16,6 +16,14 @@ def _pairs(feats: DataFrame) -> DataFrame:
     return a.join(b, ["block", "feature", "value"]).where("src < dst")
 
 
+def shared_stars(feats: DataFrame) -> DataFrame:
+    """``(block, src, dst)`` that links every holder of a value with the smallest one: the components of all pairs that share
+    a value, from as many edges as there are holders."""
+    f = feats.select("block", "rid", "feature", "value").where(F.col("value").isNotNull())
+    keys = ["block", "feature", "value"]
+    return f.join(f.groupBy(*keys).agg(F.min("rid").alias("src")), keys).where(F.col("rid") > F.col("src")).select("block", "src", F.col("rid").alias("dst"))
+
+
 def shared_counts(feats: DataFrame, inverse_degree: bool = False, by_feature: bool = False) -> DataFrame:
     """Weight of a pair: number of shared values, or the sum of one over each shared value's holders.
 

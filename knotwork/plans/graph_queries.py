@@ -68,12 +68,12 @@ def _(spark, d):
 
 @query("cc_feature", f"WITH RECURSIVE {ORDERS_SQL}, {features_sql('supplier')}, {SHARED_SQL}, e AS (SELECT * FROM s WHERE weight >= 1), {clusters_sql()} {GEN}")
 def _(spark, d):
-    return clusters.feature_clusters(orders(spark, d), edges.shared_counts(item_features(spark, d, "supplier")), 1)
+    return clusters.value_clusters(orders(spark, d), item_features(spark, d, "supplier"))
 
 
 @query("cc_feature_threshold", f"WITH RECURSIVE {ORDERS_SQL}, {features_sql('supplier', 'part')}, {SHARED_SQL}, e AS (SELECT * FROM s WHERE weight >= 2), {clusters_sql()} {GEN}")
 def _(spark, d):
-    return clusters.feature_clusters(orders(spark, d), edges.shared_counts(item_features(spark, d, "supplier", "part")), 2)
+    return clusters.value_clusters(orders(spark, d), item_features(spark, d, "supplier", "part"), 2)
 
 
 @query("cluster_production", f'WITH {ORDERS_SQL} SELECT block AS blocking_field, rid AS unique_id, CAST(0 AS BIGINT) AS "ClusterID" FROM r')

@@ -31,7 +31,7 @@ def _production(records, feats, vecs):
 
 @clusterer("connected_components")
 def _components(records, feats, vecs, use_features, th=1):
-    return clusters.feature_clusters(records, edges.shared_counts(feats.where(F.col("feature").isin(use_features))), th)
+    return clusters.value_clusters(records, feats.where(F.col("feature").isin(use_features)), th)
 
 
 @clusterer("cosine")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators.ranks import ordered_codes
 from knotwork.session import unlike
 
 REQUIRED = ("blocking_field", "content", "unique_id", "ground_truth")
@@ -75,7 +76,7 @@ def overlay_truth(overrides: DataFrame, profiles: DataFrame, mentions: DataFrame
     ``overrides(profile_id)``, ``profiles(profile_id, source_ids array)``, ``mentions(source_id, ...)``.
     """
     kept = profiles.join(overrides, "profile_id", "left_semi")
-    code = kept.select("profile_id").distinct().withColumn("ground_truth", (F.row_number().over(Window.orderBy("profile_id")) - 1).cast("long"))
+    code = ordered_codes(kept, "profile_id", "ground_truth")
     ids = kept.select("profile_id", F.explode("source_ids").alias("source_id")).join(code, "profile_id")
     return mentions.join(ids, "source_id")
 

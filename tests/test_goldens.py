@@ -98,8 +98,6 @@ def test_annotations(spark):
     [(np.ones((7, 7)), np.ones((7, 7)) - np.eye(7), list(range(7))), (np.ones((7, 7)), np.zeros((7, 7)), [0] * 7), (np.array([[0, 1, 2], [1, 0, 1], [2, 1, 0]]), np.array([[0, 1, 0], [1, 0, 0], [0, 0, 0]]), [0, 1, 0]), (np.ones((3, 3)), np.array([[0, 1, 1], [1, 0, 0], [1, 0, 0]]), [0, 1, 1])],
 )
 def test_colouring(pos, neg, colours):
-    if not neg.any():
-        return  # components without a negative pair never reach the colouring
     assert blocking.colour_component(len(pos), pos, neg).tolist() == colours
 
 
@@ -133,9 +131,16 @@ def test_incremental():
     for k, g in enumerate(groups):
         for p in g:
             near.add(np.array(p), k), mean.add(np.array(p), k)
-    k, sim = near.closest(x)
-    assert (k, round(sim, 2)) == (0, 0.97) or (k, round(sim, 2)) == (1, 0.97) or round(sim, 2) in (0.97, 0.96)
-    assert mean.closest(x)[0] in (1, 2)
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    best = max(((cos(x, p), -k) for k, g in enumerate(groups) for p in g))
+    assert near.closest(x)[0] == -best[1] and abs(near.closest(x)[1] - best[0]) < 1e-9
+    best = max((cos(x, np.mean(g, 0)), -k) for k, g in enumerate(groups))
+    assert mean.closest(x)[0] == -best[1] and abs(mean.closest(x)[1] - best[0]) < 1e-9
+    many, rng = numeric.Points(), np.random.default_rng(1)
+    rows = rng.normal(size=(70, 5))
+    for k, p in enumerate(rows):
+        many.add(p, k)
+    assert all(many.closest(p)[0] == k for k, p in enumerate(rows))
 
 
 def test_fast_rp_is_invariant():
@@ -153,19 +158,19 @@ def test_profiles(spark):
     assert one(profiles.birth_days(F.col("b")), b=(days, births)) == ["1958-04-29", "1960-03-31"]
     odd = [("1967-01-01", "1967-31-12"), ("1968-01-01", "1968-12-31"), ("1969-01-01", "1971-01-01")]
     assert one(profiles.known_years(F.col("b")), b=(odd, births)) == ["1967", "1968", "1969", "1971"]
-    a, b = (one(names.father_phonetic(F.col("n")), n=(x, "string")) for x in ("Nazar Hussain s/o Khan Muhammad", "Nazar Hussain s/o Mohamed Khan"))
+    a, b = (one(names.father_phonetic(F.col("n")), n=(x, "string")) for x in ("Tariq Aziz s/o Karim Yousef", "Tariq Aziz s/o Yusuf Kareem"))
     assert a == b and a
-    assert one(names.name_tokens(F.col("n")), n=("Brigade general Gégole", "string")) == ["brigade", "gegole", "general"]
+    assert one(names.name_tokens(F.col("n")), n=("Captain of René-Lévy", "string")) == ["captain", "levy", "rene"]
     assert one(names.token_pairs(F.array(F.lit("a"), F.lit("b"), F.lit("c"))), x=(1, "int")) == ["a+b", "a+c", "b+c"]
-    assert profiles.organisation_alias("Acme (a.k.a. Best & Co) 99") == ["99+acme", "and+best"] or profiles.organisation_alias("Acme (Best) 99") == ["99+acme", "best"]
+    assert profiles.organisation_alias("Acme (Best) 99") == ["99+acme", "best"]
 
 
 def test_texts(spark):
-    df = spark.createDataFrame([("http://a.b:80/x?q", "Charlie in this sentence. This sentence of him. Third one. Fourth.", "Mr. F meets f and Frank")], "url string, t string, n string")
+    df = spark.createDataFrame([("http://a.b:80/x?q", "Here walks Dora. She hums. Nobody else came. The end.", "Mr. F meets f and Frank")], "url string, t string, n string")
     r = df.select(text.url_domain(F.col("url")), text.strip_tags(F.lit("<b>x</b> <<<<y")), text.replace_name(F.col("n"), F.lit("F"), "X"), text.times_in(F.lit("at 5:30 PM and 7pm"))).first()
     assert r[0] == ["a.b:80"] and r[1] == "x <<<<y" and r[2] == "Mr. X meets X and Frank" and r[3] == ["17:30:00", "19:00:00"]
-    sel = text.selected_text(df.withColumn("name", F.lit("Charlie")), ["url"], "t", "name").first()["selected"]
-    assert sel == "Charlie in this sentence. This sentence of him."
+    sel = text.selected_text(df.withColumn("name", F.lit("Dora")), ["url"], "t", "name").first()["selected"]
+    assert sel == "Here walks Dora. She hums."
 
 
 def test_sources_and_samples(spark):
@@ -358,3 +363,23 @@ def test_registries_and_contradictions(spark):
         quality.cluster_ids(rows.union(spark.createDataFrame([("u", 2)], rows.schema))).collect()
     with pytest.raises(ValueError, match="ClusterIdGlobal"):
         quality.cluster_ids(rows.select("unique_id"))
+
+
+def test_codes_of_many_partitions(spark):
+    from knotwork.operators.ranks import ordered_codes
+
+    df = spark.range(0, 3000, 1, 9).select((F.col("id") * 7919 % 997).cast("string").alias("part"), F.col("id").alias("before"))
+    want = {v: k for k, v in enumerate(sorted({str(i * 7919 % 997) for i in range(3000)}))}
+    assert {r["part"]: r["code"] for r in ordered_codes(df, "part", "code").collect()} == want
+    assert ordered_codes(df.limit(0), "part", "code").count() == 0
+
+
+def test_stars_give_the_components_of_all_pairs(spark):
+    from knotwork.operators import clusters, edges
+
+    rows = [("b", k, "f", f"v{k % 7}") for k in range(30)] + [("b", k, "g", f"w{k // 9}") for k in range(0, 30, 4)] + [("c", 1, "f", None), ("c", 2, "f", "v1"), ("c", 3, "g", "v1")]
+    f = spark.createDataFrame(rows, "block string, rid long, feature string, value string")
+    records = f.select("block", "rid").distinct()
+    for use in (["f"], ["g"], ["f", "g"]):
+        own = f.where(F.col("feature").isin(use))
+        assert sorted(clusters.value_clusters(records, own).collect()) == sorted(clusters.feature_clusters(records, edges.shared_counts(own), 1).collect())
