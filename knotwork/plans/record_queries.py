@@ -154,13 +154,13 @@ def _(spark, d):
     return load(spark, d, "part").select("p_partkey", text.feature_string({"NAME": F.split("p_name", " "), "BRAND": F.array("p_brand")}).alias("features"))
 
 
-@query("text_times")
+@query("text_times", "SELECT event_id, strftime(ts, '%H:00:00') || CASE WHEN minute(ts) > 0 THEN '|' || strftime(ts, '%H:%M:00') ELSE '' END AS times FROM events")
 def _(spark, d):
     stamped = F.concat(F.lit("at "), F.date_format("ts", "h:mm a"), F.lit(" or "), F.date_format("ts", "ha"))
     return load(spark, d, "events").select("event_id", F.array_join(text.times_in(stamped), "|").alias("times"))
 
 
-@query("text_dates")
+@query("text_dates", "SELECT o_orderkey, year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) AS day FROM orders")
 def _(spark, d):
     return load(spark, d, "orders").select("o_orderkey", text.agreed_date(F.date_format("o_orderdate", "d MMMM yyyy")).alias("day"))
 
