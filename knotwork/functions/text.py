@@ -11,6 +11,11 @@ def quote(token: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(token, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def as_utf8(text: Column) -> Column:
+    """The bytes of a text; one that is no valid UTF-8 loses all that is not a word character first."""
+    return F.encode(F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), r"\W", "")), "UTF-8")
+
+
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<.*?>", "")
 
@@ -53,7 +58,7 @@ def remove_names(text: Column, persons: Column, name: Column) -> Column:
     return F.when(F.coalesce(F.size(persons), F.lit(0)) == 0, text).otherwise(F.aggregate(toks, text, lambda acc, t: F.replace(acc, t, F.lit(""))))
 
 
-def replace_name(text: Column, name: Column, by: str) -> Column:
+def replace_name(text: Column, name: Column, by: str | Column) -> Column:
     """Each token of the name, as a word and whatever the case, becomes ``by``; a token that ends in a dot needs no word end."""
     toks = F.filter(F.split(name, " "), lambda t: F.length(t) > 0)
     end = lambda t: F.when(t.endswith("."), F.lit("")).otherwise(F.lit(r"\b"))

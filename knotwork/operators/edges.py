@@ -75,3 +75,9 @@ def override(edges: DataFrame, positive: DataFrame, negative: DataFrame) -> Data
     """Edges with annotated pairs forced: positive pairs are added first, negative pairs are removed last."""
     keys = ["block", "src", "dst"]
     return edges.select(*keys).union(positive.select(*keys)).distinct().join(negative.select(*keys), keys, "left_anti")
+
+
+def graph_edges(records: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(block, src, dst, weight)`` of a graph that has an edge in every block: one without any gets its smallest record's to itself."""
+    first = records.groupBy("block").agg(F.min("rid").alias("rid")).join(shared.select("block").distinct(), "block", "left_anti")
+    return shared.select("block", "src", "dst", F.col("weight").cast("double").alias("weight")).union(first.select("block", "rid", "rid", F.lit(1.0)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators.ranks import ordered_codes
+from knotwork.operators.sampling import share
+
 
 def contingency(joined: DataFrame) -> DataFrame:
     """``(block, truth, cluster, n)`` with the marginal sizes, from one row per record ``(block, truth, cluster)``. An unknown truth is one of its own."""
@@ -53,6 +56,57 @@ def report(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*[F.round(F.avg(F.col(m).cast("double")), 2).alias(m) for m in METRICS])
 
 
+def mean_of(metrics: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+    """The mean of a column, or its mean by weight, over rows where it is known (no null, no NaN), to two places: ``(mean)``, one row."""
+    missing = [c for c in (column, weight) if c and c not in metrics.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    x, w = F.col(column).cast("double"), F.col(weight).cast("double") if weight else F.lit(1.0)
+    return metrics.where(x.isNotNull() & ~F.isnan(x)).agg(F.round(F.try_divide(F.sum(x * w), F.sum(w)), 2).alias("mean"))
+
+
+def transposed(reports: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``(metric, <a column for each report>)`` from rows ``(name, metrics)``; without names those of all reports, sorted."""
+    long = reports.select("name", *[F.col(m).cast("double").alias(m) for m in METRICS]).unpivot(["name"], list(METRICS), "metric", "value")
+    return long.groupBy("metric").pivot("name", names).agg(F.first("value"))
+
+
+def sampled_pairs(records: DataFrame, rate: float = 0.2, runs: int = 1, seed: int = 0) -> DataFrame:
+    """``(run, block, src, dst, truth, answer)``: floor(n * rate) pairs of two records of every block, drawn anew for each run.
+
+    ``records(block, rid, truth, cluster)``, one row for each record; blocks of one record have no pair. Records are
+    numbered by range partitions and pairs drawn by number, so no block is held by a task and no pair is made in vain.
+    """
+    r = records.select(F.struct("block", "rid").alias("who"), "truth", "cluster")
+    r = r.join(ordered_codes(r, "who", "code"), "who")
+    blocks = r.groupBy("who.block").agg(F.count("*").alias("n"), F.min("code").alias("low")).where("n > 1")
+    draws = blocks.withColumn("k", F.floor(F.col("n") * rate)).where("k > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    key = F.concat_ws(":", F.col("block").cast("string"), F.col("run").cast("string"), F.col("i").cast("string"))
+    first = F.floor(share(key, seed) * F.col("n"))
+    other = (first + 1 + F.floor(share(key, seed + 1) * (F.col("n") - 1))) % F.col("n")
+    at = draws.select("run", (F.col("low") + first).alias("a"), (F.col("low") + other).alias("b"))
+    side = lambda c: r.select(F.col("code").alias(c), F.struct("who.block", "who.rid", "truth", "cluster").alias(f"r{c}"))
+    same = lambda f: F.col(f"ra.{f}").eqNullSafe(F.col(f"rb.{f}"))
+    both = at.join(side("a"), "a").join(side("b"), "b")
+    return both.select("run", F.col("ra.block").alias("block"), F.col("ra.rid").alias("src"), F.col("rb.rid").alias("dst"), same("truth").alias("truth"), same("cluster").alias("answer"))
+
+
+def repeated_acceptance(records: DataFrame, rate: float = 0.2, runs: int = 20, seed: int = 0) -> DataFrame:
+    """Acceptance scores of several draws of pairs: ``(run, accuracy, precision, recall, fscore)``, to two places."""
+    count = lambda t, a: F.sum(((F.col("truth") == t) & (F.col("answer") == a)).cast("long"))
+    cells = sampled_pairs(records, rate, runs, seed).groupBy("run").agg(*[count(t, a).alias(f"c{int(t)}{int(a)}") for t in (True, False) for a in (True, False)])
+    zero = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    total, sums = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11"), {"precision": 0.0, "recall": 0.0, "fscore": 0.0}
+    for v in "10":
+        w = "0" if v == "1" else "1"
+        hit, real = F.col(f"c{v}{v}"), F.col(f"c{v}0") + F.col(f"c{v}1")
+        p, r = zero(hit, hit + F.col(f"c{w}{v}")), zero(hit, real)
+        for name, x in (("precision", p), ("recall", r), ("fscore", zero(2 * p * r, p + r))):
+            sums[name] = sums[name] + x * real
+    return cells.select("run", F.round((F.col("c11") + F.col("c00")) / total, 2).alias("accuracy"), *[F.round(x / total, 2).alias(n) for n, x in sums.items()])
+
+
 def name_checks(truth: DataFrame, results: DataFrame) -> DataFrame:
     """``(blocking_field, n_results, n_truth, state)`` of every block with results: ``same``, ``different`` or ``unknown`` to the truth."""
     n = results.groupBy("blocking_field").agg(F.count("*").alias("n_results"))

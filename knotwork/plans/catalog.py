@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from knotwork.plans import graph_queries, record_queries
+from knotwork.plans import entity_queries, graph_queries, record_queries
 
 QUERIES = {}
-ORACLES = {**graph_queries.O, **record_queries.O}
+ORACLES = {**graph_queries.O, **record_queries.O, **entity_queries.O}
 
 
 def _shipped(f):
@@ -18,5 +18,5 @@ def _shipped(f):
     return run
 
 
-for _name, _f in {**graph_queries.Q, **record_queries.Q}.items():
+for _name, _f in {**graph_queries.Q, **record_queries.Q, **entity_queries.Q}.items():
     QUERIES[_name] = _shipped(_f)

@@ -357,12 +357,6 @@ def _(spark, d):
     return quality.acceptance(load(spark, d, "orders").select((F.col("o_orderkey") % 3 == 0).alias("truth"), (F.col("o_orderkey") % 4 == 0).alias("answer")))
 
 
-@query("quality_improvements")
-def _(spark, d):
-    r = quality.block_metrics(joined(spark, d)).withColumnRenamed("blocking_field", "name")
-    return quality.improvements(r.select("name", *[F.col(m).cast("double").alias(m) for m in quality.METRICS]))
-
-
 @query("quality_trapezoid", "WITH q AS (SELECT l_suppkey, CAST(l_linenumber AS DOUBLE) AS x, avg(l_quantity) AS y FROM lineitem GROUP BY ALL), a AS (SELECT l_suppkey, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS area FROM q WINDOW w AS (PARTITION BY l_suppkey ORDER BY x)) SELECT l_suppkey, round(coalesce(sum(area), 0), 4) AS auc FROM a GROUP BY l_suppkey")
 def _(spark, d):
     p = load(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").cast("double").alias("x")).agg(F.avg("l_quantity").alias("y"))
