@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import names, text
 from knotwork.operators.ranks import ordered_codes
-from knotwork.operators.sampling import draw
+from knotwork.operators.sampling import draw, share
 
 
 def selected_entities(mentions: DataFrame, frequency: DataFrame, wanted: int = 1000, least_uris: int = 100, least_commonness: float = 1e-7, every: int = 15, seed: int = 0) -> DataFrame:
@@ -56,3 +57,41 @@ def postprocessed(df: DataFrame, real: str = "entity_name", pseudo: str = "pseud
     own = own.withColumn(content, text.replace_name(F.col(content), F.coalesce("original_entity_name", F.lit("")), F.col("blocking_field")))
     codes = ordered_codes(own.where("original_entity_name is not null"), "original_entity_name", "ClusterIdGlobal")
     return own.join(codes, "original_entity_name", "left").fillna(-1, ["ClusterIdGlobal"])
+
+
+def drawn_entities(records: DataFrame, profiles: dict[int, float], mentions: dict[int, float], entities: int = 10, tag: str = "FAKE IDENTITY", attempts: int = 100, seed: int = 0) -> DataFrame:
+    """Made-up entities from ``records(entity_name, unique_id, content)``, ids unique: ``(..., pseudo_entity_name, ground_truth)``.
+
+    Numbers of real names and of mentions are drawn with the weights of two histograms, sorted and paired, the larger with
+    the larger. Each entity takes the first of ``attempts`` draws of names (without replacement, evenly) whose records
+    suffice; an entity without one is an error. A name has a weight from 1 to 10 and mentions are drawn name by name at
+    these weights, a record at most once an entity: each name's records arrive one by one after exponential waits at its
+    weight's rate, and the earliest are taken. ``ground_truth`` numbers an entity's real names in order.
+    """
+    rng, spark = np.random.default_rng(seed), records.sparkSession
+    def pick(counts):
+        weight = np.array(list(counts.values()), float)
+        return sorted((int(x) for x in rng.choice(list(counts), entities, p=weight / weight.sum())), reverse=True)
+
+    plan = list(zip(pick(profiles), pick(mentions), strict=True))
+    counts = records.where("entity_name is not null").groupBy("entity_name").agg(F.count("*").alias("n"))
+    counts = counts.join(ordered_codes(counts, "entity_name", "code"), "entity_name")
+    n_names = counts.count()
+    if plan[0][0] > n_names:
+        raise ValueError(f"{plan[0][0]} names asked for, {n_names} found")
+    rows = [(k, m, a, int(c)) for k, (p, m) in enumerate(plan) for a in range(attempts) for c in rng.choice(n_names, p, replace=False)]
+    tried = spark.createDataFrame(rows, "k int, mentions int, attempt int, code long").join(counts, "code")  # as many rows as asked for
+    rich = tried.groupBy("k", "mentions", "attempt").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("mentions")).groupBy("k").agg(F.min("attempt").alias("attempt"))
+    rich = rich.collect()  # one row an entity
+    if len(rich) < entities:
+        raise ValueError(f"not enough records for {entities - len(rich)} of {entities} entities in {attempts} attempts")
+    first = {r["k"]: r["attempt"] for r in rich}
+    chosen = spark.createDataFrame([r for r in rows if r[2] == first[r[0]]], tried.select("k", "mentions", "attempt", "code").schema).join(counts, "code").select("k", "mentions", "entity_name")
+    own = records.join(chosen, "entity_name")
+    part = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c])
+    turn = Window.partitionBy("k", "entity_name").orderBy(draw(part("k", "unique_id"), seed), "unique_id")
+    wait = -F.log(1 - share(part("k", "unique_id"), seed + 1)) / (1 + F.floor(10 * share(part("k", "entity_name"), seed + 2)))
+    own = own.withColumn("__turn", F.row_number().over(turn)).where(F.col("__turn") <= F.col("mentions")).withColumn("__at", F.sum(wait).over(turn))
+    own = own.withColumn("__place", F.row_number().over(Window.partitionBy("k").orderBy("__at", "unique_id"))).where(F.col("__place") <= F.col("mentions"))
+    truth = (F.dense_rank().over(Window.partitionBy("k").orderBy("entity_name")) - 1).cast("long")
+    return own.select(*records.columns, F.concat(F.lit(tag), F.col("k").cast("string")).alias("pseudo_entity_name"), truth.alias("ground_truth"))

@@ -131,3 +131,23 @@ def _(spark, d):
     e = load(spark, d, "embeddings")
     a, b = e.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), e.select("vec_id", F.array(F.col("label").cast("double")).alias("vec"))
     return learning.concatenated(a, b, "vec_id").select("vec_id", F.size("vec").cast("long").alias("size"), F.element_at("vec", 1).alias("first"), F.element_at("vec", -1).alias("last"))
+
+
+@query("entities_drawn")
+def _(spark, d):
+    docs = load(spark, d, "documents").select(F.col("source").alias("entity_name"), F.col("doc_id").alias("unique_id"), F.col("text").alias("content"))
+    made = entities.drawn_entities(docs, {1: 2.0, 2: 1.0}, {3: 1.0, 6: 1.0}, 8)
+    return entities.postprocessed(made).withColumn("content", F.md5("content"))
+
+
+@query("graph_network_trained")
+def _(spark, d):
+    from knotwork.operators.network_training import train_network
+    from knotwork.operators.numeric import graph_network_clusters
+    from knotwork.plans.carriers import vectors as carried
+
+    v = carried(spark, d, "vec_id % 40").join(load(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), F.col("label").alias("truth")), "rid")
+    feats = v.select("block", "rid", F.lit("near").alias("feature"), F.floor(F.element_at("vec", 1) * 10).cast("string").alias("value"))
+    links = edges.shared_counts(feats)
+    weights, _ = train_network(v, links)
+    return graph_network_clusters(v, links, 0.9, weights=weights)

@@ -62,3 +62,31 @@ def test_finished_data_sets(spark):
     records = spark.createDataFrame([("p", 3), ("p", 2), ("q", 1), ("q", 2)], "block string, rid long")
     edges = graph_edges(records, spark.createDataFrame([("q", 1, 2, 5)], "block string, src long, dst long, weight long"))
     assert sorted(map(tuple, edges.collect())) == [("p", 2, 2, 1.0), ("q", 1, 2, 5.0)]
+
+
+def test_drawn_entities(spark):
+    from knotwork.operators.entities import drawn_entities, postprocessed
+
+    rows = [(f"n{k:02}", f"u{k}-{i}", f"n{k:02} text") for k in range(12) for i in range(3 + k)] + [(None, "x", "y")]
+    r = spark.createDataFrame(rows, "entity_name string, unique_id string, content string")
+    got = drawn_entities(r, {2: 3.0, 3: 1.0}, {5: 1.0, 20: 1.0}, 6).toPandas()
+    sizes = got.groupby("pseudo_entity_name").size()
+    assert len(sizes) == 6 and set(sizes) <= {5, 20} and list(sizes.sort_index()) == sorted(sizes, reverse=True)
+    assert not got.duplicated(["pseudo_entity_name", "unique_id"]).any()
+    assert (got.groupby("pseudo_entity_name")["entity_name"].nunique() <= 3).all()
+    for _, e in got.groupby("pseudo_entity_name"):
+        assert dict(zip(sorted(set(e["entity_name"])), range(9))) == dict(zip(e["entity_name"], e["ground_truth"]))
+    assert drawn_entities(r, {2: 3.0, 3: 1.0}, {5: 1.0, 20: 1.0}, 6).toPandas().sort_values(["pseudo_entity_name", "unique_id"]).values.tolist() == got.sort_values(["pseudo_entity_name", "unique_id"]).values.tolist()
+    assert set(postprocessed(drawn_entities(r, {1: 1.0}, {3: 1.0}, 2)).toPandas()["content"]) == {"FAKE IDENTITY0 text", "FAKE IDENTITY1 text"}
+    with pytest.raises(ValueError, match="not enough records"):
+        drawn_entities(r, {1: 1.0}, {99: 1.0}, 2)
+    with pytest.raises(ValueError, match="names asked for"):
+        drawn_entities(r, {50: 1.0}, {99: 1.0}, 2)
+
+
+def test_reports_side_by_side(spark):
+    from knotwork.operators.quality import METRICS, transposed
+
+    rows = spark.createDataFrame([("a", *[float(k) for k in range(9)]), ("b", *[None] * 9)], "name string, " + ", ".join(f"{m} double" for m in METRICS))
+    got = {r["metric"]: (r["a"], r["b"]) for r in transposed(rows).collect()}
+    assert got == {m: (float(k), None) for k, m in enumerate(METRICS)}
