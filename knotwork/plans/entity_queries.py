@@ -113,11 +113,11 @@ def _(spark, d):
     return vectors.tfidf(vectors.feature_tokens(rows)).withColumn("w", F.round("w", 6))
 
 
-@query("text_bigrams", "WITH t AS (SELECT l_orderkey AS rid, 't' || l_partkey % 12 AS term, l_linenumber::BIGINT * 1000000000 + l_partkey AS k FROM lineitem), n AS (SELECT term, lead(term) OVER (PARTITION BY rid ORDER BY k) AS other FROM t), p AS (SELECT term, other, count(*) AS n FROM n WHERE other IS NOT NULL GROUP BY ALL), u AS (SELECT term, count(*) AS c FROM t GROUP BY term) SELECT p.term || '_' || other AS phrase, n, round((n - 5) * (SELECT count(*) FROM u) / (a.c * b.c)::DOUBLE, 9) AS score FROM p JOIN u a ON a.term = p.term JOIN u b ON b.term = other WHERE n >= 5 AND (n - 5) * (SELECT count(*) FROM u) / (a.c * b.c)::DOUBLE > 0.0005")
+@query("text_bigrams", "WITH t AS (SELECT l_orderkey AS rid, 't' || l_partkey % 12 AS term, l_linenumber::BIGINT * 1000000000 + l_partkey AS k FROM lineitem), n AS (SELECT term, lead(term) OVER (PARTITION BY rid ORDER BY k) AS other FROM t), p AS (SELECT term, other, count(*) AS n FROM n WHERE other IS NOT NULL GROUP BY ALL), u AS (SELECT term, count(*) AS c FROM t GROUP BY term) SELECT p.term || '_' || other AS phrase, n, round((n - 5) * (SELECT count(*) FROM u) / (a.c * b.c)::DOUBLE, 12) AS score FROM p JOIN u a ON a.term = p.term JOIN u b ON b.term = other WHERE n >= 5 AND (n - 5) * (SELECT count(*) FROM u) / (a.c * b.c)::DOUBLE > 0.000001")
 def _(spark, d):
     term = F.concat(F.lit("t"), (F.col("l_partkey") % 12).cast("string"))
     t = load(spark, d, "lineitem").select(F.lit(0).alias("block"), F.col("l_orderkey").alias("rid"), term.alias("term"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")).alias("k"))
-    return vectors.bigrams(t, "k", 5, 0.0005).withColumn("score", F.round("score", 9))
+    return vectors.bigrams(t, "k", 5, 0.000001).withColumn("score", F.round("score", 12))
 
 
 @query("topics_dominant", "SELECT vec_id, coalesce(array_to_string(list_filter(range(0, len(embedding)), lambda i: embedding[i + 1]::DOUBLE >= 0.1), '|'), '') AS found FROM embeddings")

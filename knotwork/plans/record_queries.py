@@ -301,9 +301,10 @@ def _(spark, d):
     return sampling.value_shares(load(spark, d, "lineitem").select(F.col("l_returnflag").alias("l_shipmode")), "l_shipmode").withColumn("prob", F.round("prob", 6))
 
 
-@query("unique_by_title", "SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) = 1")
+@query("unique_by_title", "SELECT strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderpriority || ' ' || o_custkey % 20 AS title, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) = 1")
 def _(spark, d):
-    return load(spark, d, "part").groupBy("p_name").agg(F.countDistinct("p_partkey").alias("n"), F.min("p_partkey").alias("p_partkey")).where("n = 1").drop("n")
+    title = F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority", (F.col("o_custkey") % 20).cast("string"))
+    return providers.unique_titles(load(spark, d, "orders").select(title.alias("title"), "o_orderkey"), "title", "o_orderkey")
 
 
 @query("present_in_range", "SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 30 DAY AND o_orderdate + INTERVAL 30 DAY GROUP BY o_orderkey")

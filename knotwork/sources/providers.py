@@ -94,3 +94,9 @@ def names_within(df: DataFrame, name: str, url: str, least: int, most: int, max_
     if max_names:
         out = out.join(out.select(name).distinct().orderBy(name).limit(max_names), name, "left_semi")
     return out
+
+
+def unique_titles(df: DataFrame, title: str, key: str) -> DataFrame:
+    """``(title, key)`` of titles that one record alone has; rows without a title or a key are left out."""
+    own = df.where(F.col(title).isNotNull()).groupBy(title).agg(F.min(key).alias(key), F.max(key).alias("__last"))
+    return own.where(F.col(key) == F.col("__last")).drop("__last")
