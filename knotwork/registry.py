@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions import profiles, text
-from knotwork.operators import blocking, clusters, edges, numeric, quality, vectors
+from knotwork.operators import blocking, clusters, edges, learning, numeric, quality, vectors
 from knotwork.sources import providers, sinks
 
 CLUSTERERS: dict[str, Callable[..., DataFrame]] = {}
@@ -131,6 +131,13 @@ def _algorithm(records, feats, vecs, fit_predict):
     return numeric.algorithm_clusters(vecs, fit_predict)
 
 
+@clusterer("pair_model")
+def _pair_model(records, feats, vecs, model, th=0.9):
+    a, b = vecs.select("block", F.col("rid").alias("src")), vecs.select("block", F.col("rid").alias("dst"))
+    pairs = a.join(b, "block").where("src < dst")
+    return clusters.similarity_clusters(records, learning.classified_pairs(model, pairs, vecs), th)
+
+
 def build(spec: dict) -> Callable[..., DataFrame]:
     """``{"class": name, "attributes": {...}}`` as a function of (records, features, vectors). An unknown name raises."""
     if spec["class"] not in CLUSTERERS:

@@ -90,3 +90,16 @@ def test_reports_side_by_side(spark):
     rows = spark.createDataFrame([("a", *[float(k) for k in range(9)]), ("b", *[None] * 9)], "name string, " + ", ".join(f"{m} double" for m in METRICS))
     got = {r["metric"]: (r["a"], r["b"]) for r in transposed(rows).collect()}
     assert got == {m: (float(k), None) for k, m in enumerate(METRICS)}
+
+
+def test_clusters_of_a_pair_model(spark):
+    from knotwork import registry
+    from knotwork.operators.learning import pair_classifier
+
+    rows = [("b", k, [10.0 * (k % 2), 1.0]) for k in range(6)] + [("c", 0, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "block string, rid long, vec array<double>")
+    ids = range(6)
+    pairs = spark.createDataFrame([("b", i, j, int(i % 2 and j % 2)) for i in ids for j in ids if i < j], "block string, src long, dst long, label int")
+    build = registry.build({"class": "pair_model", "attributes": {"model": pair_classifier(pairs, v), "th": 0.5}})
+    got = {(r["blocking_field"], r["unique_id"]): r["ClusterID"] for r in build(v.select("block", "rid"), None, v).collect()}
+    assert len(got) == 7 and len({got["b", k] for k in (1, 3, 5)}) == 1 and len({got["b", k] for k in (0, 1, 2, 4)}) == 4
