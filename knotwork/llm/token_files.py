@@ -19,7 +19,7 @@ import re
 import uuid
 import zlib
 from functools import lru_cache, partial
-from itertools import chain, combinations
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ MANIFEST = "part int, file int, path string, docs long, ids long"
 #: A space between white space and more white space or the end: the one case in which cutting before a space changes the pieces.
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RISKY = rf"[{_SPACE}] (?:[{_SPACE}]|\z)|<\|"
+#: Words that may be encoded a line each, fewer bytes than this, and lines of a text that the library is given.
+_LINE, LINE_BYTES, LINES = rf"\A ?[^{_SPACE}]+\z", 64, 256
 
 
 _LETTER = np.zeros(256, bool)
@@ -57,16 +59,16 @@ def safe_cuts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """
     n = len(raw)
     cut = raw == 32
-    if n > 1:
-        letter = _LETTER[raw]
-        wide = np.zeros(n, bool)
-        wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
-        cut[1:] |= _MARK[raw[1:]] & (letter | wide)[:-1]
-        solid = ~_BLANK[raw] & (raw < 0x80) | wide
-        alone = np.zeros(n, bool)
-        alone[1:-1] = (raw[1:-1] == 10) & solid[:-2] & (_LETTER[raw[2:]])
-        cut |= alone
-        cut[1:] |= alone[:-1]
+
+    def wide(at):  # the second byte of a Latin letter beyond ASCII; the byte before a text's first is no 0xC3
+        return (raw[at - 1] == 0xC3) & (raw[at] != 0x97) & (raw[at] != 0xB7) & (at > 0)
+
+    mark = np.flatnonzero(_MARK[raw[1:]])  # places less one, so the bytes before the marks
+    cut[mark[_LETTER[raw[mark]] | wide(mark)] + 1] = True
+    feed = np.flatnonzero(raw[1:-1] == 10) + 1
+    before = feed - 1
+    alone = feed[(~_BLANK[raw[before]] & (raw[before] < 0x80) | wide(before)) & _LETTER[raw[feed + 1]]]
+    cut[alone] = cut[alone + 1] = True
     cut[offs[:-1][offs[:-1] < n]] = True
     return np.flatnonzero(cut)
 
@@ -75,7 +77,7 @@ class WordEncoder:
     """Byte-level BPE of whole texts by the tokenizers library, each distinct word encoded once.
 
     Texts are cut at safe places and the parts encoded; texts with a space inside a run of white space, or with what
-    looks like a special token, are encoded as a whole.
+    looks like a special token, are encoded as a whole. New words go to the library many at a time, a line each.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -84,6 +86,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
+        self.feed = self._encode(["\n"])[0]
         self.forget()
 
     def forget(self) -> None:
@@ -93,21 +96,44 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words, one word after the other, and how many each has."""
+        ids = self._encode([w.decode() for w in words])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def _lines(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each``, for words without white space but a space before them.
+
+        A line feed before such a word or its space is a piece of its own, so no id spans two words and the line feed's
+        id is found between them alone. A tokenizer of which this is not true gives another number of line feeds.
+        """
+        ids = self._encode(["\n".join([w.decode() for w in words[a : a + LINES]]) + "\n" for a in range(0, len(words), LINES)])
+        ids = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+        ends = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else ()
+        if len(ends) != len(words):
+            return self._each(words)
+        return ids[ids != self.feed[0]], np.diff(ends, prepend=-1) - 1
+
     def words(self, names: list[bytes]) -> np.ndarray:
         """Slots of these distinct words. What is remembered is bounded; a forgotten word is encoded again."""
-        slot = self.slot
-        new = [w for w in names if w not in slot]
-        if len(slot) + len(new) > self.most:
+        found = np.fromiter(map(self.slot.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(self.slot) + len(new) > self.most:
             self.forget()
-            slot, new = self.slot, names
-        if new:
-            ids = self._encode([w.decode() for w in new])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))))
-            slot.update(zip(new, range(len(slot), len(slot) + len(new)), strict=True))
-        return np.fromiter(map(slot.__getitem__, names), np.int64, len(names))
+            new = np.arange(len(names))
+        if len(new):
+            texts = pa.array([names[i] for i in new.tolist()], pa.large_binary()).cast(pa.large_string())
+            line = pc.and_(pc.less(pc.binary_length(texts), LINE_BYTES), pc.match_substring_regex(texts, _LINE)).to_numpy(zero_copy_only=False)
+            for new, encode in ((new[line], self._lines), (new[~line], self._each)):
+                own, n = [names[i] for i in new.tolist()], len(self.slot)
+                ids, size = encode(own)
+                self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(size) - size))
+                self.size = np.concatenate((self.size, size))
+                self.pool = np.concatenate((self.pool, ids))
+                found[new] = np.arange(n, n + len(own))
+                self.slot.update(zip(own, range(n, n + len(own)), strict=True))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each text's first, for an array without nulls."""
@@ -117,7 +143,7 @@ class WordEncoder:
         begin = safe_cuts(raw, offs) if len(raw) else np.zeros(0, np.int64)
         parts = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw)).astype(np.int64)), pa.py_buffer(raw.tobytes())])
         coded = parts.dictionary_encode()
-        slot = self.words(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        slot = self.words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         k = self.size[slot]
         total = np.cumsum(k)
         place = np.repeat((self.first[slot] - (total - k)).astype(np.int32), k)
@@ -158,26 +184,48 @@ def choose_widths(histogram: np.ndarray, most_levels: int = 4) -> tuple[int, ...
     return best[1]
 
 
+def _places(width: int):
+    """Of eight values of ``width`` bits, which are ``width`` bytes: number, 64-bit word, bit in it, whether it ends in the next."""
+    for j in range(8):
+        word, bit = divmod(j * width, 64)
+        yield j, word, np.uint64(bit), bit + width > 64
+
+
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     if width in (8, 16):
         return values.astype(f"<u{width // 8}").view(np.uint8)
-    out = []
-    for a in range(0, len(values), 1 << 19):  # a multiple of 8 values: every part ends on a byte
-        v = values[a : a + (1 << 19)]
-        out.append(np.packbits(((v[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8), bitorder="little"))
-    return np.concatenate(out) if out else np.zeros(0, np.uint8)
+    out = np.empty(-(-len(values) * width // 8), np.uint8)
+    for a in range(0, len(values), 1 << 15):  # a multiple of 8 values: every part ends on a byte
+        n = min(1 << 15, len(values) - a)
+        v = np.zeros((-(-n // 8), 8), np.uint64)
+        v.reshape(-1)[:n] = values[a : a + n]
+        words = np.zeros((len(v), -(-width // 8)), "<u8")
+        for j, word, bit, over in _places(width):
+            words[:, word] |= v[:, j] << bit
+            if over:
+                words[:, word + 1] |= v[:, j] >> (np.uint64(64) - bit)
+        own = -(-n * width // 8)
+        out[a * width // 8 :][:own] = words.view(np.uint8)[:, :width].reshape(-1)[:own]
+    return out
 
 
 def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
     if width in (8, 16):
         return raw[: n * width // 8].view(f"<u{width // 8}").astype(np.uint32)
-    out = np.zeros(n, np.uint32)
-    for a in range(0, n, 1 << 19):
-        k = min(1 << 19, n - a)
-        bits = np.unpackbits(raw[a * width // 8 : -(-(a + k) * width // 8)], bitorder="little", count=k * width).reshape(k, width)
-        for j in range(width):
-            out[a : a + k] |= bits[:, j].astype(np.uint32) << np.uint32(j)
-    return out
+    out = np.empty((-(-n // 8), 8), np.uint32)
+    for a in range(0, len(out), 1 << 12):
+        own = out[a : a + (1 << 12)]
+        part = raw[a * width : (a + len(own)) * width]
+        if len(part) < len(own) * width:
+            part = np.concatenate((part, np.zeros(len(own) * width - len(part), np.uint8)))
+        words = np.zeros((len(own), -(-width // 8)), "<u8")
+        words.view(np.uint8)[:, :width] = part.reshape(-1, width)
+        for j, word, bit, over in _places(width):
+            v = words[:, word] >> bit
+            if over:
+                v |= words[:, word + 1] << (np.uint64(64) - bit)
+            own[:, j] = v & np.uint64((1 << width) - 1)
+    return out.reshape(-1)[:n]
 
 
 def dac_encode(ids: np.ndarray, doc_ids: np.ndarray, bounds: np.ndarray, nulls: int = 0) -> bytes:
@@ -241,17 +289,22 @@ class DacFile:
 
     def slice(self, a: int, b: int) -> np.ndarray:
         """The ids at places ``a`` to ``b - 1``: on each level one run of chunks and bits, found by two ranks on the one before."""
-        out, where, shift = np.zeros(b - a, np.uint32), np.arange(b - a), 0
+        out, where, shift = np.zeros(b - a, np.uint32), None, 0  # where: None for all
         for level, (width, _, chunks, bitmap, _) in enumerate(self.levels):
             if a >= b:
                 break
             first, skip = a // 8 * width, a % 8  # eight chunks end on a byte
             raw = np.frombuffer(self._bytes(chunks + first, -(-(b * width) // 8) - first), np.uint8)
-            out[where] |= _unpack(raw, width, skip + b - a)[skip:] << np.uint32(shift)
+            chunk = _unpack(raw, width, skip + b - a)[skip:]
+            if where is None:
+                out = chunk
+            else:
+                out[where] |= chunk << np.uint32(shift)
             if bitmap is None:
                 break
             bits = np.frombuffer(self._bytes(bitmap + a // 8, (b + 7) // 8 - a // 8), np.uint8)
-            where = where[np.unpackbits(bits, bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)]
+            on = np.flatnonzero(np.unpackbits(bits, bitorder="little")[a % 8 : a % 8 + b - a].view(bool))
+            where = on if where is None else where[on]
             a, b, shift = self._rank(level, a), self._rank(level, b), shift + width
         return out
 

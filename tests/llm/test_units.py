@@ -55,6 +55,41 @@ def test_token_files_round_trip():
     assert f.get(123_456) == x[123_456] and sum(read) < 600
 
 
+def test_token_files_new_words_and_packing_are_cheap():
+    import tracemalloc
+
+    from knotwork.llm.token_files import WordEncoder, _pack, _unpack, safe_cuts
+
+    own = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    given, encode = [], own._encode
+    own._encode = lambda texts: given.append(len(texts)) or encode(texts)
+    words = [w.encode() for w in (*(f" w{chr(97 + i % 26)}{i}" for i in range(20_000)), " 's", "'s", "é", " 日本", ".", "…|", "\u0301a", " ", "\n", " \n", "\x85", "a\x1c", "x" * 900)]
+    slots = own.words(words)
+    assert sum(given) < 200  # the library is given lines of words and not 20,000 texts
+    for w, k in zip(words, slots.tolist(), strict=True):
+        assert own.pool[own.first[k] :][: own.size[k]].tolist() == encode([w.decode()])[0], w
+    assert (own.words(words[::-1]) == slots[::-1]).all()
+    for some in ([b"a\n", b"b"], [b"\xc2\xa0a", b"b"]):  # a piece spans two lines: each word by itself
+        assert [x.tolist() for x in own._lines(some)] == [x.tolist() for x in own._each(some)]
+    rng = np.random.default_rng(1)
+    for width in range(1, 33):
+        for n in (0, 1, 7, 8, 9, 70_003):
+            v = rng.integers(0, 1 << width, n).astype(np.uint32)
+            bits = ((v[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+            raw = _pack(v, width)
+            assert raw.tobytes() == np.packbits(bits, bitorder="little").tobytes() and (_unpack(raw, width, n) == v).all()
+    v = rng.integers(0, 1 << 9, 1 << 19).astype(np.uint32)
+    tracemalloc.start()
+    raw = _pack(v, 9)
+    assert tracemalloc.get_traced_memory()[1] < 3 * v.nbytes
+    tracemalloc.stop()
+    for t in ("", "a", "\n", ".", "a.", "a\nb", "\na", "é.b", "Ã.", "×.", "a\n", "é\nb"):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        whole = encode([t])[0]
+        at = [*safe_cuts(raw, np.array([0, len(raw)])).tolist(), len(raw)]
+        assert sum((encode([t.encode()[a:b].decode()])[0] for a, b in itertools.pairwise(at)), []) == whole
+
+
 def test_pieces_n_best_is_exact():
     from knotwork.llm.pieces import Pieces
 
