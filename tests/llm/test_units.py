@@ -69,6 +69,12 @@ def test_token_files_new_words_and_packing_are_cheap():
     for w, k in zip(words, slots.tolist(), strict=True):
         assert own.pool[own.first[k] :][: own.size[k]].tolist() == encode([w.decode()])[0], w
     assert (own.words(words[::-1]) == slots[::-1]).all()
+    small = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), most=50)
+    for a in range(0, 400, 30):  # words are forgotten and met again
+        some = words[a % 120 : a % 120 + 40]
+        for w, k in zip(some, small.words(some).tolist(), strict=True):
+            assert small.pool[small.first[k] :][: small.size[k]].tolist() == encode([w.decode()])[0]
+        assert len(small.slot) <= 50
     for some in ([b"a\n", b"b"], [b"\xc2\xa0a", b"b"]):  # a piece spans two lines: each word by itself
         assert [x.tolist() for x in own._lines(some)] == [x.tolist() for x in own._each(some)]
     rng = np.random.default_rng(1)
