@@ -363,7 +363,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
         folder = folder if re.match(r"\w+:", folder) else f"file://{folder}"
         atexit.register(_remove, folder)
     d = digest_input(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    done = cut(d.mapInArrow(tidy(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, most=file_ids)), MANIFEST))
+    done = d.mapInArrow(tidy(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, most=file_ids)), MANIFEST)
+    done = cut(done.repartition(1))  # a row for each file: one checkpoint file and not one a task, as local file systems start a process for each
     order = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return done.withColumn("before", F.coalesce(F.sum("ids").over(order), F.lit(0)))
 

@@ -227,6 +227,28 @@ def test_rules(spark):
     assert quality_ledger(df.limit(0)).count() == 0 and all(r["failed"] == 0 for r in ablation(quality_ledger(df.limit(0))).collect())
 
 
+def test_token_manifest_is_one_checkpoint_file(spark):
+    from pathlib import Path
+
+    from knotwork.llm.token_files import read_token_files, write_token_files
+    from knotwork.session import shared_dir
+
+    shared_dir(spark)
+    top = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        before = set(top.rglob("part-*"))
+        manifest = write_token_files(df, public_tokenizers.path("byte_bpe_50k.json"))
+        assert len(set(top.rglob("part-*")) - before) == 1 < manifest.count()
+        assert [r["doc_id"] for r in read_token_files(manifest).orderBy("start").collect()] == list(range(100))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_tokens(spark):
     from tokenizers import Tokenizer
 
