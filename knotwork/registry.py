@@ -36,13 +36,12 @@ def _components(records, feats, vecs, use_features, th=1):
 
 @clusterer("cosine")
 def _cosine(records, feats, vecs, th=0.5):
-    return clusters.similarity_clusters(records, vectors.dense_cosine(vecs), th)
+    return clusters.cluster(records, vectors.cosine_links(vecs, th))
 
 
 @clusterer("cosine_and_features")
 def _cosine_features(records, feats, vecs, use_features, th, max_energy=75):
-    shared = edges.shared_counts(feats.where(F.col("feature").isin(use_features)))
-    return clusters.similarity_clusters(records, clusters.boosted(vectors.dense_cosine(vecs), shared, max_energy), th)
+    return clusters.cluster(records, vectors.cosine_links(vecs, th, feats=feats.where(F.col("feature").isin(use_features)), max_energy=max_energy))
 
 
 @clusterer("incremental")
