@@ -1,6 +1,6 @@
-"""Training of the neighbour-mean layer: gradients of blocks are added up on executors, the two matrices stay on the driver.
+"""Training of the neighbour-mean layer: gradients of tiles are added up on executors, the two matrices stay on the driver.
 
-Every step is one pass over all blocks. What comes back is the loss, the number of pairs and a gradient of the matrices'
+Every step is one pass over all pairs of the blocks, tile by tile. What comes back is the loss, the number of pairs and a gradient of the matrices'
 size, one row from each partition, added up before they reach the driver; it does not grow with the records.
 """
 
@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.numeric import _adjacency, _columns, _edges, bisect_threshold, graph_network_clusters, sage_mean, seeded_weights
+from knotwork.operators.neighbours import with_near
+from knotwork.operators.numeric import bisect_threshold, graph_network_clusters, layered, seeded_weights
 from knotwork.operators.quality import block_metrics, report
+from knotwork.operators.tiles import AT_ONCE, TILE, dealt, parts
 from knotwork.session import cut
 
 SLOPE = 0.01
@@ -43,36 +45,55 @@ def block_gradient(x: np.ndarray, adjacency: np.ndarray, truth: np.ndarray, weig
     return loss, int(upper.sum()), x.T @ d_z, near.T @ d_z
 
 
+def _activated(part, weights) -> tuple:
+    x, near = part.matrix("vec")[0], part.matrix("near")[0]
+    near = near if near.shape[1] else np.zeros_like(x)
+    z = x @ weights[0] + near @ weights[1]
+    h = np.where(z > 0, z, SLOPE * z)
+    size = np.linalg.norm(h, axis=1, keepdims=True)
+    return x, near, z, size, h / np.where(size > 0, size, 1)
+
+
+def _back(side: tuple, d_unit: np.ndarray) -> np.ndarray:
+    """The gradients of both matrices from that of one side's unit vectors (linear, so tiles add up)."""
+    x, near, z, size, unit = side
+    d_h = np.where(size > 0, (d_unit - unit * (unit * d_unit).sum(1, keepdims=True)) / np.where(size > 0, size, 1), 0)
+    d_z = d_h * np.where(z > 0, 1, SLOPE)
+    return np.concatenate([(x.T @ d_z).ravel(), (near.T @ d_z).ravel()])
+
+
+def _tile_gradient(a, b, same, weights, margin):
+    """``block_gradient`` of one tile, some rows at a time."""
+    left = _activated(a, weights)
+    right = left if same else _activated(b, weights)
+    ta, tb = a.numbers("truth"), b.numbers("truth")
+    da, db, loss, pairs, step = np.zeros_like(left[4]), np.zeros_like(right[4]), 0.0, 0, max(1, AT_ONCE // b.n)
+    for lo in range(0, a.n, step):
+        rows = slice(lo, min(a.n, lo + step))
+        sim = left[4][rows] @ right[4].T
+        alike = ta[rows, None] == tb
+        lost, pull = np.where(alike, 1 - sim, np.maximum(sim - margin, 0)), np.where(alike, -1.0, sim > margin)
+        if same:
+            upper = np.arange(a.n) > np.arange(rows.start, rows.stop)[:, None]
+            lost, pull, pairs = lost * upper, pull * upper, pairs + int(upper.sum())
+        else:
+            pairs += sim.size
+        loss += float(lost.sum())
+        da[rows] += pull @ right[4]
+        db += pull.T @ left[4][rows]
+    return loss, pairs, _back(left, da + db) if same else _back(left, da) + _back(right, db)
+
+
 def _gradients(batches, weights, margin):
     loss, pairs, total = 0.0, 0, None
-    for b in batches:
-        for recs, other in zip(b.column(0), b.column(1), strict=True):
-            own = _columns(recs)
-            order = np.argsort(own["rid"], kind="stable")
-            g = block_gradient(own["vec"][order], _adjacency(own["rid"][order], _columns(other)), own["truth"][order], weights, margin)
-            flat = np.concatenate([g[2].ravel(), g[3].ravel()])
-            loss, pairs, total = loss + g[0], pairs + g[1], flat if total is None else total + flat
+    for a, b, same in parts(batches):
+        one = _tile_gradient(a, b, same, weights, margin)
+        loss, pairs, total = loss + one[0], pairs + one[1], one[2] if total is None else total + one[2]
     if total is not None:
         k = len(total)
         yield pa.record_batch([pa.array(np.arange(k), pa.int64()), pa.array(total), pa.array(np.full(k, loss)), pa.array(np.full(k, pairs), pa.int64())], names=["at", "g", "loss", "pairs"])
 
 
-def _embedded(batches, weights):
-    for b in batches:
-        for block, recs, other in zip(b.column(0), b.column(1), b.column(2), strict=True):
-            own = _columns(recs)
-            order = np.argsort(own["rid"], kind="stable")
-            ids = own["rid"][order]
-            h = sage_mean(own["vec"][order], _adjacency(ids, _columns(other)), *weights)
-            yield pa.record_batch([pa.array([block.as_py()] * len(ids), b.schema.field(0).type), pa.array(ids), pa.array(list(h), pa.list_(pa.float64()))], names=["block", "rid", "vec"])
-
-
-def _blocks(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row for each block: its records and its edges as lists."""
-    rows = lambda df, name: df.groupBy("block").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "block"])).alias(name))
-    return rows(records, "recs").join(rows(_edges(edges), "other"), "block", "left")
-
-
 def _records(df: DataFrame, *more: str) -> DataFrame:
     return df.select("block", F.col("rid").cast("long").alias("rid"), F.col("vec").cast("array<double>").alias("vec"), *[F.col(m).cast("long").alias(m) for m in more])
 
@@ -80,7 +101,7 @@ def _records(df: DataFrame, *more: str) -> DataFrame:
 def train_network(records: DataFrame, edges: DataFrame, epochs: int = 30, rate: float = 0.01, margin: float = 0.0, width: int = 32, seed: int = 7) -> tuple[tuple[np.ndarray, np.ndarray], list[float]]:
     """The two matrices of the layer and the mean loss of a pair before each step (Adam), from ``records(block, rid, vec, truth)``.
 
-    All blocks take part in every step, each held by one task. Blocks of one record have no pair; without any pair the
+    All blocks take part in every step, tile by tile (``tiles``). ``edges`` may be the long feature table. Blocks of one record have no pair; without any pair the
     matrices stay those of the seed.
     """
     first = records.select(F.size("vec")).first()
@@ -88,7 +109,7 @@ def train_network(records: DataFrame, edges: DataFrame, epochs: int = 30, rate:
         raise ValueError("no records to train on")
     inputs = first[0]
     w = np.concatenate([x.ravel() for x in seeded_weights(inputs, width, seed)])
-    blocks = cut(_blocks(_records(records, "truth"), edges).select("recs", "other"))
+    blocks = cut(dealt(with_near(_records(records, "truth"), edges), TILE))
     m, v, losses = np.zeros_like(w), np.zeros_like(w), []
     both = lambda flat: tuple(flat.reshape(2, inputs, width))
     for step in range(1, epochs + 1):
@@ -105,8 +126,7 @@ def train_network(records: DataFrame, edges: DataFrame, epochs: int = 30, rate:
 
 def network_embeddings(records: DataFrame, edges: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``(block, rid, vec)``: what the layer makes of every record."""
-    kind = records.schema["block"].dataType.simpleString()
-    return _blocks(_records(records), edges).mapInArrow(partial(_embedded, weights=weights), f"block {kind}, rid long, vec array<double>")
+    return layered(with_near(_records(records), edges), [(1.0, "near", weights, 0, 0)])
 
 
 def threshold_report(records: DataFrame, edges: DataFrame, weights: tuple[np.ndarray, np.ndarray], th: float) -> DataFrame:
