@@ -66,7 +66,7 @@ def _spectral(records, feats, vecs, th=0.5):
 
 @clusterer("graph_network")
 def _network(records, feats, vecs, use_features, th=0.9):
-    return numeric.graph_network_clusters(vecs, edges.shared_counts(feats.where(F.col("feature").isin(use_features))), th)
+    return numeric.graph_network_clusters(vecs, feats.where(F.col("feature").isin(use_features)), th)
 
 
 #: Other parts of an experiment by name.
@@ -117,12 +117,12 @@ def _cosine_features_graph(records, feats, vecs, use_features, th=0.4, ftr_th=1,
 
 @clusterer("hetero_network")
 def _hetero(records, feats, vecs, use_features, th=0.9, weights=None):
-    return numeric.hetero_network_clusters(vecs, _feature_edges(feats, use_features, by_feature=True), th, use_features, weights)
+    return numeric.hetero_network_clusters(vecs, feats.where(F.col("feature").isin(use_features)), th, use_features, weights)
 
 
 @clusterer("hetero_network_combined")
 def _hetero_combined(records, feats, vecs, use_features, mix, th=0.9, weights=None):
-    return numeric.hetero_network_clusters(vecs, _feature_edges(feats, use_features, by_feature=True), th, use_features, weights, mix)
+    return numeric.hetero_network_clusters(vecs, feats.where(F.col("feature").isin(use_features)), th, use_features, weights, mix)
 
 
 @clusterer("algorithm")
