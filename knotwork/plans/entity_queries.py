@@ -148,6 +148,5 @@ def _(spark, d):
 
     v = carried(spark, d, "vec_id % 40").join(load(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), F.col("label").alias("truth")), "rid")
     feats = v.select("block", "rid", F.lit("near").alias("feature"), F.floor(F.element_at("vec", 1) * 10).cast("string").alias("value"))
-    links = edges.shared_counts(feats)
-    weights, _ = train_network(v, links)
-    return graph_network_clusters(v, links, 0.9, weights=weights)
+    weights, _ = train_network(v, feats)
+    return graph_network_clusters(v, feats, 0.9, weights=weights)
