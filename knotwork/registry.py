@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import profiles, text
 from knotwork.operators import blocking, clusters, edges, learning, numeric, quality, vectors
+from knotwork.session import cut
 from knotwork.sources import providers, sinks
 
 CLUSTERERS: dict[str, Callable[..., DataFrame]] = {}
@@ -88,31 +89,35 @@ def named(kind: dict, name: str):
     return kind[name]
 
 
-def _feature_edges(feats, use_features, **options):
-    return edges.shared_counts(feats.where(F.col("feature").isin(use_features)), **options)
-
-
 @clusterer("cosine_and_graph")
 def _cosine_graph(records, feats, vecs, use_features, th=0.5, max_energy=0.65, min_energy=-0.25):
-    spectral = numeric.spectral_pairs(feats.where(F.col("feature").isin(use_features)), records)
-    return clusters.similarity_clusters(records, clusters.spectral_boosted(vectors.dense_cosine(vecs), spectral, max_energy, min_energy), th)
+    spectral = numeric.with_spectral(feats.where(F.col("feature").isin(use_features)), records)
+    return clusters.cluster(records, vectors.cosine_links(vecs, th, spectral=spectral, most=max_energy, least=min_energy))
 
 
-def component_spectra(records, feats, use_features, ftr_th=1, graph_node_th=5):
-    """Spectral cosine inside the components of shared values that are large enough."""
+def component_vectors(records, feats, use_features, ftr_th=1, graph_node_th=5):
+    """``(block, rid, part, spec)``: spectral vectors inside the components of shared values that are large enough."""
     own = feats.where(F.col("feature").isin(use_features))
-    parts = clusters.components_as_blocks(records, edges.shared_counts(own), ftr_th, graph_node_th)
+    shared = edges.shared_stars(own).withColumn("weight", F.lit(1)) if 0 < ftr_th <= 1 else edges.shared_counts(own)
+    parts = cut(clusters.components_as_blocks(records, shared, ftr_th, graph_node_th))
     inside = own.join(parts, ["block", "rid"]).select(F.col("part").alias("block"), "rid", "value")
-    pairs = numeric.spectral_pairs(inside, parts.select(F.col("part").alias("block"), "rid"))
-    block = parts.select("part", F.col("block").alias("own")).distinct()
-    return pairs.join(block, F.col("block") == F.col("part")).select(F.col("own").alias("block"), "src", "dst", "spectral")
+    spec = numeric.with_spectral(inside, parts.select(F.col("part").alias("block"), "rid")).withColumnRenamed("block", "part")
+    return parts.join(spec, ["part", "rid"]).select("block", "rid", "part", "spec")
+
+
+def component_spectra(records, feats, use_features, ftr_th=1, graph_node_th=5):
+    """Spectral cosine inside the components of shared values that are large enough."""
+    inside = component_vectors(records, feats, use_features, ftr_th, graph_node_th)
+    pairs = vectors.dense_cosine(inside.select(F.col("part").alias("block"), "rid", F.col("spec").alias("vec")))
+    block = inside.select("part", F.col("block").alias("own")).distinct()
+    return pairs.join(block, F.col("block") == F.col("part")).select(F.col("own").alias("block"), "src", "dst", F.col("sim").alias("spectral"))
 
 
 @clusterer("cosine_features_and_graph")
 def _cosine_features_graph(records, feats, vecs, use_features, th=0.4, ftr_th=1, ftr_max_energy=75, graph_node_th=5, max_energy=0.15, min_energy=0.0):
-    pairs = clusters.boosted(vectors.dense_cosine(vecs), _feature_edges(feats, use_features), ftr_max_energy)
-    spectral = component_spectra(records, feats, use_features, ftr_th, graph_node_th)
-    return clusters.similarity_clusters(records, clusters.spectral_boosted(pairs, spectral, max_energy, min_energy), th)
+    spectral = component_vectors(records, feats, use_features, ftr_th, graph_node_th)
+    own = feats.where(F.col("feature").isin(use_features))
+    return clusters.cluster(records, vectors.cosine_links(vecs, th, feats=own, max_energy=ftr_max_energy, spectral=spectral, most=max_energy, least=min_energy))
 
 
 @clusterer("hetero_network")
