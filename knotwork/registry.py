@@ -137,6 +137,8 @@ def _algorithm(records, feats, vecs, fit_predict):
 
 @clusterer("pair_model")
 def _pair_model(records, feats, vecs, model, th=0.9):
+    if hasattr(model, "coefficients"):
+        return clusters.cluster(records, learning.classified_links(model, vecs, th))
     a, b = vecs.select("block", F.col("rid").alias("src")), vecs.select("block", F.col("rid").alias("dst"))
     pairs = a.join(b, "block").where("src < dst")
     return clusters.similarity_clusters(records, learning.classified_pairs(model, pairs, vecs), th)
