@@ -9,9 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.session import pieces_of, spread
 
-def _pairs(feats: DataFrame) -> DataFrame:
+
+def _held(feats: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct known values, dealt by value to partitions that do not grow with the table, and their number."""
     f = feats.select("block", "rid", "feature", "value").where(F.col("value").isNotNull()).distinct()
+    n = pieces_of(f)
+    return spread(f, "block", "feature", "value", n=n), n
+
+
+def _pairs(f: DataFrame) -> DataFrame:
     a, b = f.withColumnRenamed("rid", "src"), f.withColumnRenamed("rid", "dst")
     return a.join(b, ["block", "feature", "value"]).where("src < dst")
 
@@ -30,11 +38,13 @@ def shared_counts(feats: DataFrame, inverse_degree: bool = False, by_feature: bo
     ``by_feature`` keeps one edge type for each feature. Missing features make no edge.
     """
     keys = ["block", "src", "dst", *(["feature"] if by_feature else [])]
-    pairs = _pairs(feats)
+    f, n = _held(feats)
+    pairs = _pairs(f)
     if not inverse_degree:
-        return pairs.groupBy(*keys).agg(F.count("*").alias("weight"))
-    degree = feats.where(F.col("value").isNotNull()).distinct().groupBy("block", "feature", "value").agg(F.count("*").alias("degree"))
-    return pairs.join(degree, ["block", "feature", "value"]).groupBy(*keys).agg(F.sum(1 / F.col("degree")).alias("weight"))
+        return spread(pairs.select(*keys), "block", "src", "dst", n=n).groupBy(*keys).agg(F.count("*").alias("weight"))
+    degree = f.groupBy("block", "feature", "value").agg(F.count("*").alias("degree"))
+    pairs = pairs.join(degree, ["block", "feature", "value"]).select(*keys, "degree")
+    return spread(pairs, "block", "src", "dst", n=n).groupBy(*keys).agg(F.sum(1 / F.col("degree")).alias("weight"))
 
 
 def _sets(feats: DataFrame, feature: str) -> DataFrame:

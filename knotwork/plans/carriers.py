@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.session import pieces_of, spread
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +28,8 @@ def item_features(spark, d, *names: str) -> DataFrame:
     """Features of orders from their lines, as the long table."""
     items = load(spark, d, "lineitem")
     o = orders(spark, d)
-    joined = o.join(items, F.col("rid") == F.col("l_orderkey"))
+    n = pieces_of(o.join(items, F.col("rid") == F.col("l_orderkey")))
+    joined = spread(o, "rid", n=n).join(spread(items, "l_orderkey", n=n), F.col("rid") == F.col("l_orderkey"))
     structs = [F.struct(F.lit(n).alias("feature"), F.expr(f"CAST({ITEM_FEATURES[n][0]} AS STRING)").alias("value")) for n in names]
     return joined.select("block", "rid", F.explode(F.array(*structs)).alias("x")).select("block", "rid", "x.feature", "x.value").distinct()
 

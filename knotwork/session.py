@@ -42,6 +42,27 @@ def pieces(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
+def pieces_of(df: DataFrame, each: int = 4 << 20) -> int:
+    """Partitions in which what ``df`` reads comes in shares of ``each`` bytes (of files), or as many as a checkpoint has."""
+    leaves, size, n = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0, 1
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.nodeName().startswith("LogicalRelation"):
+            size += int(str(leaf.stats().sizeInBytes()))
+        elif hasattr(leaf, "rdd") and "RDD" in leaf.getClass().getSimpleName():
+            n = max(n, leaf.rdd().getNumPartitions())
+    return max(n, -(-size // each))
+
+
+def spread(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """``df`` by keys in ``n`` partitions (else ``pieces_of``), so a task's share stays as it is when tables grow.
+
+    Where the session's own number is enough, nothing changes. Only for keys with few rows each.
+    """
+    n = n or pieces_of(df)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     """Delete a folder of the shared storage, if it is there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
