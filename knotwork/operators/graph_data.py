@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.session import pieces_of, spread
+
 
 def _indexed(feats: DataFrame, use_features: list[str]) -> DataFrame:
     group = F.coalesce(*[F.when(F.col("feature") == f, F.lit(k)) for k, f in enumerate(use_features)])
@@ -22,8 +24,10 @@ def nodes(records: DataFrame, feats: DataFrame, use_features: list[str]) -> Data
     Of a record and a value with one name, the earlier record's view holds; in one record its values come before itself.
     """
     own = records.select("rid", F.col("rid").cast("string").alias("id"), F.lit(len(use_features)).alias("group"))
-    every = _indexed(feats, use_features).select("rid", "id", "group").union(own)
-    return every.groupBy("id").agg(F.min_by("group", F.struct("rid", "group")).alias("group"))
+    every = _indexed(feats, use_features).select("rid", "id", "group").union(own).withColumn("share", F.pmod(F.hash("rid"), F.lit(64)))
+    first = F.min(F.struct("rid", "group")).alias("first")
+    every = spread(every, "id", "share", n=pieces_of(every)).groupBy("id", "share").agg(first).select("id", "first.*")  # a value that all records have is a row a share
+    return spread(every, "id").groupBy("id").agg(first).select("id", F.col("first")["group"].alias("group"))
 
 
 def record_graphs(records: DataFrame, feats: DataFrame, use_features: list[str]) -> DataFrame:
