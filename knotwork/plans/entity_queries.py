@@ -8,6 +8,7 @@ from knotwork.functions import names, text
 from knotwork.operators import edges, entities, learning, quality, vectors
 from knotwork.plans.carriers import SHARED_SQL, features_sql, item_features, load, orders
 from knotwork.plans.record_queries import FREQ, METRICS_SQL, SHARE_SQL, joined
+from knotwork.session import pieces_of, spread
 
 Q, O = {}, {}
 
@@ -108,8 +109,10 @@ def _(spark, d):
 
 @query("tfidf_feature_terms", "WITH t AS (SELECT o_custkey AS block, o_orderkey AS rid, unnest(['supplier-' || l_suppkey, 'part-' || l_partkey]) AS term FROM orders JOIN lineitem ON o_orderkey = l_orderkey), c AS (SELECT block, rid, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, ln((1 + (SELECT count(DISTINCT rid) FROM c)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM c GROUP BY term), w AS (SELECT block, rid, term, tf * idf AS raw FROM c JOIN f USING (term)) SELECT block, rid, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY rid)), 6) AS w FROM w")
 def _(spark, d):
-    lines = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("s"), F.collect_list("l_partkey").alias("p"))
-    rows = orders(spark, d).join(lines, F.col("rid") == F.col("l_orderkey")).select("block", "rid", text.feature_string({"SUPPLIER": F.col("s"), "PART": F.col("p")}).alias("text"))
+    items = load(spark, d, "lineitem")
+    n = pieces_of(orders(spark, d).join(items, F.col("rid") == F.col("l_orderkey")))
+    lines = spread(items.select("l_orderkey", "l_suppkey", "l_partkey"), "l_orderkey", n=n).groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("s"), F.collect_list("l_partkey").alias("p"))
+    rows = spread(orders(spark, d), "rid", n=n).join(lines, F.col("rid") == F.col("l_orderkey")).select("block", "rid", text.feature_string({"SUPPLIER": F.col("s"), "PART": F.col("p")}).alias("text"))
     return vectors.tfidf(vectors.feature_tokens(rows)).withColumn("w", F.round("w", 6))
 
 
