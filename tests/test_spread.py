@@ -30,3 +30,13 @@ def test_features_edges_and_nodes_are_spread(spark, tmp_path, monkeypatch):
     assert (sorted(map(tuple, edges.shared_counts(feats).collect())), sorted(map(tuple, edges.shared_counts(feats, inverse_degree=True).collect()))) == want
     got = graph_data.nodes(carriers.orders(spark, str(tmp_path)), feats, ["supplier", "part"])
     assert got.rdd.getNumPartitions() == 11 and sorted(map(tuple, got.collect())) == nodes
+
+
+def test_counts_of_terms_need_no_shuffle(spark):
+    from knotwork.operators import vectors
+
+    docs = spark.createDataFrame([("s", 1, "Red red apple"), ("s", 2, "red boat")], "block string, rid long, text string")
+    terms = vectors.tokens(docs)
+    plan = terms.groupBy("block", "rid", "term").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert len(vectors.tfidf(terms).collect()) == 4
